@@ -34,6 +34,7 @@ def local_session(name: str = "tallyloom", cores: int | str = "*", memory: str =
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     return tune(builder.getOrCreate())
 
