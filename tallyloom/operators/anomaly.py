@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.blocks import side_moments
 
 MIN_POINTS = 10
-SENSITIVITY = 0.8
+SENSITIVITY = 0.7
 
 
 def update_baseline(rolled: DataFrame, name: str, order: str, block: Column | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def detect_mad() -> dict[str, Column]:
 def detect_iqr() -> dict[str, Column]:
     v, width = F.col("value"), F.col("iqr")
     lo, hi = F.col("q1") - 1.5 * width, F.col("q3") + 1.5 * width
-    dist = F.when(v < lo, lo - v).when(v > hi, v - hi)
+    dist = F.when(v < lo, lo - v).when(v > hi, v - hi).otherwise(0.0)
     return {"hit": (v < lo) | (v > hi), "confidence": F.coalesce(_capped(dist, width), F.lit(0.0)), "lo": lo, "hi": hi}
 
 
@@ -90,24 +90,29 @@ def alert_severity(sev: Column) -> Column:
     return F.when(sev == "critical", "critical").when(sev == "high", "error").when(sev == "medium", "warning").otherwise("info")
 
 
-def detect(baselined: DataFrame, name: str, order: str, methods: Sequence[str] = tuple(DETECTORS), sensitivity: float = SENSITIVITY,
-           gated: bool = True) -> DataFrame:
-    """One row per anomaly and method: range, confidence, severity, description, alert severity.
-
-    Gated: at least ten points in the baseline and confidence >= 1 - sensitivity.
-    """
+def judge(baselined: DataFrame, name: str, order: str, methods: Sequence[str] = tuple(DETECTORS)) -> DataFrame:
+    """Every reading under every method: hit or not, confidence and expected range."""
     unknown = [m for m in methods if m not in DETECTORS]
     if unknown:
         raise ValueError(f"unknown detection methods: {unknown}")
     tests = []
     for m in methods:
         d = DETECTORS[m]()
-        tests.append(F.struct(F.lit(m).alias("method"), F.coalesce(d["hit"], F.lit(False)).alias("hit"), d["confidence"].cast("double").alias("confidence"),
-                              d["lo"].cast("double").alias("lo"), d["hi"].cast("double").alias("hi")))
-    rows = baselined.where(F.col("points") >= MIN_POINTS) if gated else baselined
-    out = rows.select(name, order, "value", F.inline(F.array(*tests))).where(F.col("hit"))
+        tests.append(F.struct(
+            F.lit(m).alias("method"), F.coalesce(d["hit"], F.lit(False)).alias("hit"), d["confidence"].cast("double").alias("confidence"),
+            d["lo"].cast("double").alias("lo"), d["hi"].cast("double").alias("hi")))
+    return baselined.select(name, order, "value", "points", F.inline(F.array(*tests)))
+
+
+def detect(baselined: DataFrame, name: str, order: str, methods: Sequence[str] = tuple(DETECTORS), sensitivity: float = SENSITIVITY,
+           gated: bool = True) -> DataFrame:
+    """One row per anomaly and method: range, confidence, severity, description, alert severity.
+
+    Gated: at least ten points in the baseline and confidence >= 1 - sensitivity.
+    """
+    out = judge(baselined, name, order, methods).where(F.col("hit"))
     if gated:
-        out = out.where(F.col("confidence") >= 1 - sensitivity)
+        out = out.where((F.col("points") >= MIN_POINTS) & (F.col("confidence") >= 1 - sensitivity))
     v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     off = F.abs(F.try_divide(v - (hi + lo) / 2, (hi - lo) / 2) * 100)
     side = F.when(v > hi, "above").otherwise("below")
