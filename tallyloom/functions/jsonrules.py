@@ -7,7 +7,6 @@ apply to a document. The expression does not grow with the number of rules.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -44,14 +43,26 @@ class Rule:
     when: str | None = None
 
 
-_RULE = ("path string, parent string, kind string, required boolean, nullable boolean, values array<string>, low double, high double, "
-         "above double, length int, code string")
+def _sql(v, kind: str) -> str:
+    if v is None:
+        return f"CAST(NULL AS {kind})"
+    if kind == "STRING":
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST({str(v).lower()} AS {kind})"
 
 
-def _as_dict(r: Rule) -> dict:
+def _literal(r: Rule) -> str:
+    """A rule as a constant SQL struct, which the optimizer folds into one literal."""
     if r.kind not in KINDS:
         raise ValueError(f"unknown kind: {r.kind}")
-    return {**{k: v for k, v in r.__dict__.items() if k != "when" and v is not None}, "parent": r.path.rpartition(".")[0], "values": list(r.values)}
+    values = ", ".join(_sql(v, "STRING") for v in r.values)
+    parts = {
+        "path": _sql(r.path, "STRING"), "parent": _sql(r.path.rpartition(".")[0], "STRING"), "kind": _sql(r.kind, "STRING"),
+        "required": _sql(r.required, "BOOLEAN"), "nullable": _sql(r.nullable, "BOOLEAN"), "values": f"CAST(array({values}) AS ARRAY<STRING>)",
+        "low": _sql(r.low, "DOUBLE"), "high": _sql(r.high, "DOUBLE"), "above": _sql(r.above, "DOUBLE"), "length": _sql(r.length, "INT"),
+        "code": _sql(r.code, "STRING"),
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
 
 
 def _leaf(path: Column, value: Column) -> Column:
@@ -89,9 +100,9 @@ def number_of(flat: Column, path: str) -> Column:
     return field(flat, path)["n"]
 
 
-def _check(flat: Column, r: Column) -> Column:
-    """Reason code of one rule, or NULL when the field is fine."""
-    f = field(flat, r["path"])
+def _check(x: Column) -> Column:
+    """Reason of one rule ``x.r`` over the field ``x.f`` it names, or NULL when the field is fine."""
+    r, f = x["r"], x["f"]
     t, s, n = f["t"], f["s"], f["n"]
     want = (F.when(r["kind"].isin("int", "number"), n.isNotNull())
             .when(r["kind"] == "bool", t == "BOOLEAN").when(r["kind"] == "object", t == "OBJECT").when(r["kind"] == "array", t == "ARRAY")
@@ -114,9 +125,7 @@ def _check(flat: Column, r: Column) -> Column:
         .when(n > r["high"], "too large")
         .otherwise("")
     )
-    applies = (r["parent"] == "") | F.coalesce(field(flat, r["parent"])["t"] == "OBJECT", F.lit(False))
-    found = F.coalesce(missing, code)
-    return F.when(applies & (found != ""), F.concat(r["path"], F.lit(": "), found))
+    return F.concat(r["path"], F.lit(": "), F.nullif(F.coalesce(missing, code), F.lit("")))
 
 
 def reasons(flat: Column, rules: Iterable[Rule], type_path: str | None = None) -> Column:
@@ -125,17 +134,17 @@ def reasons(flat: Column, rules: Iterable[Rule], type_path: str | None = None) -
     Rules with ``when`` apply to documents whose ``type_path`` holds that value.
     """
     rules = list(rules)
-    common = [_as_dict(r) for r in rules if r.when is None]
-    by_type: dict[str, list[dict]] = {"": common}
+    common = [_literal(r) for r in rules if r.when is None]
+    by_type: dict[str, list[str]] = {"": common}
     for r in rules:
         if r.when is not None:
-            by_type.setdefault(r.when, list(common)).append(_as_dict(r))
-    table = F.from_json(F.lit(json.dumps(by_type)), f"map<string,array<struct<{_ddl()}>>>")
+            by_type.setdefault(r.when, list(common)).append(_literal(r))
+    table = F.expr("map(" + ", ".join(f"{_sql(k, 'STRING')}, array({', '.join(v)})" for k, v in by_type.items()) + ")")
     default = F.element_at(table, "")
     chosen = default if type_path is None else F.coalesce(F.try_element_at(table, text_of(flat, type_path)), default)
-    found = F.array_compact(F.transform(chosen, lambda r: _check(flat, r)))
+    # nested fields count only where their parent is an object; each field is looked up once
+    live = F.filter(chosen, lambda r: (r["parent"] == "") | F.coalesce(field(flat, r["parent"])["t"] == "OBJECT", F.lit(False)))
+    looked_up = F.transform(live, lambda r: F.struct(r.alias("r"), field(flat, r["path"]).alias("f")))
+    found = F.array_compact(F.transform(looked_up, _check))
     return F.when(flat.isNull(), F.array(F.lit("(document): not an object"))).otherwise(found)
 
-
-def _ddl() -> str:
-    return ",".join(":".join(part.strip().split(" ", 1)) for part in _RULE.split(","))

@@ -49,7 +49,7 @@ def _placeholder(name: str) -> str:
 
 def _is_card(candidate: Column) -> Column:
     digits = F.regexp_replace(candidate, "[ -]", "")
-    return F.luhn_check(digits) & F.length(digits).between(13, 19)
+    return F.call_function("luhn_check", digits) & F.length(digits).between(13, 19)
 
 
 def _cards(text: Column, pattern: str) -> Column:

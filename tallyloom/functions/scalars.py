@@ -136,3 +136,13 @@ def uuid_from(*parts: Column) -> Column:
         F.substring(hexed, 17, 4),
         F.substring(hexed, 21, 12),
     )
+
+
+def pinned(df, name: str, value: Column):
+    """Add a column that is computed once per row.
+
+    A plain column is a formula to the optimizer: a filter on it, or several
+    uses of it, copy the formula. A one-row generator is a boundary for that,
+    which matters for values as dear as a parsed document.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

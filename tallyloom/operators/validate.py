@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.jsonrules import Rule, field, flatten_json, number_of, reasons, text_of
-from tallyloom.functions.scalars import uuid_from
+from tallyloom.functions.scalars import pinned, uuid_from
 from tallyloom.schema import CORE_EVENTS
 
 # ---- agent and product events --------------------------------------------
@@ -64,11 +64,11 @@ def validate_events(df: DataFrame, payload: str = "payload") -> DataFrame:
     envelope and a snake_case name. A bad name is ``invalid_event_name``,
     anything else ``schema_validation``.
     """
-    out = df.withColumn("_f", flatten_json(F.try_parse_json(payload)))
+    out = pinned(df, "_f", flatten_json(F.try_parse_json(payload)))
     flat = F.col("_f")
     core = F.coalesce(text_of(flat, "event").isin(*CORE_EVENTS), F.lit(False))
     why = F.when(core, reasons(flat, (*ENVELOPE, *CORE_RULES), "event")).otherwise(reasons(flat, (*ENVELOPE, PRODUCT_NAME)))
-    out = out.withColumn("reasons", why).drop("_f")
+    out = pinned(out, "reasons", why).drop("_f")
     bad_name = F.exists("reasons", lambda r: r.startswith("event:"))
     return out.withColumn("reason_class", F.when(F.size("reasons") == 0, F.lit(None).cast("string")).when(bad_name, "invalid_event_name").otherwise("schema_validation"))
 
@@ -162,7 +162,7 @@ FEEDBACK_RULES = (
 
 
 def _flat(df: DataFrame, payload: str) -> DataFrame:
-    return df.withColumn("_f", flatten_json(F.try_parse_json(payload)))
+    return pinned(df, "_f", flatten_json(F.try_parse_json(payload)))
 
 
 def _truthy(flat: Column, path: str) -> Column:
@@ -177,7 +177,7 @@ def check_web_structure(df: DataFrame, payload: str = "payload", out: str = "str
     checks = [F.when(F.length(payload) > MAX_EVENT_SIZE, "size: too large")]
     checks += [F.when(~_truthy(F.col("_f"), f), f"{f}: missing") for f in WEB_REQUIRED]
     errors = F.when(F.col("_f").isNotNull(), F.array_compact(F.array(*checks))).otherwise(F.array(F.lit("event: not an object")))
-    return d.withColumn(out, errors).drop("_f")
+    return pinned(d, out, errors).drop("_f")
 
 
 def rate_limit_flags(df: DataFrame, user: str, session: str, ts: str, tie: str, per_second: int = MAX_PER_SECOND) -> DataFrame:
@@ -190,12 +190,12 @@ def rate_limit_flags(df: DataFrame, user: str, session: str, ts: str, tie: str,
 def check_web_schema(df: DataFrame, payload: str = "payload", out: str = "schema_errors", feedback: bool = False) -> DataFrame:
     """Base schema plus the schema of five event types; feedback has its own."""
     rules = (FEEDBACK_RULES, None) if feedback else (WEB_RULES, "type")
-    return _flat(df, payload).withColumn(out, reasons(F.col("_f"), *rules)).drop("_f")
+    return pinned(_flat(df, payload), out, reasons(F.col("_f"), *rules)).drop("_f")
 
 
 def check_business_rules(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Vocabulary, sizes and purchase amount; warnings apart."""
-    d = df.withColumn("_doc", F.try_parse_json(payload)).withColumn("_f", flatten_json(F.col("_doc")))
+    d = pinned(pinned(df, "_doc", F.try_parse_json(payload)), "_f", flatten_json(F.col("_doc")))
     doc, flat = F.col("_doc"), F.col("_f")
     kind, category = text_of(flat, "type"), text_of(flat, "category")
     props = F.size(F.map_keys(F.try_variant_get(doc, "$.properties", "map<string,variant>")))
@@ -268,7 +268,7 @@ def uncited_claims(findings: DataFrame, prose: Column, values: Column, out: str
     characters before it; version tags and ids are no claims.
     """
     d = findings.withColumn("_p", prose).withColumn("_v", values)
-    d = d.withColumn("_tokens", F.regexp_extract_all("_p", F.lit(_CLAIM), F.lit(1))).withColumn("_parts", F.split("_p", _CLAIM, -1))
+    d = pinned(pinned(d, "_tokens", F.regexp_extract_all("_p", F.lit(_CLAIM), F.lit(1))), "_parts", F.split("_p", _CLAIM, -1))
 
     def before(i: Column) -> Column:
         """Text up to the i-th claim, at most its last 12 characters."""
@@ -293,7 +293,7 @@ SCORE_RULES = (
 
 def validate_scores(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Reasons an evaluation score document is refused for."""
-    return _flat(df, payload).withColumn("reasons", reasons(F.col("_f"), SCORE_RULES)).drop("_f")
+    return pinned(_flat(df, payload), "reasons", reasons(F.col("_f"), SCORE_RULES)).drop("_f")
 
 
 def settings_table(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:

@@ -30,6 +30,11 @@ def _only(event, col):
     return F.when(F.col("event") == event, col)
 
 
+def _landed(df):
+    """Documents arrive as stored text. The exchange keeps the optimizer from inlining how they were made into how they are read."""
+    return df.repartition("event_id")
+
+
 def messages(spark, sf_dir):
     """(event_id, tenant_id, event, payload): every event as an enriched message, one in two with a defect by event_id % 20."""
     ev = agent_events(spark, sf_dir)
@@ -66,7 +71,7 @@ def messages(spark, sf_dir):
         F.when(d == 10, F.lit(99999.4)).when(d == 11, F.lit(-3.0)).otherwise(F.col("retention_days").cast("double")).alias("retention_days"),
     )
     text = F.to_json(body)
-    return ev.select("event_id", "tenant_id", F.col("event").alias("src_event"), F.when(d == 6, F.substring(text, 1, 20)).otherwise(text).alias("payload"))
+    return ev.select("event_id", "tenant_id", F.col("event").alias("src_event"), F.when(d == 6, F.substring(text, 1, 20)).otherwise(text).alias("payload")).transform(_landed)
 
 
 CORE = "event IN ('" + "', '".join(V.CORE_EVENTS) + "')"
@@ -192,7 +197,7 @@ def web(spark, sf_dir):
         F.when(d == 8, F.lit("engagement")).otherwise(category).alias("category"),
         F.when(d == 9, F.repeat(F.lit("a"), 1001)).when(d == 10, F.lit("go<script>x()</script> <i>now</i>")).otherwise("act").alias("action"),
         F.when(d == 11, F.repeat(F.lit("z"), 10_000)).alias("label"), props.alias("properties"))
-    return ev.select("event_id", "user_id", "ts", "event_type", F.to_json(body).alias("payload"))
+    return ev.select("event_id", "user_id", "ts", "event_type", F.to_json(body).alias("payload")).transform(_landed)
 
 
 _W = "event_id % 16"
@@ -251,7 +256,7 @@ def _v12(spark, sf_dir):
 _UID = "sha256(event_id || '|' || CASE WHEN event_id % 16 = 2 THEN 'teleport' WHEN event_type = 'view' THEN 'page_view' ELSE event_type END)"
 _add("V12_enrich_web_events", _v12,
      f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id ELSE concat_ws('-', substr({_UID}, 1, 8), substr({_UID}, 9, 4), substr({_UID}, 13, 4), substr({_UID}, 17, 4), substr({_UID}, 21, 12)) END AS id, "
-     "CASE WHEN event_id % 5 <> 0 THEN epoch_ms(ts) ELSE 1704067200000 END AS timestamp_ms, false AS processed, 1.0::DOUBLE AS quality FROM events")
+     "CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) // 1000 ELSE 1704067200000 END AS timestamp_ms, false AS processed, 1.0::DOUBLE AS quality FROM events")
 
 
 def _v13(spark, sf_dir):
@@ -301,7 +306,7 @@ _add("S04_to_event_rows", _s4, oracle(
     f"SELECT tenant_id, CASE {_D} WHEN 1 THEN 'Bad-Name' WHEN 5 THEN 'checkout_done' ELSE event END AS event, {_UUID} AS event_id, task_id, session_id, agent_version, tool_name, "
     f"CASE WHEN event = 'step_executed' AND {_D} = 7 THEN 'weird' ELSE status END AS status, CASE WHEN event = 'step_executed' AND {_D} = 8 THEN 1.5 ELSE tokens_in END AS tokens_in, "
     f"round(cost_usd, 6) AS cost_usd, rating_value, edit_magnitude_value, CAST(CASE {_D} WHEN 10 THEN 3650 WHEN 11 THEN 1 ELSE retention_days END AS INTEGER) AS retention_days, "
-    f"epoch_ms(timestamp) AS at_ms FROM agent_events WHERE {_D} NOT IN (0, 2, 3, 4, 6)"))
+    f"epoch_us(timestamp) // 1000 AS at_ms FROM agent_events WHERE {_D} NOT IN (0, 2, 3, 4, 6)"))
 
 
 def _s5(spark, sf_dir):
@@ -334,7 +339,7 @@ def payloads(spark, sf_dir):
     body = F.struct(F.array(F.struct(
         F.struct(F.array(s("service.name", F.when(F.col("agent_name") != "agent_0", F.col("agent_name")))).alias("attributes")).alias("resource"),
         F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
-    return ev.select("tenant_id", F.to_json(body).alias("payload"))
+    return ev.select("tenant_id", "event_id", F.to_json(body).alias("payload")).transform(_landed)
 
 
 def _s8(spark, sf_dir):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import uuid_from
+from tallyloom.functions.scalars import pinned, uuid_from
 from tallyloom.schema import SCHEMA_VERSION
 
 _ATTRS = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>"
@@ -117,9 +117,10 @@ def map_spans(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (
         steps_total=if_end("completed", F.col("_n")), error_type=if_end("failed", F.lit("task_failed")),
         retryable=if_end("failed", F.lit(False)), abandoned_by=if_end("abandoned", F.lit("system")))
     events = F.when(is_step, F.array(step)).when(is_end, F.array(start, finish))
-    return per.select(
+    out = pinned(per, "_out", F.struct(events.alias("events"), F.when(~is_step & ~is_end, "no recognized conventions").alias("reason")))
+    return out.select(
         *keep, F.lit(SCHEMA_VERSION).alias("schema_version"), "task_id", "run_id", "task_type", "agent_name", F.col("s.name").alias("span"),
-        events.alias("events"), F.when(~is_step & ~is_end, "no recognized conventions").alias("reason"))
+        "_out.events", "_out.reason")
 
 
 def _passthrough(attrs: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.jsonrules import UUID, field, flatten_json, number_of, text_of
+from tallyloom.functions.scalars import pinned
 from tallyloom.schema import EVENT_ROW
 
 _REQUIRED = ("tenant_id", "event", "task_id", "run_id", "task_type", "timestamp")
@@ -27,7 +28,7 @@ def map_messages(df: DataFrame, value: str = "value") -> DataFrame:
     Required fields must be there and well formed; everything else coerces,
     missing or mistyped, to '' or 0. The message itself is kept whole.
     """
-    d = df.withColumn("_f", flatten_json(F.try_parse_json(value)))
+    d = pinned(df, "_f", flatten_json(F.try_parse_json(value)))
     doc = F.col("_f")
     version = field(doc, "agent.version")["t"]
     when = F.try_to_timestamp(text_of(doc, "timestamp"))
@@ -51,8 +52,8 @@ def map_messages(df: DataFrame, value: str = "value") -> DataFrame:
         "payload": F.col(value),
     }
     row = F.struct(*[built[f.name].cast(f.dataType).alias(f.name) for f in EVENT_ROW.fields])
-    d = d.withColumn("_bad", unmappable).withColumn("dead_reason", reason)
-    return d.withColumn("row", F.when(F.col("dead_reason").isNull(), row)).drop("_f", "_bad")
+    d = pinned(pinned(d, "_bad", unmappable), "dead_reason", reason)
+    return pinned(d, "row", F.when(F.col("dead_reason").isNull(), row)).drop("_f", "_bad")
 
 
 def to_event_rows(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
