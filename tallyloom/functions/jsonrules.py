@@ -148,3 +148,18 @@ def reasons(flat: Column, rules: Iterable[Rule], type_path: str | None = None) -
     found = F.array_compact(F.transform(looked_up, _check))
     return F.when(flat.isNull(), F.array(F.lit("(document): not an object"))).otherwise(found)
 
+
+
+def with_fields(payload: Column, extras: dict[str, Column]) -> Column:
+    """The JSON object with the given top-level fields set (values as JSON text); other text is left as it is."""
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>"))
+    kept = F.transform(F.filter(entries, lambda e: ~e["key"].isin(*extras)),
+                       lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    added = F.array_compact(F.array(*[F.concat(F.lit(f'"{k}":'), v) for k, v in extras.items()]))
+    return F.coalesce(F.concat(F.lit("{"), F.array_join(F.concat(kept, added), ","), F.lit("}")), payload)
+
+
+def quoted(text: Column) -> Column:
+    """A string as JSON text."""
+    arr = F.to_json(F.array(text))
+    return F.substring(arr, F.lit(2), F.length(arr) - 2)

@@ -15,9 +15,13 @@ MIN_POINTS = 10
 SENSITIVITY = 0.7
 
 
-def update_baseline(rolled: DataFrame, name: str, order: str, block: Column | None = None) -> DataFrame:
+def update_baseline(rolled: DataFrame, name: str, order: str, block: Column | None = None,
+                    initial: DataFrame | None = None) -> DataFrame:
     """The baseline after each reading, from ``rolled`` (value, p50, p90).
 
+    ``initial`` continues earlier baselines: (name, points, mean, std_dev), one
+    row per metric.
+
     The online recurrence of the deviation is a running sum of squared
     distances to the running mean, so it is two blocked running aggregates and
     no fold over rows: ``mean_n`` is the mean so far, ``std_n`` is
@@ -25,15 +29,23 @@ def update_baseline(rolled: DataFrame, name: str, order: str, block: Column | No
     """
     cols = rolled.columns
     h = side_moments(rolled, [name], order, "value", "h", block=block)
-    n = F.col("h_n") + 1
-    mean = (F.coalesce(F.col("h_n") * F.col("h_mean"), F.lit(0.0)) + F.col("value")) / n
-    h = h.select(*cols, n.alias("points"), mean.alias("mean"))
+    zero = F.lit(0.0)
+    if initial is None:
+        h = h.withColumns({"_n0": F.lit(0).cast("long"), "_m0": zero, "_s0": zero})
+    else:
+        past = initial.select(F.col(name).alias("_name"), F.col("points").alias("_p"), F.col("mean").alias("_m"), F.col("std_dev").alias("_d"))
+        h = h.join(past, F.col(name) == F.col("_name"), "left").withColumns({
+            "_n0": F.coalesce("_p", F.lit(0).cast("long")), "_m0": F.coalesce(F.col("_p") * F.col("_m"), zero),
+            "_s0": F.coalesce(F.col("_p") * F.col("_d") * F.col("_d"), zero)})
+    n = F.col("_n0") + F.col("h_n") + 1
+    mean = (F.col("_m0") + F.coalesce(F.col("h_n") * F.col("h_mean"), zero) + F.col("value")) / n
+    h = h.select(*cols, "_s0", n.alias("points"), mean.alias("mean"))
     h = h.withColumn("_sq", (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")))
     s = side_moments(h, [name], order, "_sq", "s", block=block)
-    total = F.coalesce(F.col("s_n") * F.col("s_mean"), F.lit(0.0)) + F.col("_sq")
+    total = F.col("_s0") + F.coalesce(F.col("s_n") * F.col("s_mean"), zero) + F.col("_sq")
     half = (F.col("p90") - F.col("p50")) / 2
     return s.select(
-        *cols, "points", "mean", F.sqrt(F.greatest(total, F.lit(0.0)) / F.col("points")).alias("std_dev"),
+        *cols, "points", "mean", F.sqrt(F.greatest(total, zero) / F.col("points")).alias("std_dev"),
         F.col("p50").alias("median"), (F.col("p50") - half).alias("q1"), F.col("p90").alias("q3"),
         (F.col("p90") - (F.col("p50") - half)).alias("iqr"),
         (F.abs(F.col("value") - F.col("p50")) * 1.4826).alias("mad"))

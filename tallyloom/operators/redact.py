@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.jsonrules import quoted
 from tallyloom.functions.redaction import KINDS, RECOGNISERS, STRUCTURAL_KEYS, redacted
 
 
@@ -39,18 +40,13 @@ def redact_events(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
         F.col(f.name) if f.name in skip else _walk(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
-def _quoted(text: Column) -> Column:
-    arr = F.to_json(F.array(text))
-    return F.substring(arr, F.lit(2), F.length(arr) - 2)
-
-
 def _redact_value(value: Column, key: Column, depth: int) -> Column:
     """JSON text of a variant value after redaction."""
     kind = F.schema_of_variant(value)
     plain = F.to_json(value)
     text = F.try_variant_get(value, "$", "string")
     structural = key.isin(*STRUCTURAL_KEYS)
-    leaf = F.when(structural, plain).otherwise(_quoted(redacted(text)))
+    leaf = F.when(structural, plain).otherwise(quoted(redacted(text)))
     if depth == 0:
         nested = redacted(plain)
         items = redacted(plain)
@@ -62,7 +58,7 @@ def _redact_value(value: Column, key: Column, depth: int) -> Column:
 
 
 def _redact_object(fields: Column, depth: int) -> Column:
-    parts = F.transform(F.map_entries(fields), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _redact_value(e["value"], e["key"], depth)))
+    parts = F.transform(F.map_entries(fields), lambda e: F.concat(quoted(e["key"]), F.lit(":"), _redact_value(e["value"], e["key"], depth)))
     return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
 
 

@@ -53,9 +53,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agent_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The adapter view over the events table, or over ``events`` (a stream of it)."""
     text = f"WITH {AGENT_EVENTS_CTE} SELECT * FROM agent_events".replace("FROM events)", "FROM {events})")
-    return spark.sql(text, events=table(spark, sf_dir, "events"))
+    return spark.sql(text, events=table(spark, sf_dir, "events") if events is None else events)
 
 
 def oracle(select: str, *ctes: str) -> str:

@@ -35,9 +35,9 @@ def _landed(df):
     return df.repartition("event_id")
 
 
-def messages(spark, sf_dir):
+def messages(spark, sf_dir, events=None):
     """(event_id, tenant_id, event, payload): every event as an enriched message, one in two with a defect by event_id % 20."""
-    ev = agent_events(spark, sf_dir)
+    ev = agent_events(spark, sf_dir, events)
     d = F.col("event_id") % 20
     md = F.md5(F.col("event_id").cast("string"))
     uid = F.concat_ws("-", F.substring(md, 1, 8), F.substring(md, 9, 4), F.substring(md, 13, 4), F.substring(md, 17, 4), F.substring(md, 21, 12))
