@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.jsonrules import quoted
-from tallyloom.functions.redaction import KINDS, RECOGNISERS, STRUCTURAL_KEYS, redacted
+from tallyloom.functions.redaction import KINDS, RECOGNISERS, STRUCTURAL_KEYS, marks, redacted
 
 
 def _has_text(dt: T.DataType) -> bool:
@@ -76,9 +76,8 @@ def redact_json(payload: Column, depth: int = 2) -> Column:
 def redaction_counts(before: Column, after: Column) -> Column:
     """Map of kind to number of new placeholders."""
     pairs = []
-    for kind, _, name in RECOGNISERS:
-        mark = F.lit(rf"\[REDACTED:{name}\]")
-        pairs += [F.lit(kind), F.regexp_count(after, mark) - F.regexp_count(before, mark)]
+    for kind, _, name, _ in RECOGNISERS:
+        pairs += [F.lit(kind), marks(after, name) - marks(before, name)]
     return F.map_filter(F.create_map(*pairs), lambda k, n: n > 0)
 
 

@@ -52,11 +52,12 @@ def _seq(keys, nc="count(*) FILTER (WHERE arm = 0)", nv="count(*) FILTER (WHERE
 
 _add("E1_sequential_evaluate", lambda s, d: _rounded(X.sequential_evaluate(_obs(s, d), ["event_type"])),
      f"WITH {_OBS} SELECT event_type, round(eff, 6) AS effect, round(eff - rad, 6) AS lower, round(eff + rad, 6) AS upper, {_DEC} AS decision, nc AS n_control, nv AS n_variant FROM ({_seq('event_type')})")
-_BLOCK = F.floor(F.col("event_id") / 4096)
+def _block():
+    return F.floor(F.col("event_id") / 4096)
 
 
 def _path(spark, sf_dir):
-    return X.sequential_path(_obs(spark, sf_dir), ["event_type"], ["event_id"], _BLOCK)
+    return X.sequential_path(_obs(spark, sf_dir), ["event_type"], ["event_id"], _block())
 
 
 _PATH = ("ps AS (SELECT event_type, arm, value, row_number() OVER (PARTITION BY event_type, arm ORDER BY event_id) AS i FROM ob), "
@@ -106,7 +107,7 @@ def _monitor(spark, sf_dir):
                     F.when(F.col("value") + push > 30, 1.0).otherwise(0.0).alias("value"))
     exps = ev.select(F.concat(F.lit("exp_"), grp.cast("string")).alias("experiment_id"), F.lit("click").alias("target_metric"),
                      F.when(grp == 3, "decrease").otherwise("increase").alias("direction")).distinct()
-    return X.monitor_experiments(obs, exps, ["event_id"], _BLOCK)
+    return X.monitor_experiments(obs, exps, ["event_id"], _block())
 
 
 _add("E5_monitor_experiments", lambda s, d: _rounded(_monitor(s, d).withColumn("breached", F.concat_ws(",", "breached"))),

@@ -13,6 +13,7 @@ from tallyloom.functions.scalars import r6
 from tallyloom.operators import redact as RD
 from tallyloom.operators import validate as V
 from tallyloom.plans.fixtures import agent_events, oracle, table
+from tallyloom.plans.session import spread
 from tallyloom.sources import otlp as OT
 from tallyloom.sources import rows as RW
 
@@ -32,7 +33,7 @@ def _only(event, col):
 
 def _landed(df):
     """Documents arrive as stored text. The exchange keeps the optimizer from inlining how they were made into how they are read."""
-    return df.repartition("event_id")
+    return spread(df.sparkSession, df, "event_id")
 
 
 def messages(spark, sf_dir, events=None):
@@ -130,7 +131,7 @@ _LUHN = (f"len({_DIG}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_spli
 def redaction_sql(key, src, col="text"):
     """Stage by stage: count, then replace. Cards are put back together around their matches."""
     ctes, prev, counts = [], src, []
-    for i, (kind, pattern, name) in enumerate(RECOGNISERS):
+    for i, (kind, pattern, name, _) in enumerate(RECOGNISERS):
         pat = _RE2.get(kind, pattern)
         mark = f"[REDACTED:{name}]"
         carry = "".join(f", {c}" for c in counts)
@@ -147,7 +148,7 @@ def redaction_sql(key, src, col="text"):
 
 
 def _v5(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     out = redact_text(docs, "text", "n_")
     return out.select("doc_id", F.md5("text").alias("text_md5"), *[F.col(f"n_{k}").cast("long").alias(k) for k in RD.KINDS])
 
@@ -158,7 +159,7 @@ _add("V5_redact_text", _v5, f"WITH {_stages} SELECT doc_id, md5(text) AS text_md
 
 def _v6(spark, sf_dir):
     """Conversation turns as nested events: the role is structural (kind), the text and a list of its lines are not."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(spark, table(spark, sf_dir, "conversations"), "conv_id", "turn")
     ev = c.select("conv_id", "turn", F.struct(F.col("text").alias("kind"), F.col("text").alias("body"), F.array("text").alias("lines")).alias("message"),
                   F.to_json(F.struct(F.col("text").alias("note"), F.col("text").alias("status"), F.struct(F.array("text").alias("parts")).alias("inner"))).alias("payload"))
     typed = RD.redact_events(ev, skip=("payload",))

@@ -65,3 +65,12 @@ def cut_lineage(spark: SparkSession, df):
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(spark) + "/rdd")
     return df.checkpoint(eager=True)
+
+
+def spread(spark: SparkSession, df, *cols: str):
+    """Give a CPU-heavy stage one partition per shuffle slot when its input is a few large row groups.
+
+    The number is explicit, so adaptive execution does not merge the small
+    partitions again.
+    """
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cols)
