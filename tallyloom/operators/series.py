@@ -164,8 +164,10 @@ def rank_correlations(target: DataFrame, candidates: DataFrame, group: Sequence[
     """
     t = target.select(*group, order, F.col(value).alias("_t")).where(F.col("_t").isNotNull())
     c = candidates.select(*group, key, order, F.col(value).alias("_c")).where(F.col("_c").isNotNull())
+    # the built-in correlation raises on a constant side under ANSI arithmetic
+    r = F.try_divide(F.covar_pop("_t", "_c"), F.stddev_pop("_t") * F.stddev_pop("_c"))
     agg = t.join(c, [*group, order]).groupBy(*group, key).agg(
-        F.corr("_t", "_c").alias("coefficient"), F.count(F.lit(1)).alias("n"),
+        r.alias("coefficient"), F.count(F.lit(1)).alias("n"),
         ((F.min("_t") != F.max("_t")) & (F.min("_c") != F.max("_c"))).alias("_varies"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.abs(F.col("coefficient")).desc(), F.col(key)))
     return agg.where((F.col("n") >= 3) & F.col("_varies")).drop("_varies").withColumn("rank", rank)
