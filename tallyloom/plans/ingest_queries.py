@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions.redaction import RECOGNISERS, redact_text
-from tallyloom.functions.scalars import r6
+from tallyloom.functions.scalars import pinned, r6
 from tallyloom.operators import redact as RD
 from tallyloom.operators import validate as V
 from tallyloom.plans.fixtures import agent_events, oracle, table
@@ -32,13 +32,18 @@ def _only(event, col):
 
 
 def _landed(df):
-    """Documents arrive as stored text. The exchange keeps the optimizer from inlining how they were made into how they are read."""
-    return spread(df.sparkSession, df, "event_id")
+    """Documents arrive as stored text: keep the optimizer from inlining how they were made into how they are read."""
+    return pinned(df.withColumnRenamed("payload", "_made"), "payload", F.col("_made")).drop("_made")
+
+
+def _wide(spark, df):
+    """The narrow rows are spread before the documents are built from them."""
+    return spread(spark, df, "event_id")
 
 
 def messages(spark, sf_dir, events=None):
     """(event_id, tenant_id, event, payload): every event as an enriched message, one in two with a defect by event_id % 20."""
-    ev = agent_events(spark, sf_dir, events)
+    ev = _wide(spark, agent_events(spark, sf_dir, events))
     d = F.col("event_id") % 20
     md = F.md5(F.col("event_id").cast("string"))
     uid = F.concat_ws("-", F.substring(md, 1, 8), F.substring(md, 9, 4), F.substring(md, 13, 4), F.substring(md, 17, 4), F.substring(md, 21, 12))
@@ -179,7 +184,7 @@ _add("V6_redact_events", _v6, f"WITH {_cst} SELECT r.conv_id, r.turn, md5(c.text
 
 def web(spark, sf_dir):
     """Product events as web event documents; defects by event_id % 16."""
-    ev = table(spark, sf_dir, "events")
+    ev = _wide(spark, table(spark, sf_dir, "events"))
     d = F.col("event_id") % 16
     kind = F.when(F.col("event_type") == "view", "page_view").otherwise(F.col("event_type"))
     category = F.when(F.col("event_type") == "view", "navigation").when(F.col("event_type") == "click", "engagement").when(
@@ -322,7 +327,7 @@ _add("S05_split_dead_letters", _s5, oracle(
 
 def payloads(spark, sf_dir):
     """Each event as an OTLP payload of one span: steps carry gen_ai attributes, ends an outcome, the rest neither."""
-    ev = agent_events(spark, sf_dir)
+    ev = _wide(spark, agent_events(spark, sf_dir))
     s = lambda key, v: F.when(v.isNotNull(), F.struct(F.lit(key).alias("key"), F.struct(v.cast("string").alias("stringValue"), F.lit(None).cast("string").alias("intValue")).alias("value")))
     i = lambda key, v: F.when(v.isNotNull(), F.struct(F.lit(key).alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), v.cast("long").cast("string").alias("intValue")).alias("value")))
     step = F.col("event") == "step_executed"

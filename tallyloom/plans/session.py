@@ -73,4 +73,6 @@ def spread(spark: SparkSession, df, *cols: str):
     The number is explicit, so adaptive execution does not merge the small
     partitions again.
     """
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cols)
+    sc = spark.sparkContext
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(slots, sc.defaultParallelism) if sc.master.startswith("local") else slots, *cols)
