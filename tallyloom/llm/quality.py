@@ -154,7 +154,7 @@ def _posterior_of(model: LabelModel, pattern: str) -> float:
     return model.posterior.get(pattern, 0.5)
 
 
-def train(docs: DataFrame, model: LabelModel, rows: int, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, rate: float = 0.5) -> np.ndarray:
+def train(docs: DataFrame, model: LabelModel, rows: int, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, rate: float = 2.0) -> np.ndarray:
     """Weights of the linear scorer, the bias last.
 
     About ``sample_rows`` of the ``rows`` documents are chosen by hash. Each task
