@@ -10,7 +10,9 @@ together in larger blocks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,42 +31,57 @@ MERGED_BLOCKS = 16
 _BLOCK_BITS = 24
 
 
+# Byte-level vocabularies write a byte as a character: printable Latin-1 as itself, the others in order from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_AS_CHARACTER = "".join(chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256))
+_LATIN_WORD = re.compile("[a-zß-öø-ÿ]+")
+
+
 class WordIds(dict):
     """Token ids of a word (bytes between ASCII white space) as little-endian 32-bit numbers.
 
-    White space separates words for the tokenizer too, so a text's ids are those
-    of its words in order.
+    White space separates words for the tokenizer too, and it lowers case itself,
+    so a text's ids are those of its lower-case words in order.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > self.most:
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if len(text) > 1 and text[-1] in ".," and _LATIN_WORD.fullmatch(text[-2]):
+            ids = self[word[:-1]] + self[word[-1:]]  # letters and signs are tokens of their own
+        elif _LATIN_WORD.fullmatch(text):
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_AS_CHARACTER))], dtype="<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) >= self.most:
             self.clear()
-        fresh = [w for w in words if w not in self]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        for w, e in zip(fresh, found, strict=True):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def of(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+        data = (text or "").encode("utf-8", "replace")
+        # names of special tokens keep their case
+        return b"".join(map(self.__getitem__, (data if b"<|" in data else data.lower()).split()))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker; tasks that follow find the words already known."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents as ids with END_ID behind, cut where longer than a sequence."""
 
     def run(batches):
-        ids_of = WordIds(tokenizer_path)
+        ids_of = word_ids(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             at, rows = [], []
