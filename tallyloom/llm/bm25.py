@@ -21,8 +21,9 @@ from tallyloom.llm.common import stored
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_DOCS, SHARD_POSTINGS = 60_000, 6_000_000
+SHARD_DOCS, SHARD_POSTINGS = 60_000, 3_000_000
 QUERY_BLOCK = 6000
+PILOTS = 2  # shards searched first, about
 RANGE = 128  # documents that share a block maximum
 DIGITS = 6  # of a score; ties after rounding go to the smaller id
 _FIRST_POSTINGS = 4096
@@ -101,7 +102,12 @@ class Shard:
         at, size = self.gathered(self.frequent)
         self.maxima = np.zeros((len(self.frequent), self.ranges))
         np.maximum.at(self.maxima.reshape(-1), np.repeat(np.arange(len(self.frequent)), size) * self.ranges + self.docs[at] // RANGE, self.impacts[at])
-        self.keys = np.repeat(np.arange(len(self.terms)), self.sizes) * self.n + self.docs  # sorted
+        # the same postings by document
+        by_doc = np.argsort(self.docs, kind="stable")
+        self.terms_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)[by_doc]
+        self.impacts_of = self.impacts[by_doc]
+        self.doc_starts = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=self.n))))
+        self.weight = np.zeros(len(self.terms))  # of the query at hand
 
     def gathered(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the postings of the given terms, and how many each has."""
@@ -114,50 +120,49 @@ class Shard:
             at, size = self.gathered(which)
             scores += np.bincount(self.docs[at], weights=self.impacts[at] * np.repeat(weights, size), minlength=self.n)
 
-    def exact(self, docs: np.ndarray, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of the given documents by the given terms, looked up."""
-        if not len(which) or not len(docs):
-            return np.zeros(len(docs))
-        wanted = which[:, None] * self.n + docs
-        at = np.searchsorted(self.keys, wanted)
-        at[at == len(self.keys)] = 0
-        return (np.where(self.keys[at] == wanted, self.impacts[at], 0.0) * weights[:, None]).sum(axis=0)
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int | None, float]]:
-        """The k best (id, score) for a query."""
+    def full(self, docs: np.ndarray) -> np.ndarray:
+        """Whole scores of the given documents, by all terms of the query; each holds a term."""
+        size = self.doc_starts[docs + 1] - self.doc_starts[docs]
+        before = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(self.doc_starts[docs] - before, size)
+        return np.add.reduceat(self.weight[self.terms_of[at]] * self.impacts_of[at], before) if len(docs) else np.zeros(0)
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[int | None, float]]:
+        """The k best (id, score) for a query, of those that score ``floor`` or more."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         there = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
         which, weights = at[there], weights[there]
         if not len(which):
             return []
+        self.weight[which] = weights
         bound = weights * self.most[which]
         order = np.argsort(-bound, kind="stable")
         which, weights, bound = which[order], weights[order], bound[order]
         rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)  # what terms from here on can still add
-        scores, done, limit, threshold = np.zeros(self.n), 0, _FIRST_POSTINGS, 0.0
+        scores, done, limit, threshold = np.zeros(self.n), 0, _FIRST_POSTINGS, floor - 10.0**-DIGITS
         reach = np.cumsum(self.sizes[which])
-        # essential terms, in growing portions; the k-th best so far is a lower bound of the final one
+        # essential terms, in growing portions; the best so far give a lower bound of the k-th
         while done < len(which) and rest[done] >= threshold:
             last = max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + limit)))
             self.add(scores, which[done:last], weights[done:last])
             done, limit = last, limit * 4
             if self.n > k:
-                threshold = np.partition(scores, self.n - k)[self.n - k] - 10.0**-DIGITS
+                leading = np.argpartition(scores, self.n - k)[self.n - k :]
+                least = scores[leading].min()
+                if not floor and least > 0:
+                    least = self.full(leading).min()
+                threshold = max(threshold, least - 10.0**-DIGITS)
         found = np.flatnonzero((scores > 0) & (scores + rest[done] >= threshold))
         if done < len(which):  # block maxima of what is left
             row = self.row_of[which[done:]]
             blocks = weights[done:][row >= 0] @ self.maxima[row[row >= 0]] + bound[done:][row < 0].sum()
             found = found[scores[found] + blocks[found // RANGE] >= threshold]
-            left, own = which[done:], weights[done:]
-            if len(found) * len(left) * 50 > self.sizes[left].sum():
-                self.add(scores, left, own)
-            else:
-                scores[found] += self.exact(found, left, own)
+        final = np.round(self.full(found), DIGITS)
+        self.weight[which] = 0.0
         if len(found) > k:
-            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - 10.0**-DIGITS]
-        by_term = np.argsort(which, kind="stable")  # one order of summing for all documents
-        final = np.round(self.exact(found, which[by_term], weights[by_term]), DIGITS)
+            best = final >= np.partition(final, len(found) - k)[len(found) - k]
+            found, final = found[best], final[best]
         rows = sorted(zip(final.tolist(), (self.ids[i] for i in found), strict=True), key=lambda r: (-r[0], r[1] is None, r[1]))
         return [(i, s) for s, i in rows[:k] if s > 0]
 
@@ -204,13 +209,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_block: int =
     answers. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    n_rows = docs.count()
-    width = max(spark.sparkContext.defaultParallelism, -(-n_rows // SHARD_DOCS))
-    shards = stored(index_shards(docs.select("doc_id", "text").coalesce(width)), "index")
+    shards = stored(index_shards(docs.select("doc_id", "text")), "index")
     asked = query_terms(queries)
     n_blocks = max(1, -(-queries.count() // query_block))
     asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))), "queries")
-    total = shards.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words")).first()
+    total = shards.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words"), F.count("*").alias("shards")).first()
+    n_shards = total.shards
     n, mean = total.n or 0, max(1e-9, (total.words or 0) / max(1, total.n or 0))
     answers = None
     for block in range(n_blocks):
@@ -222,18 +226,27 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_block: int =
         df = _frequencies(shards, terms)
         weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
         compiled = [(int(q), t, weight[np.searchsorted(terms, t)]) for q, t in zip(rows["query_id"], owns, strict=True)]
-        given = spark.sparkContext.broadcast(compiled)
 
-        def run(batches, given=given):
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    shard = Shard(row, mean)
-                    found = [(q, *hit) for q, terms, weights in given.value for hit in shard.top(terms, weights, k)]
-                    out = pd.DataFrame(found, columns=["query_id", "doc_id", "score"])
-                    yield out.astype({"query_id": "int64", "doc_id": "Int64", "score": "float64"})
+        def answered(part: DataFrame, floors: dict[int, float]) -> DataFrame:
+            given = spark.sparkContext.broadcast((compiled, floors))
+
+            def run(batches):
+                queries, least = given.value
+                for batch in batches:
+                    for row in batch.itertuples(index=False):
+                        shard = Shard(row, mean)
+                        found = [(q, *hit) for q, terms, weights in queries for hit in shard.top(terms, weights, k, least.get(q, 0.0))]
+                        out = pd.DataFrame(found, columns=["query_id", "doc_id", "score"])
+                        yield out.astype({"query_id": "int64", "doc_id": "Int64", "score": "float64"})
+
+            return part.mapInPandas(run, "query_id long, doc_id long, score double")
 
+        # the k-th best of a few shards bounds the k-th best of all from below
+        pilot = answered(shards.where(F.pmod(F.crc32("lengths"), F.lit(max(1, n_shards // PILOTS))) == 0), {})
+        floors = pilot.groupBy("query_id").agg(F.count("*").alias("c"), F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+        floors = {r.query_id: r.least for r in floors.where(F.col("c") >= k).select("query_id", F.element_at("s", k).alias("least")).collect()}  # one number per query of the block
         best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
-        merged = shards.mapInPandas(run, "query_id long, doc_id long, score double").withColumn("rank", best).where(F.col("rank") <= k)
+        merged = answered(shards, floors).withColumn("rank", best).where(F.col("rank") <= k)
         merged = stored(merged.select("query_id", "rank", "doc_id", "score"), "answers")
         answers = merged if answers is None else answers.unionByName(merged)
     return answers if answers is not None else spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
