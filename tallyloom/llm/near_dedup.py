@@ -5,8 +5,8 @@ largest value, two nearly independent samples for one evaluation. Bands of four
 values make buckets; documents that meet in a bucket are compared on their full
 shingle sets. In a bucket each document is first compared with one hub, so a
 large group costs a star and not all its pairs. Only documents that are still in
-different components are compared further, and of them only those that their
-distances from the hub allow to be near, as Jaccard distance is a metric.
+different components are compared further, and of them only those whose known
+overlaps with the hub allow a link, with what they share beside the hub.
 """
 
 from __future__ import annotations
@@ -131,20 +131,49 @@ def _sizes_allow(x: str, y: str):
     return 100 * F.least(x, y) >= NEAR * F.greatest(x, y)
 
 
-def _further_pairs(buckets: DataFrame, distances: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components that sizes, hub distances and sketches allow to be near."""
+def _mixed_rows(buckets: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, without the hub, with what each has in common with the hub (null: not compared)."""
     rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rows = rows.join(mixed, "key", "left_semi").join(distances, ["hub", "node"], "left")
-    # the hub's distance from itself is known to be 0
-    d = F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d"))
-    rows = stored(rows.select("key", "node", "n", "label", d.alias("d"), (1 - F.least("n", "hub_n") / F.greatest("n", "hub_n")).alias("at_least"), (F.col("node") == F.col("hub")).alias("is_hub")), "mixed-buckets")
-    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label", "d", "at_least", "is_hub")]) for s in "ab")
-    room = F.lit(1 - NEAR / 100 + 1e-9)
-    # |d(a, hub) - d(b, hub)| is a lower bound of d(a, b); where one is not known, a bound of it by sizes serves on one side
-    gap = F.greatest(F.coalesce(F.abs(F.col("d_a") - F.col("d_b")), F.col("at_least_a") - F.col("d_b"), F.col("at_least_b") - F.col("d_a"), F.lit(0.0)), F.lit(0.0))
-    pairs = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ~F.col("is_hub_a") & ~F.col("is_hub_b") & _sizes_allow("n_a", "n_b") & (gap <= room))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("n_a", "n_b").alias("small")).distinct()
+    common = known.select(F.col("b").alias("hub"), F.col("a").alias("node"), "common")
+    rows = rows.where("node <> hub").join(mixed, "key", "left_semi").join(common, ["hub", "node"], "left")
+    return rows.select("key", "hub", "node", "n", "label", "common")
+
+
+def _pairs_on(rows: DataFrame, on: list[str], condition) -> DataFrame:
+    """Pairs of ``rows`` in different components that agree in ``on``, whose sizes allow a link."""
+    rest = [c for c in rows.columns if c not in on]
+    a, b = (rows.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in rest]) for s in "ab")
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _sizes_allow("n_a", "n_b")
+    return a.join(b, on).where(apart & condition).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", *[f"{c}_{s}" for c in rest if c == "common" for s in "ab"])
+
+
+def _further_pairs(buckets: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a bucket in different components that what is known of the hub allows to be linked.
+
+    A link needs 7 c >= 3 (n_a + n_b) for c shingles in common, and c is at most
+    the smaller share in the hub plus what both have beside the hub. Pairs that may
+    do without the latter are found in their bucket; the others share shingles that
+    the hub lacks, and are found by these.
+    """
+    rows = stored(_mixed_rows(buckets, known, labels), "mixed-buckets")
+    free = F.col("common_a").isNull() | F.col("common_b").isNull() | (7 * F.least("common_a", "common_b") >= 3 * (F.col("n_a") + F.col("n_b")))
+    by_hub = _pairs_on(rows, ["key"], free).select("a", "b", F.least("n_a", "n_b").alias("small"))
+
+    family = rows.where("common IS NOT NULL").select("hub", "node", "n", "label", "common").distinct()
+    of_hub, of_node = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("hub", "node"))
+    beside = family.join(of_node, "node").join(of_hub, "hub").withColumn("shingle", F.explode(F.array_except("_node", "_hub"))).drop("_node", "_hub")
+    beside = stored(beside, "beside-hubs")
+    shared = beside.groupBy("hub", "shingle").count().where("count > 1").select("hub", "shingle")
+    beside = beside.join(shared, ["hub", "shingle"], "left_semi")
+    # who shares less than any partner would need drops out
+    least = family.groupBy("hub").agg(F.min("n").alias("least"))
+    need = 3 * (F.col("n") + F.greatest(F.col("least"), NEAR / 100 * F.col("n"))) - 7 * F.col("common")
+    able = beside.groupBy("hub", "node", "n", "common").agg(F.count("*").alias("c")).join(least, "hub").where(7 * F.col("c") >= need).select("hub", "node")
+    held = 7 * F.least("common_a", "common_b") < 3 * (F.col("n_a") + F.col("n_b"))
+    met = _pairs_on(beside.join(able, ["hub", "node"], "left_semi"), ["hub", "shingle"], held)
+    by_rest = met.groupBy("a", "b", "n_a", "n_b", "common_a", "common_b").agg(F.count("*").alias("c")).where(7 * (F.least("common_a", "common_b") + F.col("c")) >= 3 * (F.col("n_a") + F.col("n_b")))
+    return by_hub.union(by_rest.select("a", "b", F.least("n_a", "n_b").alias("small"))).distinct()
 
 
 def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -176,19 +205,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     found = stored(signatures(base), "signatures")
     # documents with equal sets are one node
-    reps = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = stored(reps, "nodes")
-    keys = reps.select(F.explode("bands").alias("key"), "node", "n")
-    hubs = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    keys = reps.select(F.explode("bands").alias("key"), "node", "n", F.struct(-F.col("copies"), "rep", "node", "n").alias("turn"))
+    # what has most copies, and then what came first, is likely what the others derive from
+    hubs = keys.groupBy("key").agg(F.min("turn").alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     hubs = stored(hubs, "hubs")
-    buckets = stored(keys.join(small_side(hubs, hubs.count(), 1_000_000), "key"), "buckets")
+    buckets = stored(keys.drop("turn").join(small_side(hubs, hubs.count(), 1_000_000), "key"), "buckets")
     stars = stored(buckets.where((F.col("node") != F.col("hub")) & _sizes_allow("n", "hub_n")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     sets = stored(_sets_of(base, reps, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()), "sets")
     known = stored(_confirmed(stars, sets), "confirmed")
     links = _linked(known)
     labels = connected_components(links)
-    distances = known.select(F.col("b").alias("hub"), F.col("a").alias("node"), (1 - F.col("common") / F.col("joint")).alias("d"))
-    more = stored(_alike(_further_pairs(buckets, distances, labels, reps), reps), "further-pairs")
+    more = stored(_alike(_further_pairs(buckets, known, labels, sets), reps), "further-pairs")
     if not more.isEmpty():
         nodes = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
         sets = stored(_sets_of(base, reps, nodes), "sets")
