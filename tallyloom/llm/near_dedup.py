@@ -18,6 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyloom.llm.common import small_side, stored
 from tallyloom.llm.components import connected_components
@@ -164,16 +165,18 @@ def _further_pairs(buckets: DataFrame, known: DataFrame, labels: DataFrame, sets
     of_hub, of_node = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("hub", "node"))
     beside = family.join(of_node, "node").join(of_hub, "hub").withColumn("shingle", F.explode(F.array_except("_node", "_hub"))).drop("_node", "_hub")
     beside = stored(beside, "beside-hubs")
-    shared = beside.groupBy("hub", "shingle").count().where("count > 1").select("hub", "shingle")
-    beside = beside.join(shared, ["hub", "shingle"], "left_semi")
-    # who shares less than any partner would need drops out
+    shared = beside.groupBy("hub", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    beside = stored(beside.join(shared, ["hub", "shingle"]), "shared-beside")
+    # If two sets share c shingles or more, they share one among all but the last c - 1 of each, in any one order.
+    # The order is from rare to frequent, and c what the best partner would need; who holds less than that drops out.
     least = family.groupBy("hub").agg(F.min("n").alias("least"))
-    need = 3 * (F.col("n") + F.greatest(F.col("least"), NEAR / 100 * F.col("n"))) - 7 * F.col("common")
-    able = beside.groupBy("hub", "node", "n", "common").agg(F.count("*").alias("c")).join(least, "hub").where(7 * F.col("c") >= need).select("hub", "node")
-    held = 7 * F.least("common_a", "common_b") < 3 * (F.col("n_a") + F.col("n_b"))
-    met = _pairs_on(beside.join(able, ["hub", "node"], "left_semi"), ["hub", "shingle"], held)
-    by_rest = met.groupBy("a", "b", "n_a", "n_b", "common_a", "common_b").agg(F.count("*").alias("c")).where(7 * (F.least("common_a", "common_b") + F.col("c")) >= 3 * (F.col("n_a") + F.col("n_b")))
-    return by_hub.union(by_rest.select("a", "b", F.least("n_a", "n_b").alias("small"))).distinct()
+    need = F.ceil((3 * (F.col("n") + F.greatest(F.col("least"), NEAR / 100 * F.col("n"))) - 7 * F.col("common")) / 7)
+    own = W.partitionBy("hub", "node")
+    beside = beside.join(least, "hub").withColumn("held", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("holders", "shingle")))
+    leading = beside.where(F.col("turn") <= F.col("held") - F.greatest(need, F.lit(1)) + 1).select("hub", "shingle", "node", "n", "label", "common")
+    apart = 7 * F.least("common_a", "common_b") < 3 * (F.col("n_a") + F.col("n_b"))
+    by_rest = _pairs_on(leading, ["hub", "shingle"], apart).select("a", "b", F.least("n_a", "n_b").alias("small"))
+    return by_hub.union(by_rest).distinct()
 
 
 def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
