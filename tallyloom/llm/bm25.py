@@ -31,7 +31,7 @@ _FIRST_POSTINGS = 4096
 
 class _TermHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

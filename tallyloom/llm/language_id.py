@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyloom.llm.common import small_side
+
 PROFILE_SIZE = 400
 LONGEST = 3  # letters; three code points of 21 bits fit one 64-bit code
 DOCS_PER_LANGUAGE = 4000
@@ -105,7 +107,8 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE_SIZE, docs_per_langu
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     shares = rows.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count("*")).alias("share"))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(shares, "lang").where(unit < F.col("share")).select("lang", "text")
+    # one row for each language: joined without moving texts
+    sample = rows.join(small_side(shares, shares.count()), "lang").where(unit < F.col("share")).select("lang", "text")
 
     def count(batches):
         for batch in batches:

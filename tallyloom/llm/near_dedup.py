@@ -33,7 +33,7 @@ _MASKS = np.frombuffer(hashlib.shake_256(b"masks").digest(8 * PERMUTATIONS), dty
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -132,13 +132,13 @@ def _sizes_allow(x: str, y: str):
     return 100 * F.least(x, y) >= NEAR * F.greatest(x, y)
 
 
-def _mixed_rows(buckets: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed_rows(buckets: DataFrame, known: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components, without the hub, with what each has in common with the hub (null: not compared)."""
     rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     common = known.select(F.col("b").alias("hub"), F.col("a").alias("node"), "common")
     rows = rows.where("node <> hub").join(mixed, "key", "left_semi").join(common, ["hub", "node"], "left")
-    return rows.select("key", "hub", "node", "n", "label", "common")
+    return rows.join(reps.select("node", "sketch"), "node").select("key", "hub", "node", "n", "label", "common", "sketch")
 
 
 def _pairs_on(rows: DataFrame, on: list[str], condition) -> DataFrame:
@@ -146,10 +146,23 @@ def _pairs_on(rows: DataFrame, on: list[str], condition) -> DataFrame:
     rest = [c for c in rows.columns if c not in on]
     a, b = (rows.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in rest]) for s in "ab")
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _sizes_allow("n_a", "n_b")
-    return a.join(b, on).where(apart & condition).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", *[f"{c}_{s}" for c in rest if c == "common" for s in "ab"])
+    return a.join(b, on).where(apart & condition).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", *[f"{c}_{s}" for c in rest if c == "sketch" for s in "ab"])
 
 
-def _further_pairs(buckets: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _alike():
+    """Whether the sketches of a pair agree in places enough; sets of few shingles pass, as their samples repeat.
+
+    Of a pair at the limit 120 of 160 places agree, give or take 5.5; 86 leaves
+    six deviations.
+    """
+
+    def same(ka: pd.Series, kb: pd.Series) -> pd.Series:
+        return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(ka, kb, strict=True)], dtype="int32")
+
+    return (F.least("n_a", "n_b") < 100) | (F.pandas_udf(same, "int")("sketch_a", "sketch_b") >= 86)
+
+
+def _further_pairs(buckets: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of a bucket in different components that what is known of the hub allows to be linked.
 
     A link needs 7 c >= 3 (n_a + n_b) for c shingles in common, and c is at most
@@ -157,9 +170,9 @@ def _further_pairs(buckets: DataFrame, known: DataFrame, labels: DataFrame, sets
     do without the latter are found in their bucket; the others share shingles that
     the hub lacks, and are found by these.
     """
-    rows = stored(_mixed_rows(buckets, known, labels), "mixed-buckets")
+    rows = stored(_mixed_rows(buckets, known, labels, reps), "mixed-buckets")
     free = F.col("common_a").isNull() | F.col("common_b").isNull() | (7 * F.least("common_a", "common_b") >= 3 * (F.col("n_a") + F.col("n_b")))
-    by_hub = _pairs_on(rows, ["key"], free).select("a", "b", F.least("n_a", "n_b").alias("small"))
+    by_hub = _pairs_on(rows, ["key"], free).where(_alike()).select("a", "b")
 
     family = rows.where("common IS NOT NULL").select("hub", "node", "n", "label", "common").distinct()
     of_hub, of_node = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("hub", "node"))
@@ -175,26 +188,10 @@ def _further_pairs(buckets: DataFrame, known: DataFrame, labels: DataFrame, sets
     beside = beside.join(least, "hub").withColumn("held", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("holders", "shingle")))
     leading = beside.where(F.col("turn") <= F.col("held") - F.greatest(need, F.lit(1)) + 1).select("hub", "shingle", "node", "n", "label", "common")
     apart = 7 * F.least("common_a", "common_b") < 3 * (F.col("n_a") + F.col("n_b"))
-    by_rest = _pairs_on(leading, ["hub", "shingle"], apart).select("a", "b", F.least("n_a", "n_b").alias("small"))
+    by_rest = _pairs_on(leading, ["hub", "shingle"], apart).select("a", "b")
     return by_hub.union(by_rest).distinct()
 
 
-def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree in places enough; sets of few shingles pass, as their samples repeat.
-
-    Of a pair at the limit 120 of 160 places agree, give or take 5.5; 86 leaves
-    six deviations.
-    """
-    left = reps.select(F.col("node").alias("a"), F.col("sketch").alias("ka"))
-    right = reps.select(F.col("node").alias("b"), F.col("sketch").alias("kb"))
-
-    def same(ka: pd.Series, kb: pd.Series) -> pd.Series:
-        return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(ka, kb, strict=True)], dtype="int32")
-
-    agree = F.pandas_udf(same, "int")
-    return pairs.join(left, "a").join(right, "b").where((F.col("small") < 100) | (agree("ka", "kb") >= 86)).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Components of documents linked by near-equal shingle sets.
 
@@ -220,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = stored(_confirmed(stars, sets), "confirmed")
     links = _linked(known)
     labels = connected_components(links)
-    more = stored(_alike(_further_pairs(buckets, known, labels, sets), reps), "further-pairs")
+    more = stored(_further_pairs(buckets, known, labels, sets, reps), "further-pairs")
     if not more.isEmpty():
         nodes = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
         sets = stored(_sets_of(base, reps, nodes), "sets")

@@ -117,7 +117,7 @@ class _Features(dict):
     def __missing__(self, word: str) -> tuple[int, int]:
         shape = re.sub(r"(.)\1+", r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in word))
         found = xxhash.xxh32_intdigest(word.lower()) % BUCKETS, xxhash.xxh32_intdigest(f"shape {shape} {min(len(word), 16)}") % BUCKETS
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = found
         return found

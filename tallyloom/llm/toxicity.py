@@ -135,7 +135,7 @@ def grammar() -> dict[tuple[int, str], tuple[int, str]]:
 class Lexicon(dict):
     """Weight of a lower-case word: of the word itself or of its heaviest known beginning; 0 for others."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float], most: int = 300_000):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], most: int = 150_000):
         super().__init__()
         self.words, self.beginnings, self.most = words, beginnings, most
 
