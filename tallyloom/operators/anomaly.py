@@ -136,19 +136,16 @@ def detect(baselined: DataFrame, name: str, order: str, methods: Sequence[str] =
 
 
 def correlated_metrics(df: DataFrame, name: str, ts: str, value: str, threshold: float = 0.7, min_points: int = 10,
-                       max_points: int = 1000, grid: int = 16) -> DataFrame:
+                       grid: int = 16) -> DataFrame:
     """Pairs of metrics whose recent readings correlate with |r| >= threshold.
 
-    ``df`` holds the readings of the look-back window. A metric keeps at most
-    its newest ``max_points`` readings (the size of the rolling window), so a
-    metric is one bounded vector. Vectors meet on a grid of hash cells and only
+    ``df`` holds the readings of the look-back window, all of which count: a
+    metric is one vector as long as that window allows. Vectors meet on a grid of hash cells and only
     the pairs that pass leave a task; no pair is formed per reading.
     Readings are aligned by position and centred on each metric's own mean.
     """
     vectors = (
         df.select(F.col(name).alias("metric"), F.col(ts).alias("_ts"), F.col(value).cast("double").alias("_v"))
-        .withColumn("_r", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("_ts"))))
-        .where(F.col("_r") <= max_points)
         .groupBy("metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("_ts", "_v"))), lambda s: s["_v"]).alias("vec"))
         .where(F.size("vec") >= min_points)
         .withColumn("cell", F.pmod(F.xxhash64("metric"), F.lit(grid)).cast("int"))

@@ -29,7 +29,9 @@ def _walk(col: Column, dt: T.DataType, key: str) -> Column:
     if isinstance(dt, T.ArrayType):
         return F.transform(col, lambda x: _walk(x, dt.elementType, key))
     if isinstance(dt, T.MapType):
-        return F.transform_values(col, lambda k, v: F.when(k.isin(*STRUCTURAL_KEYS), v).otherwise(_walk(v, dt.valueType, "")))
+        # a structural key spares its own strings; objects under it are walked like any other
+        spared = next(iter(STRUCTURAL_KEYS))
+        return F.transform_values(col, lambda k, v: F.when(k.isin(*STRUCTURAL_KEYS), _walk(v, dt.valueType, spared)).otherwise(_walk(v, dt.valueType, "")))
     out = F.struct(*[_walk(col[f.name], f.dataType, f.name).alias(f.name) for f in dt.fields])
     return F.when(col.isNotNull(), out)
 

@@ -9,7 +9,6 @@ from tallyloom.functions.blocks import with_lookback, with_previous
 from tallyloom.functions.scalars import nearest_rank
 
 WINDOW_MS = 60_000
-MAX_POINTS = 1000
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
@@ -18,34 +17,33 @@ def _us(ts: str) -> Column:
 
 
 def rolling_aggregate(df: DataFrame, name: str, ts: str, value: str, tie: str | None = None,
-                      window_ms: int = WINDOW_MS, max_points: int = MAX_POINTS) -> DataFrame:
+                      window_ms: int = WINDOW_MS, percentiles: bool = True) -> DataFrame:
     """After each reading: last, min, max, avg, sum, count, percentiles and trend of the trailing window.
 
-    The window holds the readings of the last ``window_ms``, at most the
-    newest ``max_points`` of them, so the array per row is bounded by
-    definition. Time is cut in blocks of ten windows with the look-back rows
-    copied in, so one busy metric is spread over many tasks.
+    The window holds all readings of the last ``window_ms`` up to this one. Time
+    is cut in blocks of ten windows with the look-back rows copied in, so one
+    busy metric is spread over many tasks. Aggregates are frames over the time
+    axis; only percentiles need the window's values together, and may be left out.
     """
     order = [ts] + ([tie] if tie else [])
     rows = df.select(name, *order, F.col(value).cast("double").alias("value")).withColumn("_us", _us(ts))
     blocks = with_lookback(rows, "_us", 10 * window_ms * 1000, window_ms * 1000)
-    w = Window.partitionBy(name, "_block").orderBy("_us", *order[1:]).rowsBetween(-(max_points - 1), 0)
-    recent = F.collect_list(F.struct("_us", "value")).over(w)
-    cutoff = F.lit(window_ms * 1000)
-    got = (
-        blocks.withColumn("_recent", recent).where(~F.col("_copy"))
-        .withColumn("_vals", F.transform(
-            F.filter("_recent", lambda p: p["_us"] >= F.col("_us") - cutoff), lambda p: p["value"]))
-    )
-    total = F.aggregate("_vals", F.lit(0.0), lambda a, b: a + b)
-    ranked = F.array_sort("_vals")
-    got = got.withColumn("_sorted", ranked)
+    earlier = Window.partitionBy(name, "_block").orderBy("_us").rangeBetween(-window_ms * 1000, -1)
+    same_time = Window.partitionBy(name, "_block", "_us").orderBy(*(order[1:] or ["_us"])).rowsBetween(Window.unboundedPreceding, 0)
+    last_ten = Window.partitionBy(name, "_block").orderBy("_us", *order[1:]).rowsBetween(-9, 0)
+    both = lambda f: (f("value").over(earlier), f("value").over(same_time))
+    zero = lambda pair: F.coalesce(pair[0], F.lit(0)) + pair[1]
+    recent = F.collect_list(F.struct("_us", "value")).over(last_ten)
+    got = blocks.select(
+        name, *order, "value", "_us", "_copy",
+        F.least(*both(F.min)).alias("min"), F.greatest(*both(F.max)).alias("max"),
+        zero(both(F.sum)).alias("sum"), zero(both(F.count)).cast("int").alias("count"), recent.alias("_recent"),
+        *([F.array_sort(F.concat(*both(F.collect_list))).alias("_sorted")] if percentiles else [])).where(~F.col("_copy"))
+    newest = F.transform(F.filter("_recent", lambda p: p["_us"] >= F.col("_us") - F.lit(window_ms * 1000)), lambda p: p["value"])
     return got.select(
-        name, *order, "value",
-        F.array_min("_vals").alias("min"), F.array_max("_vals").alias("max"),
-        (total / F.size("_vals")).alias("avg"), total.alias("sum"), F.size("_vals").alias("count"),
-        *[nearest_rank(F.col("_sorted"), p).alias(n) for n, p in PERCENTILES.items()],
-        metric_trend(F.col("_vals")).alias("trend"))
+        name, *order, "value", "min", "max", (F.col("sum") / F.col("count")).alias("avg"), "sum", "count",
+        *([nearest_rank(F.col("_sorted"), p).alias(n) for n, p in PERCENTILES.items()] if percentiles else []),
+        metric_trend(newest).alias("trend"))
 
 
 def metric_trend(values: Column) -> Column:

@@ -280,15 +280,15 @@ _add("C13_custom_metrics", _c13,
 
 # ---- rolling metrics -----------------------------------------------------
 
-WIN_MS, CAP = 6 * 3600 * 1000, 12
+WIN_MS = 6 * 3600 * 1000
 
 
 def _rolled(spark, sf_dir):
-    return W.rolling_aggregate(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id", WIN_MS, CAP)
+    return W.rolling_aggregate(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id", WIN_MS)
 
 
-_LISTS = ("r0 AS (SELECT event_id, event_type, ts, value, list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS vs, "
-          "list(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS tt FROM events), "
+_LISTS = ("r0 AS (SELECT event_id, event_type, ts, value, list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vs, "
+          "list(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tt FROM events), "
           "r1 AS (SELECT event_id, event_type, ts, value, vs[len(vs) - len(list_filter(tt, lambda x: x >= ts - INTERVAL 6 HOUR)) + 1:] AS l FROM r0), "
           "ro AS (SELECT event_id, event_type, ts, value, l, list_sort(l) AS s, len(l) AS n FROM r1)")
 
@@ -354,7 +354,7 @@ for _key, (_m, _lo, _hi, _hit, _cf) in _DET.items():
 def _q6(spark, sf_dir):
     """Readings two orders of magnitude smaller, so that a rate per second can exceed half of one."""
     ev = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 5 == 0, F.col("value") / 1e6).otherwise(F.col("value")))
-    rolled = W.rolling_aggregate(ev, "event_type", "ts", "v", "event_id", WIN_MS, CAP)
+    rolled = W.rolling_aggregate(ev, "event_type", "ts", "v", "event_id", WIN_MS)
     rates = W.metric_rate(ev, "event_type", "ts", "v", "event_id").select("event_id", "rate")
     base = Q.update_baseline(rolled, "event_type", "event_id").join(rates, "event_id")
     return Q.detect(base, "event_type", "event_id", ["pattern"], gated=False).select("event_type", "event_id", "confidence")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -39,34 +40,29 @@ def local_session(name: str = "tallyloom", cores: int | str = "*", memory: str =
     return tune(builder.getOrCreate())
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tallyloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``; a machine-local folder is
-    used only where that is unset, which is the case in tests.
+    A cluster names it in ``spark.checkpoint.dir``. Without it only a session that
+    runs in one process, as tests do, gets a folder of its own.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    made = getattr(shared_dir, "_made", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="tallyloom-")
-        shared_dir._made = made
-    return made
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(spark: SparkSession, df):
-    """Reliable checkpoint in the shared folder."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(spark) + "/rdd")
-    return df.checkpoint(eager=True)
-
-
 def spread(spark: SparkSession, df, *cols: str):
     """Give a CPU-heavy stage one partition per shuffle slot when its input is a few large row groups.
 

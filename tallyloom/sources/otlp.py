@@ -52,7 +52,7 @@ def _is_root(span: Column) -> Column:
 
 
 def _millis(nanos: Column) -> Column:
-    return F.floor(nanos.cast("decimal(20,0)") / F.lit(1_000_000)).cast("long")
+    return F.floor(nanos.try_cast("decimal(20,0)") / F.lit(1_000_000)).try_cast("long")
 
 
 def _iso(ms: Column) -> Column:
@@ -85,7 +85,7 @@ def map_spans(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (
         _attr(a, "gen_ai.usage.input_tokens").try_cast("double").alias("tokens_in"),
         _attr(a, "gen_ai.usage.output_tokens").try_cast("double").alias("tokens_out"),
         _millis(F.col("s.startTimeUnixNano")).alias("_start"), _millis(F.col("s.endTimeUnixNano")).alias("_end"),
-        F.floor((F.col("s.endTimeUnixNano").cast("decimal(20,0)") - F.col("s.startTimeUnixNano").cast("decimal(20,0)")) / F.lit(1_000_000)).cast("long").alias("_took"),
+        F.floor((F.col("s.endTimeUnixNano").try_cast("decimal(20,0)") - F.col("s.startTimeUnixNano").try_cast("decimal(20,0)")) / F.lit(1_000_000)).try_cast("long").alias("_took"),
         F.when(F.col("s.status.code") == 2, "error").otherwise("ok").alias("_status"),
         _passthrough(a).alias("otel_attributes"),
     )
@@ -116,8 +116,12 @@ def map_spans(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (
         end_name, F.col("_end"), duration_ms=F.col("_took"), verification=if_end("completed", F.lit("self_reported")),
         steps_total=if_end("completed", F.col("_n")), error_type=if_end("failed", F.lit("task_failed")),
         retryable=if_end("failed", F.lit(False)), abandoned_by=if_end("abandoned", F.lit("system")))
-    events = F.when(is_step, F.array(step)).when(is_end, F.array(start, finish))
-    out = pinned(per, "_out", F.struct(events.alias("events"), F.when(~is_step & ~is_end, "no recognized conventions").alias("reason")))
+    unread = lambda time, ms: F.col(time).isNotNull() & F.col(ms).isNull()
+    bad_time = unread("s.startTimeUnixNano", "_start") | unread("s.endTimeUnixNano", "_end")
+    events = F.when(bad_time, None).when(is_step, F.array(step)).when(is_end, F.array(start, finish))
+    # fixed values: the reason for spans without conventions is recorded by readers
+    reason = F.when(~is_step & ~is_end, "no recognized conventions").when(bad_time, "time is no number")
+    out = pinned(per, "_out", F.struct(events.alias("events"), reason.alias("reason")))
     return out.select(
         *keep, F.lit(SCHEMA_VERSION).alias("schema_version"), "task_id", "run_id", "task_type", "agent_name", F.col("s.name").alias("span"),
         "_out.events", "_out.reason")

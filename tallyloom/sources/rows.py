@@ -48,7 +48,8 @@ def map_messages(df: DataFrame, value: str = "value") -> DataFrame:
         "agent_version": F.coalesce(text_of(doc, "agent.version"), F.lit("")),
         **{c: F.coalesce(number_of(doc, p), F.lit(0.0)) for c, p in _NUMBER.items()},
         "retention_days": F.when(retention.isNull(), DEFAULT_RETENTION).otherwise(
-            F.least(F.lit(MAX_RETENTION), F.greatest(F.lit(MIN_RETENTION), F.floor(retention + 0.5).cast("int")))),
+            # clamped as it comes, so a number beyond an int cannot stop the job
+            F.floor(F.least(F.lit(float(MAX_RETENTION)), F.greatest(F.lit(float(MIN_RETENTION)), retention)) + 0.5).cast("int")),
         "payload": F.col(value),
     }
     row = F.struct(*[built[f.name].cast(f.dataType).alias(f.name) for f in EVENT_ROW.fields])

@@ -27,11 +27,14 @@ def latest_per_key(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v")).select(*keys, "_v.*")
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: int = 600) -> None:
-    """Process everything that is there and stop; the checkpoint moves only after ``each`` returned."""
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: float | None = None) -> None:
+    """Process everything that is there and stop; the checkpoint moves only after ``each`` returned.
+
+    A backlog takes the time it takes; only a caller that passes ``timeout`` (seconds) sets a limit.
+    """
     query = (stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
-    if not query.awaitTermination(timeout):
+    if query.awaitTermination(timeout) is False:
         query.stop()
         raise TimeoutError("the stream did not finish in time")
 
