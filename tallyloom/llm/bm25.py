@@ -205,8 +205,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_block: int =
     scores only if it holds one. Scores are rounded to six digits and ties go to
     the smaller id, a null id last. Null or empty texts match nothing and find
     nothing; queries with a null id are left out. Repeated rows of ``docs`` are
-    results each; a repeated query is answered once by the union of its rows'
-    answers. Empty tables give no rows; other columns are ignored.
+    results each; a repeated query is answered once, with the words of all its rows. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     shards = stored(index_shards(docs.select("doc_id", "text")), "index")
@@ -219,13 +218,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_block: int =
     answers = None
     for block in range(n_blocks):
         rows = asked.where(F.col("block") == block).toPandas()  # about ``query_block`` queries
-        owns = [np.asarray(t, dtype=np.int64).view(np.uint64) for t in rows["terms"]]
+        asked_for: dict[int, np.ndarray] = {}
+        for q, t in zip(rows["query_id"], rows["terms"], strict=True):
+            own = np.asarray(t, dtype=np.int64).view(np.uint64)
+            asked_for[int(q)] = np.union1d(asked_for[q], own) if q in asked_for else own
+        owns = list(asked_for.values())
         terms = np.unique(np.concatenate(owns)) if owns else np.empty(0, dtype=np.uint64)
         if not len(terms):
             continue
         df = _frequencies(shards, terms)
         weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        compiled = [(int(q), t, weight[np.searchsorted(terms, t)]) for q, t in zip(rows["query_id"], owns, strict=True)]
+        compiled = [(q, t, weight[np.searchsorted(terms, t)]) for q, t in asked_for.items()]
 
         def answered(part: DataFrame, floors: dict[int, float]) -> DataFrame:
             given = spark.sparkContext.broadcast((compiled, floors))
