@@ -16,20 +16,18 @@ def benchmark(contributions: DataFrame, optin: DataFrame, k: int = MIN_COHORT, b
     Input is (metric, tenant_id, value), one row per tenant. Below ``k``
     contributors nothing but the count and the reason is published, and no
     figure that could equal one tenant's value (min, max, quantile) ever is.
-    The rank comes from counts per distinct value, not from pairing tenants.
+    Values are computed once: rank and figures are windows over one row per tenant.
     """
     by = list(by)
     own = contributions.where(F.col("value").isNotNull()).join(optin.select("tenant_id").distinct(), "tenant_id", "left_semi")
-    stats = own.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
-    per_value = own.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_c"))
-    wp = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = per_value.withColumn("_below", F.coalesce(F.sum("_c").over(wp), F.lit(0))).drop("_c")
+    every, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value")
+    own = own.select(
+        *by, "tenant_id", F.count(F.lit(1)).over(every).alias("n"), F.avg("value").over(every).alias("_mean"),
+        F.stddev_pop("value").over(every).alias("_sd"), (F.rank().over(ordered) - 1).alias("_below"))
     ok = F.col("n") >= k
     share = half_up(F.col("_below") / F.col("n") * 100)
     return (
-        own.join(below, [*by, "value"]).join(stats, by)
-        .select(
+        own.select(
             *by, "tenant_id", "n", (~ok).alias("suppressed"),
             F.when(~ok, F.format_string(f"insufficient cohort: %d contributors, need at least {k}", "n")).alias("reason"),
             F.when(ok, half_up(F.col("_mean"), 4)).alias("mean"),

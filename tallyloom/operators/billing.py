@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import any_of
 from tallyloom.operators.metrics import MetricArgs
 from tallyloom.schema import IDENTITY, is_event
-from tallyloom.sources.events import dedupe_events, scan_events
+from tallyloom.sources.events import fold_copies, insert_order, scan_events
 
 METERS = ("events_ingested", "tasks_tracked", "agent_runs", "tasks_completed")
 
@@ -31,9 +31,9 @@ def usage_meters(events: DataFrame, args: MetricArgs, deduped: bool = False) ->
     Two plain groupings, (tenant, task, run) then (tenant, task), replace three
     distinct counts over the raw rows.
     """
-    rows = scan_events(events, args.scope).select(*dict.fromkeys([*IDENTITY, "task_id", "run_id"]))
+    rows = scan_events(events, args.scope).select(*dict.fromkeys([*IDENTITY, "task_id", "run_id", *insert_order(events)]))
     if not deduped:
-        rows = dedupe_events(rows)
+        rows = fold_copies(rows)
     runs = rows.groupBy("tenant_id", "task_id", "run_id").agg(
         F.count(F.lit(1)).alias("n"), any_of(is_event("task_completed")).alias("done"))
     tasks = runs.groupBy("tenant_id", "task_id").agg(

@@ -95,20 +95,14 @@ def sample_size(df: DataFrame, baseline: str, mde: str, alpha: float = 0.05, pow
     return df.withColumn("per_arm", F.ceil(F.try_divide(z * z * var, d * d)))
 
 
-def monitor_experiments(obs: DataFrame, experiments: DataFrame, order: Sequence[str], block: Column,
-                        alpha: float = 0.05) -> DataFrame:
+def monitor_experiments(obs: DataFrame, experiments: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Guardrails first: a harmful one stops the experiment; else the target decides by its intended direction.
 
-    ``obs``: experiment_id, metric, arm, value and the order columns.
-    ``experiments``: experiment_id, target_metric, direction. Only the first n
-    observations of each arm count, n being the shorter arm.
+    ``obs``: experiment_id, metric, arm, value. ``experiments``: experiment_id,
+    target_metric, direction. All observations count; the test takes each arm's size.
     """
     keys = ["experiment_id", "metric"]
-    pos = positions(obs.where(F.col("arm").isin("control", "variant")).select(*keys, "arm", "value", *order), [*keys, "arm"], order, block, "i")
-    c, v = F.col("arm") == "control", F.col("arm") == "variant"
-    sizes = obs.groupBy(*keys).agg(F.least(F.count_if(c), F.count_if(v)).alias("_n"))
-    paired = pos.join(sizes, keys).where(F.col("i") <= F.col("_n"))
-    ev = sequential_evaluate(paired, keys, alpha=alpha)
+    ev = sequential_evaluate(obs.where(F.col("arm").isin("control", "variant")).select(*keys, "arm", "value"), keys, alpha=alpha)
     j = ev.join(experiments, "experiment_id")
     harm = F.lit("increase")
     for name, direction in HARM.items():

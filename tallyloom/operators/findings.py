@@ -9,7 +9,7 @@ from tallyloom.functions.scalars import as_count, as_pct, as_points, as_usd, div
 from tallyloom.operators import metrics as M
 from tallyloom.operators.series import anomaly_zscore
 from tallyloom.schema import IDENTITY, ended, is_event
-from tallyloom.sources.events import dedupe_events, scan_events
+from tallyloom.sources.events import fold_copies, insert_order, scan_events
 
 
 def regression_sweep(tenants: DataFrame, events: DataFrame, args: M.MetricArgs, threshold: float = 0.05,
@@ -21,9 +21,9 @@ def regression_sweep(tenants: DataFrame, events: DataFrame, args: M.MetricArgs,
     """
     for name in ("task_success_rate", "regression_delta", "per_tool_failure_rate"):
         M.check_args(name, args)
-    rows = scan_events(events, args.scope).select(*IDENTITY, "tool_name", "status")
+    rows = scan_events(events, args.scope).select(*IDENTITY, "tool_name", "status", *insert_order(events))
     if not deduped:
-        rows = dedupe_events(rows)
+        rows = fold_copies(rows)
     after, done, step = args.after_pivot(), is_event("task_completed"), is_event("step_executed")
     # one scan serves all three metrics: counts per (tenant, tool), then per tenant
     per_tool = rows.groupBy("tenant_id", "tool_name").agg(
@@ -74,7 +74,7 @@ def weekly_digest(events: DataFrame, args: M.MetricArgs, deduped: bool = False)
     """Five formatted metrics per tenant with their citation ids; the weekly one is the latest week's."""
     rows = scan_events(events, args.scope)
     if not deduped:
-        rows = dedupe_events(rows)
+        rows = fold_copies(rows)
     names = [n for n, _, _ in DIGEST if n in M.PANEL]
     panel = M.metric_panel(rows, args, names, deduped=True)
     weekly = M.metric("weekly_task_actors", rows, args, deduped=True)

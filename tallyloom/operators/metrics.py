@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.quantiles import grouped_quantiles
 from tallyloom.functions.scalars import any_of, count_if, div, guarded_div, sunday_week
 from tallyloom.schema import IDENTITY, ended, human_touch, is_event
-from tallyloom.sources.events import ALL_TENANTS, Scope, dedupe_events, scan_events
+from tallyloom.sources.events import ALL_TENANTS, Scope, fold_copies, insert_order, scan_events
 
 SEGMENTS = ("task_type", "agent_version", "agent_name")
 
@@ -47,7 +47,10 @@ class Metric:
     layer: str
     aggs: Aggs
     reads: tuple[str, ...] = ()
+    #: on columns of the dedup identity only, so that it may precede the folding of copies
     where: Callable[[], Column] | None = None
+    #: on other columns: copies may differ in these, so it follows the folding
+    late: Callable[[], Column] | None = None
     #: level-1 grouping below the tenant and its flags; aggs then read the flags
     per: tuple[str, ...] = ()
     flags: Callable[[], list[Column]] | None = None
@@ -145,7 +148,7 @@ METRICS: dict[str, Metric] = {
         reads=("retry_of_step_id",), where=_steps),
     "per_tool_failure_rate": Metric(
         "O", lambda a: _value(div(count_if(F.col("status") != "ok"), F.count(F.lit(1)))),
-        reads=("tool_name", "status"), where=lambda: _steps() & (F.col("tool_name") != ""),
+        reads=("tool_name", "status"), where=_steps, late=lambda: F.col("tool_name") != "",
         keys={"tool_name": lambda: F.col("tool_name")}),
     # Q: quality and drift
     "human_edit_distance": Metric(
@@ -171,7 +174,7 @@ METRICS: dict[str, Metric] = {
     # R: retention and expansion
     "weekly_task_actors": Metric(
         "R", lambda a: _value(F.countDistinct("session_id")), reads=("session_id",),
-        where=lambda: _starts() & (F.col("session_id") != ""), keys={"week": _week},
+        where=_starts, late=lambda: F.col("session_id") != "", keys={"week": _week},
         note="the session stands in for the account"),
     "task_depth_expansion": Metric(
         "R", lambda a: _value(F.countDistinct("task_type")), where=_starts, keys={"week": _week}),
@@ -180,7 +183,7 @@ METRICS: dict[str, Metric] = {
         reads=("initiator",), where=_starts),
     "quality_cohort_retention": Metric(
         "R", lambda a: _value(F.count(F.lit(1))), reads=("session_id",),
-        where=lambda: F.col("session_id") != "", per=("session_id", "week"),
+        late=lambda: F.col("session_id") != "", per=("session_id", "week"),
         flags=lambda: [any_of(is_event("human_overrode")).alias("overridden")],
         keys={"week": lambda: F.col("week"),
               "cohort": lambda: F.when(F.col("overridden"), "overridden").otherwise("clean")},
@@ -226,9 +229,11 @@ def metric(name: str, events: DataFrame, args: MetricArgs, deduped: bool = False
     rows = scan_events(events, args.scope)
     if m.where is not None:
         rows = rows.where(m.where())
-    rows = rows.select(*dict.fromkeys([*IDENTITY, *m.reads, *seg]))
+    rows = rows.select(*dict.fromkeys([*IDENTITY, *m.reads, *seg, *insert_order(events)]))
     if not deduped:
-        rows = dedupe_events(rows)
+        rows = fold_copies(rows)
+    if m.late is not None:
+        rows = rows.where(m.late())
     if m.per:
         if "week" in m.per:
             rows = rows.withColumn("week", _week())
@@ -295,7 +300,7 @@ def metric_panel(events: DataFrame, args: MetricArgs, names=PANEL, deduped: bool
     seg = [args.segment_by] if args.segment_by else []
     rows = scan_events(events, args.scope)
     if not deduped:
-        rows = dedupe_events(rows)
+        rows = fold_copies(rows)
     t = task_rollup(rows, args)
     s = lambda c: F.sum(c)
     tasks = F.count(F.lit(1))
@@ -365,10 +370,11 @@ def per_arm_metric(events: DataFrame, exposures: DataFrame, name: str, args: Met
     if name not in ARM_METRICS:
         raise ValueError(f"metric {name} is not a supported experiment guardrail")
     m = check_args(name, args)
-    rows = scan_events(events, args.scope).select(*dict.fromkeys([*IDENTITY, "task_id", *m.reads]))
+    rows = scan_events(events, args.scope).select(*dict.fromkeys([*IDENTITY, "task_id", *m.reads, *insert_order(events)]))
     if not deduped:
-        rows = dedupe_events(rows)
+        rows = fold_copies(rows)
     joined = rows.join(exposures, rows["task_id"] == exposures["subject"])
-    if m.where is not None:
-        joined = joined.where(m.where())
+    for keep in (m.where, m.late):
+        if keep is not None:
+            joined = joined.where(keep())
     return joined.groupBy("tenant_id", "arm").agg(*m.aggs(args)).select("tenant_id", "arm", "value")

@@ -233,9 +233,13 @@ def sanitize_events(df: DataFrame, action: str = "action", properties: str = "pr
     return df.withColumn("sanitized", changed).withColumn(action, new_action).withColumn(properties, props)
 
 
-def enrich_web_events(df: DataFrame, now: Column, id_col: str = "id", ts: str = "timestamp_ms", key: Sequence[str] = ("userId", "sessionId", "type", "action")) -> DataFrame:
-    """Default id (content hash, so a replay gets the same one), timestamp and metadata flags."""
-    made = uuid_from(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+def enrich_web_events(df: DataFrame, now: Column, id_col: str = "id", ts: str = "timestamp_ms", key: Sequence[str] | None = None) -> DataFrame:
+    """Default id (content hash, so a replay gets the same one), timestamp and metadata flags.
+
+    Without ``key`` the hash is of the whole event, so two events of a session that differ anywhere get two ids.
+    """
+    whole = [c for c in df.columns if c != id_col]
+    made = uuid_from(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]) if key else uuid_from(F.to_json(F.struct(*whole), {"ignoreNullFields": "false"}))
     return df.withColumn(id_col, F.coalesce(F.col(id_col), made)).withColumn(ts, F.coalesce(F.col(ts), now)).withColumn(
         "metadata", F.struct(F.lit(False).alias("processed"), F.lit(False).alias("scored"), F.lit(False).alias("segmented"),
                              F.lit(1.0).alias("quality"), F.lit(1.0).alias("confidence")))

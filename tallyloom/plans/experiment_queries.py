@@ -107,15 +107,14 @@ def _monitor(spark, sf_dir):
                     F.when(F.col("value") + push > 30, 1.0).otherwise(0.0).alias("value"))
     exps = ev.select(F.concat(F.lit("exp_"), grp.cast("string")).alias("experiment_id"), F.lit("click").alias("target_metric"),
                      F.when(grp == 3, "decrease").otherwise("increase").alias("direction")).distinct()
-    return X.monitor_experiments(obs, exps, ["event_id"], _block())
+    return X.monitor_experiments(obs, exps)
 
 
 _add("E5_monitor_experiments", lambda s, d: _rounded(_monitor(s, d).withColumn("breached", F.concat_ws(",", "breached"))),
      "WITH o AS (SELECT user_id % 8 AS g, event_type AS m, (user_id // 8) % 2 AS arm, event_id, value + CASE WHEN (user_id // 8) % 2 = 1 AND event_type = 'click' AND user_id % 8 < 4 THEN 60 "
      "WHEN (user_id // 8) % 2 = 1 AND event_type = 'error' AND user_id % 8 = 1 THEN 60 WHEN (user_id // 8) % 2 = 1 AND event_type = 'purchase' AND user_id % 8 = 2 THEN -60 ELSE 0 END AS raw FROM events), "
-     "p AS (SELECT g, m, arm, CASE WHEN raw > 30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value, row_number() OVER (PARTITION BY g, m, arm ORDER BY event_id) AS i FROM o), "
-     "k AS (SELECT g, m, least(count(*) FILTER (WHERE arm = 0), count(*) FILTER (WHERE arm = 1)) AS n FROM p GROUP BY 1, 2), "
-     "ob AS (SELECT p.g, p.m, arm, value FROM p JOIN k ON p.g = k.g AND p.m = k.m AND i <= n), "
+     "p AS (SELECT g, m, arm, CASE WHEN raw > 30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM o), "
+     "ob AS (SELECT g, m, arm, value FROM p), "
      f"ev AS (SELECT *, eff - rad AS lo, eff + rad AS hi FROM ({_seq('g, m')})), "
      "br AS (SELECT g, string_agg(nm, ',' ORDER BY nm) AS breached FROM (SELECT g, CASE m WHEN 'error' THEN 'override_rate' WHEN 'purchase' THEN 'task_success_rate' WHEN 'signup' THEN 'cost_per_completed_task' ELSE m END AS nm "
      "FROM ev WHERE m <> 'click' AND CASE WHEN m = 'purchase' THEN hi < 0 ELSE lo > 0 END) GROUP BY 1), "

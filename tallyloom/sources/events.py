@@ -61,6 +61,19 @@ def dedupe_events(events: DataFrame, order_col: str | None = None, keys: Sequenc
     )
 
 
+#: Time or number of the insert, where a table records it; of differing copies the last insert wins.
+INSERTED = "inserted_at"
+
+
+def insert_order(events: DataFrame) -> list[str]:
+    return [INSERTED] if INSERTED in events.columns else []
+
+
+def fold_copies(events: DataFrame) -> DataFrame:
+    """One row per identity: the last insert where the table records it, else any of the equal copies."""
+    return dedupe_events(events, *insert_order(events))
+
+
 def with_month(events: DataFrame) -> DataFrame:
     return events.withColumn("month", F.date_format("timestamp", "yyyy-MM"))
 

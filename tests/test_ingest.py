@@ -171,3 +171,35 @@ def test_content_token_ignores_order(spark):
     a = spark.range(100).withColumn("x", F.col("id") * 2)
     t = lambda df: S.content_token(df).collect()[0]["token"]
     assert t(a) == t(a.repartition(7).orderBy(F.desc("id"))) != t(a.where("id < 99"))
+
+
+def test_numbers_beyond_their_type_do_not_stop_the_job(spark):
+    from pyspark.sql import functions as F
+    from tallyloom.sources.otlp import map_spans
+    from tallyloom.sources.rows import map_messages
+
+    message = ('{"schema_version":"1.0","event":"task_started","event_id":"3f2504e0-4f89-41d3-9a0c-0305e82c3301","tenant_id":"t","task_id":"k","run_id":"r",'
+               '"task_type":"x","timestamp":"2024-01-01T00:00:00Z","agent":{"name":"a"},"retention_days":%s}')
+    rows = spark.createDataFrame([(message % n,) for n in ("99999999999", "1e300", "-5")], "value string")
+    got = [r.d for r in map_messages(rows).select(F.col("row.retention_days").alias("d")).collect()]
+    assert len(got) == 3 and all(d is None or 1 <= d <= 3650 for d in got)
+
+    span = '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"t","spanId":"s","name":"chat","startTimeUnixNano":"oops","endTimeUnixNano":"1","attributes":[{"key":"gen_ai.operation.name","value":{"stringValue":"chat"}}]}]}]}]}'
+    out = map_spans(spark.createDataFrame([(span,)], "payload string")).collect()
+    assert len(out) == 1 and out[0].events is None and out[0].reason
+
+
+def test_structural_key_spares_strings_only(spark):
+    from tallyloom.operators.redact import redact_events
+
+    df = spark.sql("SELECT map('reason', named_struct('note', 'mail a.b@example.org')) AS props")
+    assert "example.org" not in str(redact_events(df).first().props)
+
+
+def test_rolling_window_keeps_every_reading(spark):
+    from pyspark.sql import functions as F
+    from tallyloom.operators.rolling import rolling_aggregate
+
+    df = spark.range(1500).select(F.lit("m").alias("name"), F.timestamp_millis(F.col("id") * 10 + 1704067200000).cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value"))
+    got = rolling_aggregate(df, "name", "ts", "value").agg(F.max("count"), F.max("sum")).first()
+    assert tuple(got) == (1500, 1500.0)
