@@ -33,7 +33,7 @@ _MASKS = np.frombuffer(hashlib.shake_256(b"masks").digest(8 * PERMUTATIONS), dty
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= 80_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -45,7 +45,7 @@ class WordIds(dict):
     so a text's ids are those of its lower-case words in order.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer

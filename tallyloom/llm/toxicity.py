@@ -135,7 +135,7 @@ def grammar() -> dict[tuple[int, str], tuple[int, str]]:
 class Lexicon(dict):
     """Weight of a lower-case word: of the word itself or of its heaviest known beginning; 0 for others."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float], most: int = 150_000):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], most: int = 100_000):
         super().__init__()
         self.words, self.beginnings, self.most = words, beginnings, most
 
@@ -278,13 +278,9 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD
     """
     model = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def run(batches):
-        for batch in batches:
-            out = batch.copy(deep=False)
-            out["score"] = [model.value.score(t) for t in batch["text"]]
-            out["predicted"] = (out["score"] >= threshold).astype("int32")
-            yield out
-
-    rest = docs.drop("score", "predicted")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["score double", "predicted int"])
-    return rest.mapInPandas(run, schema)
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.map(model.value.score, na_action=None).astype("float64")
+
+    # only scores come back from Python; texts stay where they are
+    scored = docs.drop("score", "predicted").withColumn("score", F.pandas_udf(score, "double")("text"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
