@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """row, doc_id, n, node (name of the shingle set, null without words), bands, sketch (a byte of each value)."""
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         words_of = _WordHash()
         for batch in batches:
             rows = []

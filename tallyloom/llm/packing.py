@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """doc_id, piece, start, length, ids_crc32: documents as ids with END_ID behind, cut where longer than a sequence."""
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         ids_of = word_ids(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
