@@ -10,8 +10,14 @@ from tallyloom.llm.common import crc_of_id, stored
 from tallyloom.llm.queries import tokenizer_path
 
 
+def _bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Whole texts go to Python in Arrow batches of some megabytes; where a batch ends changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, learned on the labelled ones among them, doesn't reject."""
+    _bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_of_id() % 3 != 1)
     scorer = toxicity.learn(docs, labels.select("doc_id", "toxic"))
     return toxicity.score_toxicity(docs, scorer).where("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
@@ -19,6 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without boilerplate lines, their length counted anew; a text that was nothing else goes."""
+    _bound_batches(spark)
     found = line_templates.drop_recurring_lines(docs).where("n_dropped = 0 OR n_dropped < n_lines")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -26,6 +33,7 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -35,6 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
