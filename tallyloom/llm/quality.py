@@ -75,9 +75,8 @@ LABELLERS = {
 }
 
 
-def votes(text: str | None) -> str:
+def votes(f: Facts) -> str:
     """One letter per labeller."""
-    f = facts(text)
     return "".join(labeller(f) for labeller in LABELLERS.values())
 
 
@@ -123,7 +122,7 @@ class _Features(dict):
         return found
 
 
-def features(text: str | None, cache: _Features) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, f: Facts, cache: _Features) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of unit length: square roots of shares, and a few facts of the whole text in steps."""
     words = (text or "").split()
     if words:
@@ -132,7 +131,6 @@ def features(text: str | None, cache: _Features) -> tuple[np.ndarray, np.ndarray
         values = np.sqrt(counts / len(words))
     else:
         buckets, values = np.empty(0, dtype=np.int64), np.empty(0)
-    f = facts(text)
     steps = [f"{name} {int(np.log2(1 + value) if name == 'words' else value * 8)}" for name, value in f._asdict().items()]
     buckets = np.concatenate((buckets, [xxhash.xxh32_intdigest(s) % BUCKETS for s in steps]))
     values = np.concatenate((values, np.full(len(steps), 0.7)))
@@ -144,7 +142,7 @@ def vote_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = pd.Series([votes(t) for t in batch["text"]]).value_counts()
+            found = pd.Series([votes(facts(t)) for t in batch["text"]]).value_counts()
             yield pd.DataFrame({"pattern": found.index, "n": found.to_numpy()})
 
     return docs.select("text").mapInPandas(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
@@ -168,7 +166,10 @@ def train(docs: DataFrame, model: LabelModel, rows: int, sample_rows: int = SAMP
     def featurise(batches):
         cache = _Features()
         for batch in batches:
-            made = [(*features(t, cache), _posterior_of(known.value, votes(t))) for t in batch["text"]]
+            made = []
+            for t in batch["text"]:
+                f = facts(t)
+                made.append((*features(t, f, cache), _posterior_of(known.value, votes(f))))
             yield pd.DataFrame(made, columns=["buckets", "values", "p"])
 
     chosen = docs.select("doc_id", "text").where(unit < sample_rows / max(1, rows)).select("text")
@@ -214,10 +215,11 @@ def classify_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFra
         model, w = known.value
         cache = _Features()
         for batch in batches:
-            patterns = [votes(t) for t in batch["text"]]
-            scored = []
+            patterns, scored = [], []
             for t in batch["text"]:
-                b, v = features(t, cache)
+                f = facts(t)
+                patterns.append(votes(f))
+                b, v = features(t, f, cache)
                 scored.append(1 / (1 + np.exp(-(w[b] @ v + w[-1]))))
             out = pd.DataFrame({"doc_id": batch["doc_id"], "votes": patterns, "weak": [_posterior_of(model, p) for p in patterns], "score": scored})
             out["predicted"] = (out["score"] >= 0.5).astype("int32")
