@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.quantiles import grouped_quantiles
 from tallyloom.operators.billing import TIERS
 
 # Onboarding milestones, latest first, and the step each one leads to.
@@ -37,7 +38,7 @@ def onboarding_state(timeline: DataFrame) -> DataFrame:
 def onboarding_funnel(states: DataFrame) -> DataFrame:
     """Tenants per step, and the median time to the first finding over all of them (on every row)."""
     steps = states.groupBy("current_step").agg(F.count(F.lit(1)).alias("tenants"))
-    median = states.agg(F.percentile("time_to_first_finding_ms", F.lit(0.5)).alias("median_time_to_first_finding_ms"))
+    median = grouped_quantiles(states, [], "time_to_first_finding_ms", {"median_time_to_first_finding_ms": 0.5})
     return steps.withColumn("_k", F.lit(1)).join(median.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 

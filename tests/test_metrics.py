@@ -2,9 +2,11 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions.quantiles import grouped_quantiles, value_range
 from tallyloom.operators import benchmark as B
 from tallyloom.operators import billing as BL
 from tallyloom.operators import metrics as M
@@ -124,3 +126,14 @@ def test_last_insert_wins_and_filters_follow_it(spark, make_events):
     args = M.MetricArgs(M.ALL_TENANTS if hasattr(M, "ALL_TENANTS") else ALL_TENANTS, "2024-01-01 00:00:00", "2024-02-01 00:00:00")
     # the corrected copy has no tool, so there is nothing to report
     assert M.metric("per_tool_failure_rate", rows, args).count() == 0
+
+
+def test_quantiles_of_small_and_mixed_values(spark):
+    """Ranges are relative at every magnitude, and order holds over zero and signs."""
+    values = [0.0, -3.5, 1e-9, 2.5e-9, 1e-300, 7.0, -1e-12, 0.0031, 0.0032, 5e12]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = grouped_quantiles(df, [], "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}).collect()[0]
+    want = [float(np.quantile(values, p)) for p in (0.0, 0.25, 0.5, 0.9, 1.0)]
+    assert list(got) == pytest.approx(want, rel=1e-12)
+    small = spark.range(4000).select((F.col("id") / 1e6).alias("v"))
+    assert small.groupBy(value_range(F.col("v"))).count().agg(F.max("count")).first()[0] < 40
