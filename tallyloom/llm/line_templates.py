@@ -4,8 +4,10 @@ Lines are parsed to fixed depth: by number of words, then by leading words, with
 words that hold a digit masked. Lines of one leaf that agree in most places share
 a template, whose other places are variable. A template that recurs in enough
 documents, each time between other lines, is boilerplate and its lines go. Lines
-that recur because whole documents were copied stand between the same neighbours
-and are left to document dedup.
+that often follow each other are one block, and the lines around the block are the
+neighbours of each. Lines that recur because whole documents were copied stand
+between the same neighbours, or make up nearly all of their documents, and are
+left to document dedup.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyloom.llm.common import small_side, stored
+from tallyloom.llm.components import connected_components
 
 MIN_DOCUMENTS = 10
 LEADING, LEADING_OF_LARGE = 3, 10  # words that lead to a leaf, and to a leaf of a large leaf
 SAME_PLACES = 0.75  # of a template's words
 LARGE_LEAF = 1000  # distinct lines
+COPIES_SHARE = 8 / 9  # of a document's words; two that share so much are alike to 0.8, as near dedup asks
 _DIGIT, _VARIABLE = re.compile(r"\d"), re.compile(r"[^\s]*\d[^\s]*")
 
 
@@ -50,7 +55,7 @@ def _masked_lines(text: str | None) -> Iterator[str]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line that is not blank: doc, line, before and after (hashes), leaf, fine_leaf."""
+    """One row per line that is not blank: doc, at (place), line, before and after (hashes), leaf, fine_leaf, words, doc_words."""
 
     def run(batches):
         for batch in batches:
@@ -58,10 +63,12 @@ def line_table(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch["doc"], batch["text"], strict=True):
                 lines = list(_masked_lines(text))
                 marks = [None, *map(_hash, lines), None]
-                rows.extend((doc, marks[i + 1], marks[i], marks[i + 2], *leaf_keys(m)) for i, m in enumerate(lines))
-            yield pd.DataFrame(rows, columns=["doc", "line", "before", "after", "leaf", "fine_leaf"]).astype({"before": "Int64", "after": "Int64"})
+                words = [m.count(" ") + 1 for m in lines]
+                rows.extend((doc, i, marks[i + 1], marks[i], marks[i + 2], *leaf_keys(m), words[i], sum(words)) for i, m in enumerate(lines))
+            yield pd.DataFrame(rows, columns=columns).astype({"before": "Int64", "after": "Int64"})
 
-    return docs.select("doc", "text").mapInPandas(run, "doc long, line long, before long, after long, leaf long, fine_leaf long")
+    columns = ["doc", "at", "line", "before", "after", "leaf", "fine_leaf", "words", "doc_words"]
+    return docs.select("doc", "text").mapInPandas(run, ", ".join(f"{c} long" for c in columns))
 
 
 def _cluster(members: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
@@ -126,6 +133,50 @@ def line_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return placed.mapInPandas(cluster, "line long, template long").groupBy("line").agg(F.min("template").alias("template"))
 
 
+def _blocks(uses: DataFrame, min_documents: int) -> DataFrame:
+    """(doc, template, left, right) with the neighbours of the block that a line stands in.
+
+    ``uses`` are the lines of frequent templates. Two that follow each other in
+    ``min_documents`` places belong to one block. Blocks of a document that is
+    nearly all frequent lines tell of copies; those that share their frequent
+    line of least hash count as one context.
+    """
+    pairs = stored(uses.where("right IS NOT NULL").groupBy("template", "right").count().where(F.col("count") >= min_documents).select("template", "right", F.lit(True).alias("bound")), "pairs")
+    rows = uses.join(small_side(pairs, pairs.count()), ["template", "right"], "left")
+    along, whole = W.partitionBy("doc").orderBy("at"), W.partitionBy("doc")
+    rows = rows.withColumn("starts", F.lag("bound").over(along).isNull().cast("int")).withColumn("block", F.sum("starts").over(along))
+    rows = rows.withColumn("copied", F.sum("words").over(whole) >= F.col("doc_words") * COPIES_SHARE).withColumn("family", F.min("template").over(whole))
+    blocks = rows.groupBy("doc", "block").agg(F.min_by("left", "at").alias("left"), F.max_by("right", "at").alias("right"), F.collect_set("template").alias("templates"), F.count("*").alias("n"), F.first("copied").alias("copied"), F.first("family").alias("family"))
+    folded = F.col("copied") & (F.col("n") > 1)
+    return blocks.select("doc", F.explode("templates").alias("template"), *[F.when(folded, F.col("family")).otherwise(F.col(c)).alias(c) for c in ("left", "right")])
+
+
+def _distinct_uses(contexts: DataFrame, min_documents: int) -> DataFrame:
+    """(template, doc) with one document for all contexts that share neighbours.
+
+    Contexts that are linked by a common left or right neighbour tell of copied
+    documents and count once. They are followed only where the count of a
+    template depends on them.
+    """
+    alone = contexts
+    for side in ("left", "right"):
+        again = contexts.where(F.col(side).isNotNull()).groupBy("template", side).count().where("count > 1").select("template", side)
+        alone = alone.join(again, ["template", side], "left_anti")
+    alone = stored(alone.select("template", "doc").distinct(), "alone")
+    enough = alone.groupBy("template").agg(F.count("*").alias("n"))
+    enough = stored(enough.where(F.col("n") >= min_documents).select("template"), "enough")
+    # no more uses than neighbours on either side; a missing one is as good as the other side's
+    node = lambda side, other: F.when(F.col(side).isNotNull(), F.xxhash64("template", F.lit(side), side)).otherwise(F.xxhash64("template", F.lit(other), F.coalesce(other, F.lit(0))))
+    open_ones = contexts.join(small_side(enough, enough.count()), "template", "left_anti").withColumn("a", node("left", "right")).withColumn("b", node("right", "left"))
+    most = open_ones.groupBy("template").agg(F.least(F.countDistinct("a"), F.countDistinct("b")).alias("most")).where(F.col("most") >= min_documents).select("template")
+    open_ones = stored(open_ones.join(most, "template", "left_semi"), "open-contexts")
+    if open_ones.isEmpty():
+        return alone
+    labels = connected_components(open_ones.select("a", "b"))
+    named = open_ones.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    return alone.join(small_side(enough, enough.count()), "template", "left_semi").union(named.groupBy("template", "label").agg(F.min("doc").alias("doc")).select("template", "doc"))
+
+
 def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """Hashes of the lines whose template recurs, and the table of all lines. ``docs`` has doc and text."""
     lines = stored(line_table(docs), "lines")
@@ -138,14 +189,12 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tupl
 
     counted = template_of(lines.select("line"), "line", "template").groupBy("template").count()
     frequent = stored(counted.where(F.col("count") >= min_documents).select("template"), "frequent")
-    uses = template_of(lines.select("doc", "line", "before", "after"), "line", "template").join(small_side(frequent, frequent.count()), "template", "left_semi")
-    uses = template_of(template_of(uses, "before", "left"), "after", "right")
-    contexts = stored(uses.groupBy("template", "left", "right").agg(F.min("doc").alias("doc")), "contexts")
-    alone = contexts
-    for side in ("left", "right"):  # a neighbour met in several contexts tells of copied documents
-        again = contexts.where(F.col(side).isNotNull()).groupBy("template", side).count().where("count > 1").select("template", side)
-        alone = alone.join(again, ["template", side], "left_anti")
-    recurring = stored(alone.groupBy("template").agg(F.countDistinct("doc").alias("n")).where(F.col("n") >= min_documents).select("template"), "recurring")
+    uses = template_of(lines.drop("leaf", "fine_leaf"), "line", "template").join(small_side(frequent, frequent.count()), "template", "left_semi")
+    # rows with equal id and text are one document
+    uses = stored(template_of(template_of(uses, "before", "left"), "after", "right").dropDuplicates(["doc", "at"]), "uses")
+    contexts = stored(_blocks(uses, min_documents).groupBy("template", "left", "right").agg(F.min("doc").alias("doc")), "contexts")
+    recurring = _distinct_uses(contexts, min_documents).groupBy("template").agg(F.countDistinct("doc").alias("n"))
+    recurring = stored(recurring.where(F.col("n") >= min_documents).select("template"), "recurring")
     others = named.join(small_side(recurring, recurring.count()), "template", "left_semi").select("line")
     return recurring.select(F.col("template").alias("line")).union(others).distinct(), lines
 

@@ -81,6 +81,27 @@ def test_recurring_templates_go_and_copies_stay(docs_of, odd):
     assert joined == {i: r.text for i, r in got.items()}
 
 
+def _own(i, k):
+    return " ".join(f"{w}{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for w in ("one", "two", "three", "four", "five", "six")[:k])
+
+
+def test_blocks_of_lines_go_and_near_copies_stay(docs_of):
+    block = ["Subscribe to our letter", "for news of the week", "and tell your friends"]
+    rows = [(i, "\n".join([_own(i, 5), *block, _own(i, 4)])) for i in range(30)]
+    rows += [(100 + i, "\n".join([_own(i, 6), "Sign up here for more", "Yes."])) for i in range(30)] + [(200, "alone at first\nYes.\nand then more")]
+    # near copies, each with another of their lines changed
+    copied = [f"copied line {'abcdefghijklmnopqrst'[k]} {'qwertyuiopasdfghjklz'[k]} of a long text" for k in range(20)]
+    rows += [(300 + i, "\n".join([*copied[: i % 20], _own(i, 5) + " x", *copied[i % 20 + 1 :]])) for i in range(60)]
+    # a line that stands in ten unrelated places, two of which were copied with another end
+    rows += [(400 + i, "\n".join([_own(i, 3) + " p q", "Back to the top of the list", _own(i, 2) + " r s t"])) for i in range(10)]
+    rows += [(500 + i, "\n".join([_own(i, 3) + " p q", "Back to the top of the list", _own(i, 2) + " u v w y z"])) for i in range(2)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs_of(rows)).collect()}
+    assert all(got[i].text == f"{_own(i, 5)}\n{_own(i, 4)}" and got[i].n_dropped == 3 for i in range(30))
+    assert all(got[100 + i].text == _own(i, 6) for i in range(30)) and got[200].text == "alone at first\nand then more"
+    assert all(got[300 + i].n_dropped == 0 for i in range(60))
+    assert all("Back" not in got[400 + i].text for i in range(10)) and all("Back" not in got[500 + i].text for i in range(2))
+
+
 @pytest.mark.parametrize(("clause", "role"), [
     ("you are an idiot", "targeted"), ("what a loser", "insult"), ("she is not a moron", "negated"), ("he said the clown left", "reported"),
     ("i will kill you", "threat"), ("you idiot", "targeted"), ("idiot you", "aimed"), ("i will not kill you", "negated"), ("the weather is fine", None),
