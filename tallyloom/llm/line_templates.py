@@ -12,6 +12,7 @@ left to document dedup.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,9 +26,8 @@ from tallyloom.llm.common import small_side, stored
 from tallyloom.llm.components import connected_components
 
 MIN_DOCUMENTS = 10
-LEADING, LEADING_OF_LARGE = 3, 10  # words that lead to a leaf, and to a leaf of a large leaf
+LEADING = 3  # words that lead to a leaf
 SAME_PLACES = 0.75  # of a template's words
-LARGE_LEAF = 1000  # distinct lines
 COPIES_SHARE = 8 / 9  # of a document's words; two that share so much are alike to 0.8, as near dedup asks
 _DIGIT, _VARIABLE = re.compile(r"\d"), re.compile(r"[^\s]*\d[^\s]*")
 
@@ -42,10 +42,10 @@ def masked(line: str) -> str:
     return _VARIABLE.sub("*", " ".join(line.split())) if _DIGIT.search(line) else " ".join(line.split())
 
 
-def leaf_keys(line: str) -> tuple[int, int]:
-    """Keys of the leaf and of the finer leaf of a masked line."""
+def leaf_key(line: str) -> int:
+    """Key of the leaf of a masked line."""
     words = line.split(" ")
-    return _hash(f"{len(words)} {' '.join(words[:LEADING])}"), _hash(f"{len(words)} {' '.join(words[:LEADING_OF_LARGE])}")
+    return _hash(f"{len(words)} {' '.join(words[:LEADING])}")
 
 
 def _masked_lines(text: str | None) -> Iterator[str]:
@@ -55,7 +55,7 @@ def _masked_lines(text: str | None) -> Iterator[str]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line that is not blank: doc, at (place), line, before and after (hashes), leaf, fine_leaf, words, doc_words."""
+    """One row per line that is not blank: doc, at (place), line, before and after (hashes), leaf, words, doc_words."""
 
     def run(batches):
         for batch in batches:
@@ -64,45 +64,54 @@ def line_table(docs: DataFrame) -> DataFrame:
                 lines = list(_masked_lines(text))
                 marks = [None, *map(_hash, lines), None]
                 words = [m.count(" ") + 1 for m in lines]
-                rows.extend((doc, i, marks[i + 1], marks[i], marks[i + 2], *leaf_keys(m), words[i], sum(words)) for i, m in enumerate(lines))
+                rows.extend((doc, i, marks[i + 1], marks[i], marks[i + 2], leaf_key(m), words[i], sum(words)) for i, m in enumerate(lines))
             yield pd.DataFrame(rows, columns=columns).astype({"before": "Int64", "after": "Int64"})
 
-    columns = ["doc", "at", "line", "before", "after", "leaf", "fine_leaf", "words", "doc_words"]
+    columns = ["doc", "at", "line", "before", "after", "leaf", "words", "doc_words"]
     return docs.select("doc", "text").mapInPandas(run, ", ".join(f"{c} long" for c in columns))
 
 
-def _cluster(members: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
-    """(line, template) of a leaf's lines; a template is named by its first line."""
-    templates: list[tuple[int, list[str | None]]] = []
-    out = []
-    for line, words in members:
+class _Leaf:
+    """The templates of one leaf; a template is named by its first line.
+
+    A line takes the template that it agrees with in most places, the earliest
+    of equals. If it agrees in SAME_PLACES, it agrees in all places of at least
+    one of ``groups``, as there are more groups than places that may differ; so
+    only templates found by the words of a group are compared, whatever the
+    number of templates.
+    """
+
+    def __init__(self, n_words: int):
+        differing = n_words - math.ceil(SAME_PLACES * n_words)
+        free = list(range(min(LEADING, n_words), n_words)) or [0]
+        n = min(differing + 1, len(free))
+        # leading words agree in the whole leaf: with as many places as may differ, any line fits
+        self.groups = [tuple(free[g::n]) for g in range(n)] if differing < len(free) else [()]
+        self.templates: list[tuple[int, list[str]]] = []
+        self.found: dict[tuple[int, tuple[str, ...]], list[int]] = {}
+
+    def place(self, line: int, words: list[str]) -> int:
+        """The name of the template that ``line`` belongs to."""
+        keys = [(g, tuple([words[p] for p in places])) for g, places in enumerate(self.groups)]
         best, score = None, SAME_PLACES
-        for name, places in templates:
-            same = sum(map(str.__eq__, places, words)) / len(words)  # "" stands for a variable place
+        for t in sorted({t for k in keys for t in self.found.get(k, ())}):
+            same = sum(map(str.__eq__, self.templates[t][1], words)) / len(words)  # "" stands for a variable place
             if same >= score and (best is None or same > score):
-                best, score = (name, places), same
+                best, score = t, same
         if best is None:
-            templates.append((line, list(words)))
-            out.append((line, line))
-        else:
-            best[1][:] = [a if a == b else "" for a, b in zip(best[1], words, strict=True)]
-            out.append((line, best[0]))
-    return out
+            for k in keys:
+                self.found.setdefault(k, []).append(len(self.templates))
+            self.templates.append((line, list(words)))
+            return line
+        name, places = self.templates[best]
+        places[:] = [a if a == b else "" for a, b in zip(places, words, strict=True)]
+        return name
 
 
 def line_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(line, template) for lines that share a template with another line.
-
-    A leaf with more than LARGE_LEAF distinct lines is split by further leading
-    words; one that is still larger has lines so alike in their beginnings that
-    each stands for itself.
-    """
-    distinct = lines.select("leaf", "fine_leaf", "line").distinct()
-    sizes = distinct.groupBy("leaf").count().where("count > 1")
-    plain = sizes.where(F.col("count") <= LARGE_LEAF).select(F.col("leaf").alias("key"))
-    split = distinct.join(sizes.where(F.col("count") > LARGE_LEAF), "leaf", "left_semi")
-    fine = split.groupBy("fine_leaf").count().where(f"count > 1 AND count <= {LARGE_LEAF}").select(F.col("fine_leaf").alias("key"))
-    keys = stored(plain.union(fine), "leaves")
+    """(line, template) for lines that share a template with another line."""
+    sizes = lines.select("leaf", "line").distinct().groupBy("leaf").count()
+    keys = stored(sizes.where("count > 1").select(F.col("leaf").alias("key")), "leaves")
 
     def texts(batches):
         for batch in batches:
@@ -110,27 +119,26 @@ def line_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 for m in _masked_lines(text):
                     seen.setdefault(m)
-            rows = [(key, _hash(m), m) for m in seen for key in set(leaf_keys(m))]
-            yield pd.DataFrame(rows, columns=["key", "line", "text"])
+            yield pd.DataFrame([(leaf_key(m), _hash(m), m) for m in seen], columns=["key", "line", "text"])
 
     found = docs.select("text").mapInPandas(texts, "key long, line long, text string")
     found = found.join(small_side(keys, keys.count()), "key", "left_semi").dropDuplicates(["key", "line"])
 
     def cluster(batches):
-        key, members = None, []
+        key, leaf = None, None
         for batch in batches:
             rows = []
             for k, line, text in zip(batch["key"], batch["line"], batch["text"], strict=True):
+                words = text.split(" ")
                 if k != key:
-                    rows.extend(_cluster(members))
-                    key, members = k, []
-                members.append((line, text.split(" ")))
-            yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["line", "template"])
-        yield pd.DataFrame([r for r in _cluster(members) if r[0] != r[1]], columns=["line", "template"])
+                    key, leaf = k, _Leaf(len(words))
+                template = leaf.place(line, words)
+                if template != line:
+                    rows.append((line, template))
+            yield pd.DataFrame(rows, columns=["line", "template"])
 
     placed = found.repartition("key").sortWithinPartitions("key", "line")
-    # a line in a leaf and in a fine leaf goes by the smaller name
-    return placed.mapInPandas(cluster, "line long, template long").groupBy("line").agg(F.min("template").alias("template"))
+    return placed.mapInPandas(cluster, "line long, template long")
 
 
 def _blocks(uses: DataFrame, min_documents: int) -> DataFrame:
@@ -189,7 +197,7 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tupl
 
     counted = template_of(lines.select("line"), "line", "template").groupBy("template").count()
     frequent = stored(counted.where(F.col("count") >= min_documents).select("template"), "frequent")
-    uses = template_of(lines.drop("leaf", "fine_leaf"), "line", "template").join(small_side(frequent, frequent.count()), "template", "left_semi")
+    uses = template_of(lines.drop("leaf"), "line", "template").join(small_side(frequent, frequent.count()), "template", "left_semi")
     # rows with equal id and text are one document
     uses = stored(template_of(template_of(uses, "before", "left"), "after", "right").dropDuplicates(["doc", "at"]), "uses")
     contexts = stored(_blocks(uses, min_documents).groupBy("template", "left", "right").agg(F.min("doc").alias("doc")), "contexts")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -102,6 +103,28 @@ def test_blocks_of_lines_go_and_near_copies_stay(docs_of):
     assert all("Back" not in got[400 + i].text for i in range(10)) and all("Back" not in got[500 + i].text for i in range(2))
 
 
+def test_large_leaves_make_templates(docs_of):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"own{name(i)} {name(i)} text\nPosted in category {name(i)} by the staff\nother{name(i)} words") for i in range(1100)]
+    got = line_templates.drop_recurring_lines(docs_of(rows)).collect()
+    assert all("Posted" not in r.text and r.n_dropped == 1 for r in got)
+
+
+@pytest.mark.parametrize("n_words", [4, 5, 6, 7, 8, 11, 14])
+def test_leaf_equals_comparing_all_templates(n_words):
+    draw = random.Random(n_words)
+    lines = [(i, ["the", "same", "start", *(draw.choice("abc") for _ in range(n_words - 3))]) for i in range(300)]
+    leaf, templates = line_templates._Leaf(n_words), []
+    for i, words in lines:
+        same = [sum(a == b for a, b in zip(places, words)) / n_words for _, places in templates]
+        best = max(range(len(same)), key=lambda t: (same[t], -t), default=None)
+        if best is None or same[best] < line_templates.SAME_PLACES:
+            best = len(templates)
+            templates.append((i, list(words)))
+        templates[best][1][:] = [a if a == b else "" for a, b in zip(templates[best][1], words)]
+        assert leaf.place(i, words) == templates[best][0]
+
+
 @pytest.mark.parametrize(("clause", "role"), [
     ("you are an idiot", "targeted"), ("what a loser", "insult"), ("she is not a moron", "negated"), ("he said the clown left", "reported"),
     ("i will kill you", "threat"), ("you idiot", "targeted"), ("idiot you", "aimed"), ("i will not kill you", "negated"), ("the weather is fine", None),
