@@ -132,7 +132,8 @@ LICENSES: list[License] = [
 ]
 
 # What a text must hold for any rule or phrase to match; tested before anything else.
-GATE = ("licen", "spdx", "cc by", "cc-by", "creative", "cc0", "gpl", "gnu", "bsd", "public", "wtfpl", "mariadb", "curl", "unicode", "w3", "terms as perl", "reserved", "openssl")
+# Between words of a part stand any characters that separate words.
+GATE = ("licen", "spdx", "cc by", "creative", "cc0", "gpl", "gnu", "bsd", "public", "wtfpl", "mariadb", "curl", "unicode", "w3", "terms as perl", "reserved", "openssl")
 
 
 class Rule(NamedTuple):

@@ -44,6 +44,14 @@ def test_license_scan_equals_brute_force(docs_of, odd):
     assert max(len(r.pattern.split(" ")) for r in license_rules.rules()) <= 2 * license_rules.LONGEST_MATCH
 
 
+def test_license_scan_separators(docs_of):
+    separators = [" ", "\n", "\r\n", "  ", "\t", "_", "/", "-", ") (", ".", "\x00", "\u00a0", ""]
+    notices = ["CC BY 4.0", "under the same terms as Perl itself", "(CC) BY", "the MIT License", "GNU General Public License version 3", "Creative Commons Attribution 4.0", "all rights reserved"]
+    texts = [n.replace(" ", s) for n in notices for s in separators]
+    for r in license_scan.scan_licenses(docs_of(list(enumerate(texts)))).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == _scan(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_mixing_reaches_targets(docs_of, odd):
     rows = [(i, "w " * (1 + i % 7), "en", s) for s, n in (("a", 300), ("b", 900), ("c", 40), (None, 200)) for i in range(n)]
     rows = [(k, *r[1:]) for k, r in enumerate(rows)]
