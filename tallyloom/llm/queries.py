@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bm25, exact_dedup, language_id, license_scan, line_templates, mixing, near_dedup, packing, quality, toxicity
+from tallyloom.llm import bm25, centroid_tree, dual_tree, exact_dedup, language_id, license_scan, line_templates, mixing, near_dedup, packing, quality, toxicity, warc_archive
 from tallyloom.llm.common import LOWER, UPPER, crc_of_id, documents
 
 
@@ -63,6 +63,18 @@ def toxicity_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.select("doc_id", held.alias("held_out"), "text"), scorer).drop("text")
 
 
+def clusters_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_tree.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def codes_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
+def records_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_language_id": language_of_documents,
     "op2_best_fit_packing": packed_documents,
@@ -74,12 +86,84 @@ QUERIES = {
     "op8_line_dedup": documents_without_recurring_lines,
     "op9_license_scan": licenses_of_documents,
     "op10_toxicity": toxicity_of_documents,
+    "op11_centroid_clustering": clusters_of_vectors,
+    "op12_vector_compression": codes_of_vectors,
+    "op13_warc": records_of_pages,
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _FOLDED = f"translate(text, '{UPPER}', '{LOWER}')"
 
+
+def _clustering_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Rounds of clustering as common tables: e are components of centroids, a are assignments."""
+    parts = [f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS place,
+    [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = {dim} AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+v AS MATERIALIZED (SELECT r, unnest(range({dim})) AS i, unnest(x) AS x FROM kept),
+s AS (SELECT row_number() OVER (ORDER BY place, x) - 1 AS k, x FROM kept),
+e0 AS (SELECT k, unnest(range({dim})) AS i, unnest(x) AS x FROM s WHERE k < {k})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, min(d * {k} + k) % {k} AS k, min(d) AS d
+  FROM (SELECT r, k, sum((v.x - e{n}.x) * (v.x - e{n}.x))::BIGINT AS d FROM v JOIN e{n} USING (i) GROUP BY r, k) GROUP BY r)""")
+        if n < rounds:
+            parts.append(f"""
+e{n + 1} AS MATERIALIZED (
+  SELECT e{n}.k, e{n}.i, coalesce(m.x, e{n}.x) AS x
+  FROM e{n} LEFT JOIN (SELECT k, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM a{n} JOIN v USING (r) GROUP BY k, i) m ON m.k = e{n}.k AND m.i = e{n}.i)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.sha AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (r) JOIN (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS sha FROM e{rounds} GROUP BY k) h ON h.k = a.k"""
+
+
+def _compression_sql(parts: int = 16, n: int = 64, rounds: int = 2, dim: int = 64) -> str:
+    """Rounds on codebooks as common tables: b are components of entries, a are assignments."""
+    width = dim // parts
+    out = [f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, vec_id, label,
+    [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+u AS (SELECT r, unnest(range({dim})) AS j, unnest(x) AS x FROM kept WHERE len(x) = {dim}),
+v AS MATERIALIZED (SELECT r, CAST(floor(j / {width}) AS BIGINT) AS p, j % {width} AS i, x FROM u),
+b0 AS (SELECT r AS e, p, i, x FROM v WHERE r < {n})"""]
+    for t in range(rounds + 1):
+        out.append(f"""
+a{t} AS MATERIALIZED (
+  SELECT r, p, min(d * {n} + e) % {n} AS e, min(d) AS d
+  FROM (SELECT r, p, e, sum((v.x - b{t}.x) * (v.x - b{t}.x))::BIGINT AS d FROM v JOIN b{t} USING (p, i) GROUP BY r, p, e) GROUP BY r, p)""")
+        if t < rounds:
+            out.append(f"""
+b{t + 1} AS MATERIALIZED (
+  SELECT b.e, b.p, b.i, coalesce(m.x, b.x) AS x
+  FROM b{t} b LEFT JOIN (SELECT e, p, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM a{t} JOIN v USING (r, p) GROUP BY e, p, i) m
+    ON m.e = b.e AND m.p = b.p AND m.i = b.i)""")
+    return ",".join(out) + f""",
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256
+FROM kept LEFT JOIN c USING (r)"""
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((n{part} >> {shift}) & 31 AS INTEGER) + 1, 1)" for part in range(4) for shift in range(35, -1, -5)
+)
+_TENS = ", ".join(f"CAST('0x' || substr(sha1(t), {10 * part + 1}, 10) AS BIGINT) AS n{part}" for part in range(4))
+
 ORACLE = {
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_vector_compression": _compression_sql(),
+    "op13_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first, {_TENS} FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""",
     "op3_source_mixing": rf"""
 WITH s AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS BIGINT) AS size,
