@@ -14,7 +14,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.plans.session import written
+
 NUMBERS_PER_BLOCK = 65536
+ROWS_PER_BLOCK = 32768
+
+
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """The rows in blocks of at most ``rows_per_block``, cut by counts and not by the calendar.
+
+    A range exchange on (keys, order) gives every partition a like share of the
+    rows, however dense a group or a moment is; consecutive rows of a partition
+    then make a block. Adds ``_key`` (the keys as one struct, in which nulls are
+    equal), ``_pos`` (ascending in the order) and ``_block`` (ascending, and a
+    run of consecutive rows in each group). The rows are written to the shared
+    folder, as positions must not change when a task is run again.
+    """
+    rows = df.withColumn("_key", F.struct(*keys))
+    rows = rows.repartitionByRange("_key", *order).sortWithinPartitions("_key", *order)
+    rows = rows.withColumn("_pos", F.monotonically_increasing_id())
+    return written(rows.withColumn("_block", F.floor(F.col("_pos") / rows_per_block)), "blocks")
 
 
 def block_of(df: DataFrame, order: str) -> Column:

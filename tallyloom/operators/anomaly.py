@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.blocks import side_moments
+from tallyloom.functions.blocks import block_of
+from tallyloom.plans.session import written
 
 MIN_POINTS = 10
 SENSITIVITY = 0.7
@@ -27,22 +28,25 @@ def update_baseline(rolled: DataFrame, name: str, order: str, block: Column | No
     no fold over rows: ``mean_n`` is the mean so far, ``std_n`` is
     ``sqrt(sum (v_i - mean_i)^2 / n)``.
     """
-    cols = rolled.columns
-    h = side_moments(rolled, [name], order, "value", "h", block=block)
+    # The readings come from a costly plan and are read once for the blocks' sums and once for the rows.
+    rows = written(rolled.withColumn("_block", block if block is not None else block_of(rolled, order)), "rolled")
     zero = F.lit(0.0)
+    so_far = Window.partitionBy(name, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = rows.groupBy(name, "_block").agg(F.count("value").alias("_n"), F.sum("value").alias("_s"))
+    mean = _continued(rows, blocks, name, {"_n": F.count("value").over(so_far), "_s": F.sum("value").over(so_far)})
     if initial is None:
-        h = h.withColumns({"_n0": F.lit(0).cast("long"), "_m0": zero, "_s0": zero})
+        mean = mean.withColumns({"_n0": F.lit(0).cast("long"), "_m0": zero, "_s0": zero})
     else:
         past = initial.select(F.col(name).alias("_name"), F.col("points").alias("_p"), F.col("mean").alias("_m"), F.col("std_dev").alias("_d"))
-        h = h.join(past, F.col(name) == F.col("_name"), "left").withColumns({
+        mean = mean.join(past, F.col(name).eqNullSafe(F.col("_name")), "left").withColumns({
             "_n0": F.coalesce("_p", F.lit(0).cast("long")), "_m0": F.coalesce(F.col("_p") * F.col("_m"), zero),
             "_s0": F.coalesce(F.col("_p") * F.col("_d") * F.col("_d"), zero)})
-    n = F.col("_n0") + F.col("h_n") + 1
-    mean = (F.col("_m0") + F.coalesce(F.col("h_n") * F.col("h_mean"), zero) + F.col("value")) / n
-    h = h.select(*cols, "_s0", n.alias("points"), mean.alias("mean"))
-    h = h.withColumn("_sq", (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")))
-    s = side_moments(h, [name], order, "_sq", "s", block=block)
-    total = F.col("_s0") + F.coalesce(F.col("s_n") * F.col("s_mean"), zero) + F.col("_sq")
+    n = F.col("_n0") + F.col("_n")
+    mean = mean.select(*rows.columns, "_s0", n.alias("points"), F.try_divide(F.col("_m0") + F.coalesce("_s", zero), n.cast("double")).alias("mean"))
+    mean = written(mean.withColumn("_sq", (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean"))), "means")
+    squares = mean.groupBy(name, "_block").agg(F.sum("_sq").alias("_q"))
+    s = _continued(mean, squares, name, {"_q": F.sum("_sq").over(so_far)})
+    cols, total = rolled.columns, F.col("_s0") + F.coalesce("_q", zero)
     half = (F.col("p90") - F.col("p50")) / 2
     return s.select(
         *cols, "points", "mean", F.sqrt(F.greatest(total, zero) / F.col("points")).alias("std_dev"),
@@ -51,6 +55,14 @@ def update_baseline(rolled: DataFrame, name: str, order: str, block: Column | No
         (F.abs(F.col("value") - F.col("p50")) * 1.4826).alias("mad"))
 
 
+def _continued(rows: DataFrame, blocks: DataFrame, name: str, local: dict[str, Column]) -> DataFrame:
+    """Running sums inside blocks, continued with the sums of all earlier blocks of the metric."""
+    before = Window.partitionBy(name).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select(F.col(name).alias("_of"), F.col("_block").alias("_in"), *[F.sum(c).over(before).alias(f"_before{c}") for c in local])
+    both = rows.withColumns(local).join(carry, F.col(name).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_in")))
+    return both.withColumns({c: F.coalesce(f"_before{c}", F.lit(0)) + F.col(c) for c in local}).drop("_of", "_in", *[f"_before{c}" for c in local])
+
+
 def _capped(x: Column, den: Column) -> Column:
     """min(x / den, 1); a zero denominator gives 1 for a positive x and NULL for 0/0."""
     return F.when(den == 0, F.when(x > 0, 1.0)).otherwise(F.least(F.try_divide(x, den), F.lit(1.0)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.blocks import with_lookback, with_previous
-from tallyloom.functions.scalars import nearest_rank
+from tallyloom.functions.blocks import ROWS_PER_BLOCK, with_previous
+from tallyloom.functions.order_stats import sliding
 
 WINDOW_MS = 60_000
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -17,33 +17,21 @@ def _us(ts: str) -> Column:
 
 
 def rolling_aggregate(df: DataFrame, name: str, ts: str, value: str, tie: str | None = None,
-                      window_ms: int = WINDOW_MS, percentiles: bool = True) -> DataFrame:
+                      window_ms: int = WINDOW_MS, percentiles: bool = True, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """After each reading: last, min, max, avg, sum, count, percentiles and trend of the trailing window.
 
-    The window holds all readings of the last ``window_ms`` up to this one. Time
-    is cut in blocks of ten windows with the look-back rows copied in, so one
-    busy metric is spread over many tasks. Aggregates are frames over the time
-    axis; only percentiles need the window's values together, and may be left out.
+    The window holds all readings of the last ``window_ms`` up to this one.
+    Readings are cut in blocks by counts, so one busy metric is spread over many
+    tasks; percentiles come from histograms of value ranges and a look at the
+    ranges in question (``order_stats.sliding``), and may be left out.
     """
     order = [ts] + ([tie] if tie else [])
-    rows = df.select(name, *order, F.col(value).cast("double").alias("value")).withColumn("_us", _us(ts))
-    blocks = with_lookback(rows, "_us", 10 * window_ms * 1000, window_ms * 1000)
-    earlier = Window.partitionBy(name, "_block").orderBy("_us").rangeBetween(-window_ms * 1000, -1)
-    same_time = Window.partitionBy(name, "_block", "_us").orderBy(*(order[1:] or ["_us"])).rowsBetween(Window.unboundedPreceding, 0)
-    last_ten = Window.partitionBy(name, "_block").orderBy("_us", *order[1:]).rowsBetween(-9, 0)
-    both = lambda f: (f("value").over(earlier), f("value").over(same_time))
-    zero = lambda pair: F.coalesce(pair[0], F.lit(0)) + pair[1]
-    recent = F.collect_list(F.struct("_us", "value")).over(last_ten)
-    got = blocks.select(
-        name, *order, "value", "_us", "_copy",
-        F.least(*both(F.min)).alias("min"), F.greatest(*both(F.max)).alias("max"),
-        zero(both(F.sum)).alias("sum"), zero(both(F.count)).cast("int").alias("count"), recent.alias("_recent"),
-        *([F.array_sort(F.concat(*both(F.collect_list))).alias("_sorted")] if percentiles else [])).where(~F.col("_copy"))
-    newest = F.transform(F.filter("_recent", lambda p: p["_us"] >= F.col("_us") - F.lit(window_ms * 1000)), lambda p: p["value"])
+    rows = df.select(name, *order, F.col(value).cast("double").alias("value")).withColumn("_at", _us(ts))
+    got = sliding(rows, [name], "_at", order[1:], "value", window_ms * 1000, PERCENTILES if percentiles else {}, rows_per_block)
     return got.select(
-        name, *order, "value", "min", "max", (F.col("sum") / F.col("count")).alias("avg"), "sum", "count",
-        *([nearest_rank(F.col("_sorted"), p).alias(n) for n, p in PERCENTILES.items()] if percentiles else []),
-        metric_trend(newest).alias("trend"))
+        name, *order, "value", F.col("_min").alias("min"), F.col("_max").alias("max"), F.try_divide(F.col("_sum"), F.col("_count").cast("double")).alias("avg"),
+        F.col("_sum").alias("sum"), F.col("_count").alias("count"), *[F.col(f"_{n}").alias(n) for n in (PERCENTILES if percentiles else ())],
+        metric_trend(F.col("_recent")).alias("trend"))
 
 
 def metric_trend(values: Column) -> Column:

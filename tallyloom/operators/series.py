@@ -7,16 +7,13 @@ and fewer than five earlier points give "insufficient", never a guess.
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyloom.functions.blocks import side_moments
+from tallyloom.functions.blocks import ROWS_PER_BLOCK, side_moments
+from tallyloom.functions.order_stats import expanding
 from tallyloom.functions.scalars import div
 
 MIN_HISTORY = 5
@@ -46,77 +43,22 @@ def anomaly_zscore(df: DataFrame, keys: Sequence[str], order: str, value: str, t
     return _verdict(base, keys, order, value, score, F.col("score") > threshold, [("mean", mu), ("std_dev", sd)])
 
 
-def _kth_distance(s: list[float], c: float, k: int) -> float:
-    """k-th smallest (0-based) distance to ``c`` in the sorted list ``s``, by bisection on the window of size k+1."""
-    n, size = len(s), k + 1
-    lo, hi = 0, n - size
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if c - s[mid] > s[mid + size] - c:
-            lo = mid + 1
-        else:
-            hi = mid
-    return max(c - s[lo], s[lo + k] - c)
-
-
-def _history_order_stats(values: np.ndarray) -> pd.DataFrame:
-    """Median, MAD and quartiles of the non-null values before each point."""
-    hist: list[float] = []
-    out = np.full((len(values), 5), np.nan)
-    for i, v in enumerate(values):
-        n = len(hist)
-        out[i, 0] = n
-        if n >= MIN_HISTORY:
-            med = (hist[(n - 1) // 2] + hist[n // 2]) / 2
-            a, b = _kth_distance(hist, med, (n - 1) // 2), _kth_distance(hist, med, n // 2)
-            out[i, 1], out[i, 2] = med, (a + b) / 2
-            for j, q in ((3, 0.25), (4, 0.75)):
-                pos = (n - 1) * q
-                lo = int(pos)
-                hi = min(lo + (pos > lo), n - 1)
-                out[i, j] = hist[lo] + (hist[hi] - hist[lo]) * (pos - lo)
-        if not np.isnan(v):
-            insort(hist, v)
-    return pd.DataFrame(out, columns=["h_n", "h_median", "h_mad", "h_q1", "h_q3"])
-
-
-def _with_order_stats(df: DataFrame, keys, order, value) -> DataFrame:
-    """Order statistics of an expanding history have no built-in with less than quadratic work.
-
-    The series is the unit here: one row per time bucket, so its length is
-    bounded by the time covered, however many events were counted in it.
-    """
-    cols = [*keys, order, value]
-    rows = df.select(*keys, order, F.col(value).cast("double").alias(value))
-    schema = T.StructType(list(rows.schema.fields) + [T.StructField(c, T.DoubleType()) for c in
-                                                      ("h_n", "h_median", "h_mad", "h_q1", "h_q3")])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        stats = _history_order_stats(pdf[value].to_numpy(dtype="float64", na_value=np.nan))
-        return pd.concat([pdf[cols], stats], axis=1)
-
-    out = rows.groupBy(*keys).applyInPandas(run, schema)
-    gap = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in (value, "h_median", "h_mad", "h_q1", "h_q3")]
-    return out.select(*keys, order, gap[0], F.col("h_n").cast("long").alias("h_n"), *gap[1:])
-
-
-def anomaly_mad(df: DataFrame, keys: Sequence[str], order: str, value: str, threshold: float = 3.5) -> DataFrame:
+def anomaly_mad(df: DataFrame, keys: Sequence[str], order: str, value: str, threshold: float = 3.5, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     v, med, mad = F.col(value), F.col("h_median"), F.col("h_mad")
     score = F.when(mad == 0, F.when(v == med, F.lit(0.0)).otherwise(F.lit(INF))).otherwise(
         div(F.lit(0.6745) * F.abs(v - med), mad))
-    base = _with_order_stats(df, keys, order, value)
+    base = expanding(df.select(*keys, order, value), keys, order, value, {"median": 0.5}, mad=True, rows_per_block=rows_per_block)
     return _verdict(base, keys, order, value, score, F.col("score") > threshold, [("median", med), ("mad", mad)])
 
 
-def anomaly_iqr(df: DataFrame, keys: Sequence[str], order: str, value: str, k: float = 1.5) -> DataFrame:
+def anomaly_iqr(df: DataFrame, keys: Sequence[str], order: str, value: str, k: float = 1.5, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     v, q1, q3 = F.col(value), F.col("h_q1"), F.col("h_q3")
     iqr = q3 - q1
     lower, upper = q1 - F.lit(k) * iqr, q3 + F.lit(k) * iqr
     out = (v < lower) | (v > upper)
     dist = F.when(v > upper, v - upper).when(v < lower, lower - v).otherwise(F.lit(0.0))
     score = F.when(iqr == 0, F.when(out, F.lit(INF)).otherwise(F.lit(0.0))).otherwise(div(dist, iqr))
-    base = _with_order_stats(df, keys, order, value)
+    base = expanding(df.select(*keys, order, value), keys, order, value, {"q1": 0.25, "q3": 0.75}, rows_per_block=rows_per_block)
     return _verdict(base, keys, order, value, score, out, [("q1", q1), ("q3", q3)])
 
 

@@ -283,8 +283,8 @@ _add("C13_custom_metrics", _c13,
 WIN_MS = 6 * 3600 * 1000
 
 
-def _rolled(spark, sf_dir):
-    return W.rolling_aggregate(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id", WIN_MS)
+def _rolled(spark, sf_dir, percentiles=True):
+    return W.rolling_aggregate(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id", WIN_MS, percentiles)
 
 
 _LISTS = ("r0 AS (SELECT event_id, event_type, ts, value, list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vs, "
@@ -297,7 +297,7 @@ def _nr(p):
     return f"s[CAST(greatest(ceil(n * {p}::DOUBLE), 1) AS INTEGER)]"
 
 
-_add("W1_rolling_aggregate", lambda s, d: _rounded(_rolled(s, d)).select("event_type", "event_id", "value", "min", "max", "avg", "sum", "count"),
+_add("W1_rolling_aggregate", lambda s, d: _rounded(_rolled(s, d, False)).select("event_type", "event_id", "value", "min", "max", "avg", "sum", "count"),
      f"WITH {_LISTS} SELECT event_type, event_id, round(value, 6) AS value, round(s[1], 6) AS min, round(s[n], 6) AS max, round(list_avg(l), 6) AS avg, round(list_sum(l), 6) AS sum, CAST(n AS INTEGER) AS count FROM ro")
 _add("W2_nearest_rank_percentiles", lambda s, d: _rounded(_rolled(s, d)).select("event_type", "event_id", "p50", "p90", "p95", "p99"),
      f"WITH {_LISTS} SELECT event_type, event_id, " + ", ".join(f"round({_nr(p)}, 6) AS {n}" for n, p in W.PERCENTILES.items()) + " FROM ro")
@@ -312,7 +312,7 @@ _add("W3_metric_rate", lambda s, d: _rates(s, d).select("event_type", "event_id"
      "(SELECT *, lag(ts) OVER w AS pt, lag(value) OVER w AS pv FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))")
 _TREND = ("CASE WHEN n < 3 THEN 'stable' WHEN (b - a) * 100 / nullif(a, 0) > 5 THEN 'up' WHEN (b - a) * 100 / nullif(a, 0) < -5 THEN 'down' ELSE 'stable' END")
 _HALVES = ("hv AS (SELECT *, list_avg(z[1:len(z) // 2]) AS a, list_avg(z[len(z) // 2 + 1:]) AS b FROM (SELECT *, l[greatest(n - 9, 1):] AS z FROM ro))")
-_add("W4_metric_trend", lambda s, d: _rolled(s, d).select("event_type", "event_id", "trend"),
+_add("W4_metric_trend", lambda s, d: _rolled(s, d, False).select("event_type", "event_id", "trend"),
      f"WITH {_LISTS}, {_HALVES} SELECT event_type, event_id, {_TREND} AS trend FROM hv")
 _add("W5_metric_history", lambda s, d: W.metric_history(table(s, d, "events"), "ts", "2024-01-20 12:00:00", 36 * 3600 * 1000).select("event_id", "event_type", "value"),
      "SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 36 HOUR AND ts <= TIMESTAMP '2024-01-20 12:00:00'")

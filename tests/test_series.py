@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 import statistics
@@ -100,16 +101,77 @@ def test_quantiles_against_brute_force(spark):
             assert got[k][name] == pytest.approx(s[lo] + (s[hi] - s[lo]) * (pos - lo))
 
 
-def test_rolling_window_over_block_borders(spark):
-    rnd = random.Random(5)
-    times = sorted(rnd.sample(range(0, 3_000_000), 300))
-    rows = [("m", t, round(rnd.uniform(0, 9), 2)) for t in times]
-    df = spark.createDataFrame(rows, "m string, ms long, v double").withColumn("ts", F.timestamp_millis("ms"))
-    got = {r["ms"]: r for r in W.rolling_aggregate(df, "m", "ts", "v", "ms", 60_000, 4).collect()}
-    for j, (_, t, v) in enumerate(rows):
-        win = [x for _, u, x in rows[: j + 1] if u >= t - 60_000][-4:]
-        assert got[t]["count"] == len(win) and got[t]["sum"] == pytest.approx(sum(win)) and got[t]["min"] == min(win)
-        assert got[t]["p50"] == sorted(win)[max(math.ceil(len(win) * 0.5), 1) - 1]
+def trend_of(values):
+    z = values[-10:]
+    if len(values) < 3:
+        return "stable"
+    a, b = (functools.reduce(float.__add__, h, 0.0) / len(h) for h in (z[: len(z) // 2], z[len(z) // 2 :]))
+    change = (b - a) * 100 / a if a else 0
+    return "up" if change > 5 else "down" if change < -5 else "stable"
+
+
+def same_window(got, win):
+    assert got["count"] == len(win)
+    if not win:
+        assert got["sum"] is None and got["p50"] is None and got["min"] is None
+        return
+    s = sorted(win)
+    assert got["sum"] == pytest.approx(sum(win)) and (got["min"], got["max"]) == (s[0], s[-1]) and got["avg"] == pytest.approx(sum(win) / len(win))
+    for name, p in W.PERCENTILES.items():
+        assert got[name] == s[max(math.ceil(len(s) * p), 1) - 1]
+
+
+@pytest.mark.parametrize("per_block, span", [(5, 60_000), (7, 400_000), (16, 2_900_000), (4096, 400_000)])
+def test_rolling_window_over_block_borders(spark, per_block, span):
+    """Dense and sparse stretches, ties in time and value, one busy and one rare metric; windows of many blocks and of less than one."""
+    rnd = random.Random(per_block)
+    times = sorted(rnd.choices(range(0, 100_000, 50), k=160) + rnd.choices(range(100_000, 3_000_000), k=140))
+    rows = [("busy" if rnd.random() < 0.8 else "rare", t, i, round(rnd.choice([rnd.uniform(-9, 9), rnd.gauss(1000, 1), 5.0]), 2)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "m string, ms long, i long, v double").withColumn("ts", F.timestamp_millis("ms"))
+    got = {r["i"]: r for r in W.rolling_aggregate(df, "m", "ts", "v", "i", span, rows_per_block=per_block).collect()}
+    assert len(got) == len(rows)
+    for j, (m, t, i, _) in enumerate(rows):
+        win = [x for n, u, _, x in rows[: j + 1] if n == m and u >= t - span]
+        same_window(got[i], win)
+        assert got[i]["trend"] == trend_of(win)
+
+
+def test_rolling_window_with_missing_values_names_and_times(spark):
+    rows = [(None, 0, 0, 1.0), (None, 10, 1, None), (None, 20, 2, float("nan")), (None, 5000, 3, 4.0), ("a", None, 4, 1.0), ("a", 7, 5, None), ("a", 9, 6, 2.0)]
+    df = spark.createDataFrame(rows, "m string, ms long, i long, v double").withColumn("ts", F.timestamp_millis("ms"))
+    got = {r["i"]: r for r in W.rolling_aggregate(df, "m", "ts", "v", "i", 1000, rows_per_block=2).collect()}
+    assert set(got) == {0, 1, 2, 3, 5, 6}
+    for i, win in ((0, [1.0]), (1, [1.0]), (2, [1.0]), (3, [4.0]), (5, []), (6, [2.0])):
+        same_window(got[i], win)
+    assert W.rolling_aggregate(df.limit(0), "m", "ts", "v", "i", 1000).count() == 0
+
+
+@pytest.mark.parametrize("per_block", [6, 25])
+def test_long_series_spans_tasks(spark, per_block):
+    """One series over many blocks: medians, their distances and quartiles of all earlier values."""
+    rnd = random.Random(per_block)
+    values = [None if rnd.random() < 0.05 else round(rnd.choice([rnd.gauss(0, 1), rnd.gauss(50, 9), rnd.uniform(-500, 500), 7.0]), 2) for _ in range(500)]
+    mad = {r["i"]: r for r in P.anomaly_mad(series(spark, values), ["s"], "i", "v", rows_per_block=per_block).collect()}
+    iqr = {r["i"]: r for r in P.anomaly_iqr(series(spark, values), ["s"], "i", "v", rows_per_block=per_block).collect()}
+    for i, v in enumerate(values):
+        hist = [x for x in values[:i] if x is not None]
+        if v is None or len(hist) < 5:
+            continue
+        med = statistics.median(hist)
+        assert mad[i]["median"] == pytest.approx(med) and mad[i]["mad"] == pytest.approx(statistics.median(abs(x - med) for x in hist))
+        q = statistics.quantiles(hist, n=4, method="inclusive")
+        assert (iqr[i]["q1"], iqr[i]["q3"]) == (pytest.approx(q[0]), pytest.approx(q[2]))
+
+
+def test_only_slices_of_a_core_are_fetched():
+    """Of ten thousand values in a core, ranks that move by ten rows need few."""
+    from tallyloom.functions import order_stats as O
+
+    count, least = O.np.full(1000, 10), O.np.arange(1000.0)
+    keep, _ = O._chosen(count, least, least + 0.9, 10, O.nearest_rank, [0.5, 0.99], False)
+    assert 0 < keep.sum() < 20
+    keep, inside = O._chosen(count, least, least + 0.9, 10, O.linear_ranks, [0.5], True)
+    assert 0 < keep.sum() < 40 and 4000 < inside < 5000
 
 
 def test_baseline_continues_from_state(spark):
