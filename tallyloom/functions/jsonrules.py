@@ -75,14 +75,21 @@ def _leaf(path: Column, value: Column) -> Column:
                  F.when(base.isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(value, "$", "double")).alias("n")).alias("f"))
 
 
+def _name(key: Column) -> Column:
+    return F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit("."), F.lit("\\."))
+
+
 def flatten_json(doc: Column) -> Column:
-    """Map of path to (type, text, number) for the top level and one level below; NULL for no object."""
-    top = F.filter(F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>")), lambda e: ~F.contains(e["key"], F.lit(".")))
+    """Map of path to (type, text, number) for the top level and one level below; NULL for no object.
+
+    A dot inside a key is written with a backslash before it, so that it is no border between levels.
+    """
+    top = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
     inner = F.flatten(F.transform(
         F.filter(top, lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT")),
         lambda e: F.transform(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")),
-                              lambda c: _leaf(F.concat(e["key"], F.lit("."), c["key"]), c["value"]))))
-    return F.map_from_entries(F.concat(F.transform(top, lambda e: _leaf(e["key"], e["value"])), inner))
+                              lambda c: _leaf(F.concat(_name(e["key"]), F.lit("."), _name(c["key"])), c["value"]))))
+    return F.map_from_entries(F.concat(F.transform(top, lambda e: _leaf(_name(e["key"]), e["value"])), inner))
 
 
 def field(flat: Column, path: str | Column) -> Column:

@@ -13,7 +13,6 @@ from tallyloom.functions.scalars import pinned, r6
 from tallyloom.operators import redact as RD
 from tallyloom.operators import validate as V
 from tallyloom.plans.fixtures import agent_events, oracle, table
-from tallyloom.plans.session import spread
 from tallyloom.sources import otlp as OT
 from tallyloom.sources import rows as RW
 
@@ -36,14 +35,9 @@ def _landed(df):
     return pinned(df.withColumnRenamed("payload", "_made"), "payload", F.col("_made")).drop("_made")
 
 
-def _wide(spark, df):
-    """The narrow rows are spread before the documents are built from them."""
-    return spread(spark, df, "event_id")
-
-
 def messages(spark, sf_dir, events=None):
     """(event_id, tenant_id, event, payload): every event as an enriched message, one in two with a defect by event_id % 20."""
-    ev = _wide(spark, agent_events(spark, sf_dir, events))
+    ev = agent_events(spark, sf_dir, events)
     d = F.col("event_id") % 20
     md = F.md5(F.col("event_id").cast("string"))
     uid = F.concat_ws("-", F.substring(md, 1, 8), F.substring(md, 9, 4), F.substring(md, 13, 4), F.substring(md, 17, 4), F.substring(md, 21, 12))
@@ -153,7 +147,7 @@ def redaction_sql(key, src, col="text"):
 
 
 def _v5(spark, sf_dir):
-    docs = spread(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = redact_text(docs, "text", "n_")
     return out.select("doc_id", F.md5("text").alias("text_md5"), *[F.col(f"n_{k}").cast("long").alias(k) for k in RD.KINDS])
 
@@ -163,20 +157,31 @@ _add("V5_redact_text", _v5, f"WITH {_stages} SELECT doc_id, md5(text) AS text_md
 
 
 def _v6(spark, sf_dir):
-    """Conversation turns as nested events: the role is structural (kind), the text and a list of its lines are not."""
-    c = spread(spark, table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    ev = c.select("conv_id", "turn", F.struct(F.col("text").alias("kind"), F.col("text").alias("body"), F.array("text").alias("lines")).alias("message"),
-                  F.to_json(F.struct(F.col("text").alias("note"), F.col("text").alias("status"), F.struct(F.array("text").alias("parts")).alias("inner"))).alias("payload"))
-    typed = RD.redact_events(ev, skip=("payload",))
-    j = RD.redact_json(F.col("payload"))
-    out = typed.select("conv_id", "turn", F.md5("message.kind").alias("kept"), F.md5("message.body").alias("body"), F.md5(F.col("message.lines")[0]).alias("line"),
-                       F.md5(F.get_json_object(j, "$.note")).alias("note"), F.md5(F.get_json_object(j, "$.status")).alias("status"),
-                       F.md5(F.get_json_object(j, "$.inner.parts[0]")).alias("part"))
-    return out
+    """Conversation turns as nested events: the role is structural (kind), the text and a list of its lines are not.
+
+    The payload is free-form JSON of six levels with numbers, arrays in arrays, and objects below structural keys.
+    """
+    c = table(spark, sf_dir, "conversations")
+    text, number = F.col("text"), F.lit(4111111111111111)
+    leaf = F.struct(text.alias("name"), text.alias("said"), number.alias("n"), F.array(F.array(text)).alias("parts"))
+    body = F.struct(
+        text.alias("note"), text.alias("status"), F.struct(F.array(F.struct(F.struct(F.struct(leaf.alias("five")).alias("four")).alias("three"))).alias("two")).alias("one"),
+        F.array(text, text).alias("model"), F.struct(F.struct(F.array(text).alias("list")).alias("deep")).alias("tool_name"))
+    ev = c.select("conv_id", "turn", F.struct(text.alias("kind"), text.alias("body"), F.array("text").alias("lines")).alias("message"), F.to_json(body).alias("payload"))
+    typed = RD.redact_events(RD.redact_payloads(ev, "payload", "found"), skip=("payload", "found"))
+    j, five = F.col("payload"), "$.one.two[0].three.four.five"
+    at = lambda path: F.md5(F.get_json_object(j, path))
+    return typed.select(
+        "conv_id", "turn", F.md5("message.kind").alias("kept"), F.md5("message.body").alias("body"), F.md5(F.col("message.lines")[0]).alias("line"),
+        at("$.note").alias("note"), at("$.status").alias("status"), at(f"{five}.name").alias("deep_kept"), at(f"{five}.said").alias("deep"), at(f"{five}.parts[0][0]").alias("part"),
+        F.get_json_object(j, f"{five}.n").alias("number"), at("$.model[1]").alias("listed"), at("$.tool_name.deep.list[0]").alias("below"),
+        F.try_parse_json(j).isNotNull().alias("is_json"), F.coalesce(F.aggregate(F.map_values("found"), F.lit(0), lambda a, n: a + n), F.lit(0)).cast("long").alias("found"))
 
 
 _cst, _cl = redaction_sql("conv_id, turn", "conversations")
-_add("V6_redact_events", _v6, f"WITH {_cst} SELECT r.conv_id, r.turn, md5(c.text) AS kept, md5(r.text) AS body, md5(r.text) AS line, md5(r.text) AS note, md5(c.text) AS status, md5(r.text) AS part "
+_OLD, _NEW = "md5(c.text) AS ", "md5(r.text) AS "
+_add("V6_redact_events", _v6, f"WITH {_cst} SELECT r.conv_id, r.turn, " + ", ".join(_OLD + n for n in ("kept", "status", "deep_kept", "listed")) + ", "
+     + ", ".join(_NEW + n for n in ("body", "line", "note", "deep", "part", "below")) + f", '4111111111111111' AS number, true AS is_json, CAST(4 * ({' + '.join(RD.KINDS)}) AS BIGINT) AS found "
      f"FROM {_cl} r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn")
 
 # ---- web events ----------------------------------------------------------
@@ -184,7 +189,7 @@ _add("V6_redact_events", _v6, f"WITH {_cst} SELECT r.conv_id, r.turn, md5(c.text
 
 def web(spark, sf_dir):
     """Product events as web event documents; defects by event_id % 16."""
-    ev = _wide(spark, table(spark, sf_dir, "events"))
+    ev = table(spark, sf_dir, "events")
     d = F.col("event_id") % 16
     kind = F.when(F.col("event_type") == "view", "page_view").otherwise(F.col("event_type"))
     category = F.when(F.col("event_type") == "view", "navigation").when(F.col("event_type") == "click", "engagement").when(
@@ -327,7 +332,7 @@ _add("S05_split_dead_letters", _s5, oracle(
 
 def payloads(spark, sf_dir):
     """Each event as an OTLP payload of one span: steps carry gen_ai attributes, ends an outcome, the rest neither."""
-    ev = _wide(spark, agent_events(spark, sf_dir))
+    ev = agent_events(spark, sf_dir)
     s = lambda key, v: F.when(v.isNotNull(), F.struct(F.lit(key).alias("key"), F.struct(v.cast("string").alias("stringValue"), F.lit(None).cast("string").alias("intValue")).alias("value")))
     i = lambda key, v: F.when(v.isNotNull(), F.struct(F.lit(key).alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), v.cast("long").cast("string").alias("intValue")).alias("value")))
     step = F.col("event") == "step_executed"

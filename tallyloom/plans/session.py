@@ -68,14 +68,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(spark: SparkSession, df, *cols: str):
-    """Give a CPU-heavy stage one partition per shuffle slot when its input is a few large row groups.
-
-    The number is explicit, so adaptive execution does not merge the small
-    partitions again.
-    """
-    sc = spark.sparkContext
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(slots, sc.defaultParallelism) if sc.master.startswith("local") else slots, *cols)

@@ -8,7 +8,7 @@ from tallyloom.functions.redaction import redact_text, redacted
 from tallyloom.operators import lifecycle as L
 from tallyloom.operators import metrics as M
 from tallyloom.operators import validate as V
-from tallyloom.operators.redact import redact_events, redact_json, redaction_counts
+from tallyloom.operators.redact import redact_events, redact_json, redact_payloads, redaction_counts
 from tallyloom.sources import events as S
 from tallyloom.sources import otlp as OT
 from tallyloom.sources import rows as RW
@@ -203,3 +203,49 @@ def test_rolling_window_keeps_every_reading(spark):
     df = spark.range(1500).select(F.lit("m").alias("name"), F.timestamp_millis(F.col("id") * 10 + 1704067200000).cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value"))
     got = rolling_aggregate(df, "name", "ts", "value").agg(F.max("count"), F.max("sum")).first()
     assert tuple(got) == (1500, 1500.0)
+
+
+def plain_redaction(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string").distinct()
+    return {r["t"]: r["r"] for r in df.select("t", redacted(F.col("t")).alias("r")).collect()}
+
+
+def walked(value, key, change):
+    from tallyloom.functions.redaction import STRUCTURAL_KEYS
+
+    if isinstance(value, str):
+        return value if key in STRUCTURAL_KEYS else change(value)
+    if isinstance(value, list):
+        return [walked(v, key, change) for v in value]
+    if isinstance(value, dict):
+        return {k: walked(v, k, change) for k, v in value.items()}
+    return value
+
+
+def test_redaction_at_any_depth(spark):
+    """Against a recursive walk: six levels and more, numbers like cards, key blocks, escapes, odd keys, arrays below structural keys."""
+    mail, card, block = "to a.b@c.io \\ \"x\" é\n{[", "4111 1111 1111 1111", "-----BEGIN PRIVATE KEY-----\nabc"
+    deep = {"n": 4111111111111111, "said": mail, "name": mail, "source": [mail, [mail, {"q": [mail]}, mail], {"name": mail}]}
+    for k in ("six", "five", "na.me", "", "mo\"del", "a:b"):
+        deep = {k: [deep, block, [mail]], "x\\": card, "status": {"y": block}}
+    objects = [deep, {"model": [], "a": {}, "b": [mail]}, {"name": [[mail], {"k": mail}], "b": mail}, {"\u0001": mail, "v": "\u0002\u0001"}, {}, {"event": mail, "kinds": [mail]}]
+    found: set = set()
+    for o in objects:
+        walked(o, None, lambda t: found.add(t) or t)
+    plain = plain_redaction(spark, found)
+    texts = [json.dumps(o, ensure_ascii=bool(i % 2), indent=(None, 1)[i % 2]) for i, o in enumerate([*objects, *objects[:3]])] + [f'{{"na\\u006de": "{card}", "b" : "{card}"}}', f"no json {card}", None, "[1]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
+    got = [r["p"] for r in redact_payloads(df, "p", "c").orderBy("i").collect()]
+    for text, out in zip(texts[:-4], got):
+        assert json.loads(out) == walked(json.loads(text), None, plain.get)
+    assert json.loads(got[-4]) == {"name": card, "b": "[REDACTED:credit_card]"}
+    assert got[-3:] == ["no json [REDACTED:credit_card]", None, "[1]"]
+    counts = [r["c"] for r in redact_payloads(df, "p", "c").orderBy("i").collect()]
+    assert counts[1] == {"email": 1} and counts[5] == {"email": 1} and counts[-4] == {"credit_card": 1}
+
+
+def test_keys_with_dots_are_seen(spark):
+    from tallyloom.functions.jsonrules import flatten_json
+
+    row = docs(spark, {"a.b": 1, "a": {"b": 2, "c.d": 3}}).select(flatten_json(F.try_parse_json("payload")).alias("f")).collect()[0]["f"]
+    assert {k: v["n"] for k, v in row.items() if v["n"] is not None} == {r"a\.b": 1.0, "a.b": 2.0, r"a.c\.d": 3.0}
