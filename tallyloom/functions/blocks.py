@@ -36,6 +36,25 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block
     return written(rows.withColumn("_block", F.floor(F.col("_pos") / rows_per_block)), "blocks")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", facts: dict[str, Column] | None = None,
+             rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Add the 1-based position of each row in its group, and what ``facts`` says of the whole group.
+
+    Blocks are cut by counts, so a group of any size and density is spread. The
+    rows are sorted once, by the cut; a position is then a difference. ``facts``
+    are aggregates that can be folded by their maximum.
+    """
+    facts = facts or {}
+    rows = cut(df, keys, order, rows_per_block)
+    per = rows.groupBy("_key", "_block").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"), *[a.alias(f"_f_{n}") for n, a in facts.items()])
+    whole, before = Window.partitionBy("_key"), Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(
+        F.col("_key").alias("_of"), F.col("_block").alias("_in"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        *[F.max(f"_f_{n}").over(whole).alias(n) for n in facts])
+    both = rows.join(carry, (F.col("_key") == F.col("_of")) & (F.col("_block") == F.col("_in")))
+    return both.select(*df.columns, *facts, (F.col("_pos") + F.col("_shift")).alias(name))
+
+
 def block_of(df: DataFrame, order: str) -> Column:
     """Default block: the month of a date or timestamp, else 65536 consecutive numbers."""
     kind = dict(df.dtypes)[order]

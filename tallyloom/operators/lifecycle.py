@@ -75,34 +75,76 @@ def reconcile_rollup(rollup: DataFrame, events: DataFrame, digits: int = 6) -> D
 
 # ---- in place, on the month-partitioned table -----------------------------
 
-def _delete_partition(spark: SparkSession, path: str, month: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and its Path class."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark._jsc.hadoopConfiguration()), kind
+
+
+def _swap(spark: SparkSession, path: str) -> list[str]:
+    """Puts the months of a finished rewrite in place of the old ones; does nothing where there is none.
+
+    The plan, written last, is the point of no return: before it the table is
+    untouched, after it every step can be done again. A month goes by deleting
+    the old folder and renaming the new one, so a month whose new folder is gone
+    from the side has been swapped already.
+    """
+    fs, to = _files(spark, path)
+    side = f"{path}{_SIDE}"
+    if not fs.exists(to(f"{side}/plan/_SUCCESS")):
+        fs.delete(to(side), True)
+        return []
+    months = {r["month"]: r["left"] for r in spark.read.parquet(f"{side}/plan").collect()}  # one row per month
+    for month, left in months.items():
+        new, old = to(f"{side}/rows/month={month}"), to(f"{path}/month={month}")
+        if fs.exists(new) or not left:
+            fs.delete(old, True)
+        if fs.exists(new):
+            fs.rename(new, old)
+    fs.delete(to(side), True)
+    spark.catalog.refreshByPath(path)
+    return sorted(months)
+
+
+_SIDE = "-rewrite"
+
+
+def replace_months(spark: SparkSession, path: str, rows: DataFrame, months: DataFrame) -> list[str]:
+    """Replaces whole months of the table by ``rows``; ``months`` holds (month, left), left being 0 where no row remains.
+
+    ``rows`` may be read from the table itself. A failure at any point leaves
+    either the old table or a plan that the next call, or ``recover``, completes.
+    """
+    recover(spark, path)
+    side = f"{path}{_SIDE}"
+    write_event_table(rows, f"{side}/rows")
+    months.select("month", "left").coalesce(1).write.parquet(f"{side}/plan")
+    return _swap(spark, path)
+
+
+def recover(spark: SparkSession, path: str) -> list[str]:
+    """Completes or drops a rewrite that was cut off; the months it completed."""
+    return _swap(spark, path)
 
 
 def rewrite_table(spark: SparkSession, path: str, keep: Column) -> list[str]:
     """Keep only the rows that satisfy ``keep``; rewrites just the months that lose any.
 
-    The month list is the only thing that reaches the driver. A month whose
-    rows all go has nothing to overwrite it with, so its folder is removed.
+    The month list is the only thing that reaches the driver.
     """
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    recover(spark, path)
     table = read_event_table(spark, path)
     doomed = ~F.coalesce(keep, F.lit(False))
-    stats = table.groupBy("month").agg(F.count_if(doomed).alias("gone"), F.count_if(~doomed).alias("left")).where(F.col("gone") > 0).collect()
-    partly = [r["month"] for r in stats if r["left"]]
-    if partly:
-        write_event_table(table.where(F.col("month").isin(partly) & ~doomed).drop("month"), path)
-    for r in stats:
-        if not r["left"]:
-            _delete_partition(spark, path, r["month"])
-    spark.catalog.refreshByPath(path)
-    return sorted(r["month"] for r in stats)
+    stats = table.groupBy("month").agg(F.count_if(doomed).alias("gone"), F.count_if(~doomed).alias("left")).where(F.col("gone") > 0)
+    months = [(r["month"], r["left"]) for r in stats.collect()]
+    if not months:
+        return []
+    rows = table.where(F.col("month").isin([m for m, _ in months]) & ~doomed).drop("month")
+    return replace_months(spark, path, rows, spark.createDataFrame(months, "month string, left long"))
 
 
 def compact_events(spark: SparkSession, path: str, months: Sequence[str], order_col: str | None = None) -> None:
     """Fold duplicates and small files of the given months."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    recover(spark, path)
     part = read_event_table(spark, path).where(F.col("month").isin(*months)).drop("month")
-    write_event_table(dedupe_events(part, order_col), path)
-    spark.catalog.refreshByPath(path)
+    replace_months(spark, path, dedupe_events(part, order_col), spark.createDataFrame([(m, 1) for m in months], "month string, left long"))

@@ -329,13 +329,18 @@ def metric_panel(events: DataFrame, args: MetricArgs, names=PANEL, deduped: bool
     return wide.unpivot(["tenant_id", *seg], list(names), "metric", "value")
 
 
+def exact_sum(col: str) -> Column:
+    """Sum of amounts as decimals, so that it doesn't depend on the order of the rows."""
+    return F.sum(F.col(col).cast("decimal(28,12)")).cast("double")
+
+
 def daily_rollup_build(events: DataFrame) -> DataFrame:
     """Per tenant, task type and day. Takes de-duplicated events, so replays never count twice."""
     return events.groupBy("tenant_id", "task_type", F.to_date("timestamp").alias("day")).agg(
         count_if(is_event("task_completed")).alias("completed"),
         count_if(ended()).alias("ended"),
         count_if(is_event("task_abandoned")).alias("abandoned"),
-        F.sum("cost_usd").alias("cost_usd"),
+        exact_sum("cost_usd").alias("cost_usd"),
         F.count(F.lit(1)).alias("events"),
     )
 
@@ -347,7 +352,7 @@ def daily_rollup_read(rollup: DataFrame, args: MetricArgs) -> DataFrame:
     cond = (day >= F.to_date(F.lit(args.start))) & (day <= F.to_date(F.lit(args.end)))
     if args.tenant != ALL_TENANTS:
         cond = cond & (F.col("tenant_id") == args.tenant)
-    done, end, cost = F.sum("completed"), F.sum("ended"), F.sum("cost_usd")
+    done, end, cost = F.sum("completed"), F.sum("ended"), exact_sum("cost_usd")
     return rollup.where(cond).groupBy("tenant_id", "day").agg(
         done.alias("completed_tasks"),
         end.alias("ended_tasks"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.blocks import positions
+from tallyloom.functions.blocks import ROWS_PER_BLOCK, numbered
 from tallyloom.functions.scalars import div, short_sha
 from tallyloom.schema import ended, human_touch, is_event
 from tallyloom.sources.events import Scope, scan_events
@@ -69,26 +69,44 @@ def reconstruct_runs(events: DataFrame) -> DataFrame:
         "steps", "errors", "retries", "tokens", "cost_usd", "human_events", "events")
 
 
-def trajectories(events: DataFrame, block: Column | None = None) -> DataFrame:
-    """The ordered steps of every run as rows: position, event, tool, status, retried step.
+def _last_end() -> Column:
+    return F.max(F.when(ended(), F.struct(*ORDER, "event")))
 
-    Positions are exact for runs of any length: the order axis is cut by day.
+
+def trajectories(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """The ordered steps of every run as rows: position, event, tool, status, retried step, and whether the run was completed.
+
+    A run is completed when its last end says so. Blocks are cut by counts, so a
+    runaway run is spread over tasks even if all of it happened in one day.
     """
     rows = events.select(*RUN, *ORDER, "event", *[
         F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("tool_name", "status", "retry_of_step_id")])
-    return positions(rows, RUN, ORDER, block if block is not None else F.to_date("timestamp"))
+    out = numbered(rows, RUN, ORDER, facts={"_end": _last_end()}, rows_per_block=rows_per_block)
+    return out.select(*rows.columns, "pos", F.coalesce(F.col("_end.event") == "task_completed", F.lit(False)).alias("completed"))
+
+
+def run_steps(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """The steps and human events of every run as rows beside its summary, in order.
+
+    ``kind`` is step or human; ``pos`` counts each kind on its own. Human events
+    carry their name and time only.
+    """
+    step = is_event("step_executed")
+    detail = ("agent_name", "tool_name", "model", "status", "latency_ms", "tokens_in", "tokens_out", "cost_usd", "retry_of_step_id")
+    rows = events.where(step | human_touch()).select(
+        *RUN, F.when(step, "step").otherwise("human").alias("kind"), *ORDER, "event", *[F.when(step, F.col(c)).alias(c) for c in detail])
+    return numbered(rows, (*RUN, "kind"), ORDER, rows_per_block=rows_per_block)
 
 
 def _number(v: Column) -> Column:
     return F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
 
 
-def waterfall(events: DataFrame) -> DataFrame:
+def waterfall(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Display rows of every run: bar share of the slowest step, label, detail, highlight."""
     step = is_event("step_executed")
-    rows = events.where(step | human_touch())
-    slowest = events.where(step).groupBy(*RUN).agg(F.max("latency_ms").alias("_slowest"))
-    joined = rows.join(slowest, list(RUN), "left")
+    read = events.select(*RUN, *ORDER, "event", "tool_name", "model", "status", "latency_ms", "tokens_in", "tokens_out", "retry_of_step_id").where(step | human_touch())
+    joined = numbered(read, RUN, ORDER, facts={"_slowest": F.max(F.when(step, F.col("latency_ms")))}, rows_per_block=rows_per_block)
     filled = lambda c: F.col(c) != ""
     tokens = F.col("tokens_in") + F.col("tokens_out")
     bad = filled("status") & (F.col("status") != "ok")
@@ -100,15 +118,14 @@ def waterfall(events: DataFrame) -> DataFrame:
         F.when(bad, F.col("status")),
     )
     label = F.when(filled("tool_name"), F.col("tool_name")).when(filled("model"), F.col("model")).otherwise("step")
-    out = joined.select(
+    return joined.select(
         *RUN, *ORDER,
         F.when(step, "step").otherwise("human").alias("kind"),
         F.when(step, label).otherwise(F.col("event")).alias("label"),
         F.when(step, detail).otherwise("").alias("detail"),
         F.when(step, div(F.col("latency_ms"), F.greatest(F.lit(1.0), F.col("_slowest")))).otherwise(0.0).alias("share"),
         F.when(~step, "human").when(bad, "error").when(filled("retry_of_step_id"), "retry").otherwise("none").alias("highlight"),
-    )
-    return positions(out, RUN, ORDER, F.to_date("timestamp"))
+        "pos")
 
 
 def failure_rows(events: DataFrame, scope: Scope) -> DataFrame:

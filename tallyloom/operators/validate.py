@@ -237,12 +237,17 @@ def enrich_web_events(df: DataFrame, now: Column, id_col: str = "id", ts: str =
     """Default id (content hash, so a replay gets the same one), timestamp and metadata flags.
 
     Without ``key`` the hash is of the whole event, so two events of a session that differ anywhere get two ids.
+    A struct column ``metadata`` keeps its own fields, tags and flags; the flags and scores of the pipeline are set anew.
     """
     whole = [c for c in df.columns if c != id_col]
     made = uuid_from(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]) if key else uuid_from(F.to_json(F.struct(*whole), {"ignoreNullFields": "false"}))
+    own = df.schema["metadata"].dataType.fieldNames() if "metadata" in df.columns else []
+    fields = {c: F.col(f"metadata.`{c}`") for c in own}
+    fields |= {"processed": F.lit(False), "scored": F.lit(False), "segmented": F.lit(False), "quality": F.lit(1.0), "confidence": F.lit(1.0)}
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    fields |= {c: F.coalesce(fields[c], none) if c in own else none for c in ("tags", "flags")}
     return df.withColumn(id_col, F.coalesce(F.col(id_col), made)).withColumn(ts, F.coalesce(F.col(ts), now)).withColumn(
-        "metadata", F.struct(F.lit(False).alias("processed"), F.lit(False).alias("scored"), F.lit(False).alias("segmented"),
-                             F.lit(1.0).alias("quality"), F.lit(1.0).alias("confidence")))
+        "metadata", F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
 def validation_summary(df: DataFrame, errors: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -317,11 +317,11 @@ _add("G6_evaluate_gate", _g6, oracle(
 
 
 def _g7(spark, sf_dir):
-    """Humans rate the documents twice, the judge once: the later human rating counts."""
+    """Humans rate the documents twice, the judge once: the later human rating counts, which is the first for every fourth document."""
     lab = table(spark, sf_dir, "labels")
     judge = lab.select("doc_id", F.lit("judge").alias("kind"), F.lit(1).alias("seq"), (0.9 - F.col("toxic") * 0.4 - (F.col("doc_id") % 5) * 0.05).alias("value"))
     h1 = lab.select("doc_id", F.lit("human").alias("kind"), F.lit(1).alias("seq"), F.lit(0.0).alias("value"))
-    h2 = lab.where(F.col("doc_id") % 4 != 0).select("doc_id", F.lit("human").alias("kind"), F.lit(2).alias("seq"), F.col("quality").cast("double").alias("value"))
+    h2 = lab.select("doc_id", F.lit("human").alias("kind"), F.when(F.col("doc_id") % 4 == 0, 0).otherwise(2).alias("seq"), F.col("quality").cast("double").alias("value"))
     src = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return _rounded(G.judge_agreement(judge.unionByName(h1).unionByName(h2).join(src, "doc_id"), ["doc_id"], "seq", by=["lang"]))
 

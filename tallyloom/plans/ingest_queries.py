@@ -96,10 +96,10 @@ _add("V3_rejection_counts", lambda s, d: V.rejection_counts(V.validate_events(me
 
 
 def settings(spark, sf_dir):
-    """One settings row for the first five tenants, from the nations."""
+    """One settings row per nation, for the tenant with twice its number: odd tenants have none."""
     n = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").where(n < 5).select(
-        F.concat(F.lit("t_"), n.cast("string")).alias("tenant_id"), (n * 100 + 30).cast("int").alias("retention_days"), (n != 2).alias("redact"),
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("t_"), (n * 2).cast("string")).alias("tenant_id"), (n * 100 + 30).cast("int").alias("retention_days"), (n != 2).alias("redact"),
         F.when(n % 2 == 0, "eu").otherwise("us").alias("residency"))
 
 
@@ -110,7 +110,7 @@ def _v4(spark, sf_dir):
 
 _add("V4_enrich_with_settings", _v4, oracle(
     "SELECT tenant_id, CAST(coalesce(n_nationkey * 100 + 30, 365) AS INTEGER) AS retention_days, coalesce(n_nationkey <> 2, true) AS redact, "
-    "CASE WHEN n_nationkey % 2 = 0 THEN 'eu' ELSE 'us' END AS residency, count(*) AS n FROM agent_events LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 5) ON tenant_id = 't_' || n_nationkey GROUP BY 1, 2, 3, 4"))
+    "CASE WHEN n_nationkey % 2 = 0 THEN 'eu' ELSE 'us' END AS residency, count(*) AS n FROM agent_events LEFT JOIN nation ON tenant_id = 't_' || (n_nationkey * 2) GROUP BY 1, 2, 3, 4"))
 
 # ---- redaction -----------------------------------------------------------
 
@@ -260,14 +260,19 @@ _add("V11_sanitize_events", _v11,
 def _v12(spark, sf_dir):
     p = _parsed(spark, sf_dir).withColumn("id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("e"), F.col("event_id").cast("string")))).withColumn(
         "timestamp_ms", F.when(F.col("event_id") % 5 != 0, F.unix_millis(F.col("ts").cast("timestamp"))))
+    own = F.struct(F.col("event_type").alias("channel"), F.lit(True).alias("processed"), F.array("type").alias("tags"), F.lit(None).cast("array<string>").alias("flags"))
+    p = p.withColumn("metadata", F.when(F.col("event_id") % 7 != 0, own))
     out = V.enrich_web_events(p, F.lit(1704067200000), key=("event_id", "type"))
-    return out.select("event_id", "id", "timestamp_ms", "metadata.processed", r6(F.col("metadata.quality")).alias("quality"))
+    return out.select("event_id", "id", "timestamp_ms", "metadata.processed", r6(F.col("metadata.quality")).alias("quality"), "metadata.channel",
+                      F.concat_ws(",", "metadata.tags").alias("tags"), F.size("metadata.flags").alias("n_flags"))
 
 
 _UID = "sha256(event_id || '|' || CASE WHEN event_id % 16 = 2 THEN 'teleport' WHEN event_type = 'view' THEN 'page_view' ELSE event_type END)"
 _add("V12_enrich_web_events", _v12,
      f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id ELSE concat_ws('-', substr({_UID}, 1, 8), substr({_UID}, 9, 4), substr({_UID}, 13, 4), substr({_UID}, 17, 4), substr({_UID}, 21, 12)) END AS id, "
-     "CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) // 1000 ELSE 1704067200000 END AS timestamp_ms, false AS processed, 1.0::DOUBLE AS quality FROM events")
+     "CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) // 1000 ELSE 1704067200000 END AS timestamp_ms, false AS processed, 1.0::DOUBLE AS quality, "
+     "CASE WHEN event_id % 7 <> 0 THEN event_type END AS channel, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 16 = 2 THEN 'teleport' WHEN event_type = 'view' THEN 'page_view' ELSE event_type END AS tags, "
+     "0 AS n_flags FROM events")
 
 
 def _v13(spark, sf_dir):
@@ -330,9 +335,9 @@ _add("S05_split_dead_letters", _s5, oracle(
     "count(*) AS n FROM agent_events GROUP BY 1"))
 
 
-def payloads(spark, sf_dir):
+def payloads(spark, sf_dir, events=None):
     """Each event as an OTLP payload of one span: steps carry gen_ai attributes, ends an outcome, the rest neither."""
-    ev = agent_events(spark, sf_dir)
+    ev = agent_events(spark, sf_dir, events)
     s = lambda key, v: F.when(v.isNotNull(), F.struct(F.lit(key).alias("key"), F.struct(v.cast("string").alias("stringValue"), F.lit(None).cast("string").alias("intValue")).alias("value")))
     i = lambda key, v: F.when(v.isNotNull(), F.struct(F.lit(key).alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), v.cast("long").cast("string").alias("intValue")).alias("value")))
     step = F.col("event") == "step_executed"

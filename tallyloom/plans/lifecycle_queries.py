@@ -14,7 +14,7 @@ from tallyloom.operators import lifecycle as L
 from tallyloom.operators import metrics as M
 from tallyloom.operators import ops as O
 from tallyloom.plans.fixtures import IN_WINDOW, agent_events, oracle, table
-from tallyloom.plans.ingest_queries import CLASS, messages, settings
+from tallyloom.plans.ingest_queries import CLASS, messages, payloads, settings
 from tallyloom.plans.metric_queries import ARGS, ROLLUP_SQL
 from tallyloom.plans.product_queries import STEPS
 from tallyloom.plans.run_queries import redelivered
@@ -59,13 +59,14 @@ _add("S03_event_stream", _s3, "SELECT event_type, count(*) AS n, round(sum(value
 
 
 def _s6(spark, sf_dir):
-    """The first 60% of the days as one batch, written twice; then everything again under a new id."""
+    """The first 60% of the days as one batch, written twice and once more under another id; then everything under a new id."""
     ev = agent_events(spark, sf_dir)
     out = fresh_dir(spark, "s6")
     first = ev.where(F.dayofmonth("timestamp") <= 18)
     for _ in range(2):
         J.write_events_idempotent(spark, first, out, 0)
-    J.write_events_idempotent(spark, ev, out, 1, K.read_batches(spark, out))
+    J.write_events_idempotent(spark, first.orderBy("event_id"), out, 7)
+    J.write_events_idempotent(spark, ev, out, 1)
     t = K.read_batches(spark, out)
     return t.groupBy("tenant_id", "batch_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
@@ -75,8 +76,10 @@ _add("S06_write_events_idempotent", _s6, oracle(
 
 
 def _s9(spark, sf_dir):
+    """All metrics without a pivot are cited at once, in one file; one of them is resolved."""
     path = fresh_dir(spark, "s9")
-    qid = citations.log_citation(spark, path, "task_success_rate", ARGS)
+    names = [n for n, m in M.METRICS.items() if not m.needs_pivot]
+    qid = dict(zip(names, citations.log_citations(spark, path, [(n, ARGS) for n in names])))["task_success_rate"]
     cited = citations.resolve_citation(spark, path, qid).select("query_id", "metric", "layer")
     rows = M.metric("task_success_rate", agent_events(spark, sf_dir), ARGS).withColumn("query_id", F.lit(qid))
     return rows.join(cited, "query_id").select("tenant_id", "query_id", "metric", "layer", r6(F.col("value")).alias("value"))
@@ -142,6 +145,20 @@ _add("L4_compact_events", _l4, oracle(
     "SELECT tenant_id, event, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS seq, count(*) AS n FROM agent_events GROUP BY 1, 2, 3"))
 
 
+def _l3_in_place(spark, sf_dir):
+    """The same requests on a written table: its months are rewritten in place; then one tenant is erased and what is old expires."""
+    path = fresh_dir(spark, "l3")
+    S.write_event_table(agent_events(spark, sf_dir), path)
+    L.rewrite_table(spark, path, ~F.col("session_id").endswith("7"))
+    L.rewrite_table(spark, path, F.col("tenant_id") != "t_5")
+    L.rewrite_table(spark, path, L.alive(F.lit(NOW).cast("timestamp_ntz")))
+    return S.read_event_table(spark, path).groupBy("tenant_id", "event").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("oldest"))
+
+
+_add("L3_erase_in_place", _l3_in_place, oracle(
+    f"SELECT tenant_id, event, count(*) AS n, min(timestamp) AS oldest FROM agent_events WHERE session_id NOT LIKE '%7' AND tenant_id <> 't_5' AND timestamp + to_days(retention_days) > TIMESTAMP '{NOW}' GROUP BY 1, 2"))
+
+
 def _l5(spark, sf_dir):
     """A rollup that lacks one tenant's tenth day and double counts another's: the two differences."""
     ev = agent_events(spark, sf_dir)
@@ -188,15 +205,16 @@ _add("O4_onboarding_funnel", lambda s, d: O.onboarding_funnel(O.onboarding_state
 
 
 def _accounts(spark, sf_dir):
+    """All customers, tier by market segment; MACHINERY has none recorded."""
     seg = F.col("c_mktsegment")
-    return table(spark, sf_dir, "customer").where(seg != "MACHINERY").select(
-        F.concat(F.lit("c_"), F.col("c_custkey").cast("string")).alias("tenant_id"), F.when(seg == "BUILDING", "growth").when(seg == "FURNITURE", "starter").when(seg == "HOUSEHOLD", "legacy").otherwise("free").alias("tier"))
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c_"), F.col("c_custkey").cast("string")).alias("tenant_id"), F.when(seg == "BUILDING", "growth").when(seg == "FURNITURE", "starter").when(seg == "HOUSEHOLD", "legacy").when(seg != "MACHINERY", "free").alias("tier"))
 
 
-_TIER = "CASE c_mktsegment WHEN 'BUILDING' THEN 'growth' WHEN 'FURNITURE' THEN 'starter' WHEN 'HOUSEHOLD' THEN 'legacy' ELSE 'free' END"
+_TIER = "CASE c_mktsegment WHEN 'BUILDING' THEN 'growth' WHEN 'FURNITURE' THEN 'starter' WHEN 'HOUSEHOLD' THEN 'legacy' WHEN 'MACHINERY' THEN NULL ELSE 'free' END"
 _add("O5_revenue_rollup", lambda s, d: _rounded(O.revenue_rollup(_accounts(s, d), table(s, d, "orders").select(F.col("o_totalprice").alias("amount_usd")))),
      f"SELECT tier, count(*) AS accounts, count(*) * CASE tier WHEN 'growth' THEN 800 WHEN 'starter' THEN 200 ELSE 0 END AS recurring_usd_month, (SELECT round(sum(o_totalprice), 6) FROM orders) AS invoiced_usd_total "
-     f"FROM (SELECT {_TIER} AS tier FROM customer WHERE c_mktsegment <> 'MACHINERY') GROUP BY tier")
+     f"FROM (SELECT {_TIER} AS tier FROM customer) GROUP BY tier")
 
 
 def _o6(spark, sf_dir):
@@ -209,7 +227,7 @@ def _o6(spark, sf_dir):
 
 _add("O6_tenant_summary", _o6,
      f"WITH {_ST}, g AS (SELECT o_custkey AS k, arg_max(o_orderkey % 5, o_orderkey) AS lv FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), "
-     f"t AS (SELECT c_custkey AS k, {_TIER} AS tier FROM customer WHERE c_mktsegment <> 'MACHINERY'), "
+     f"t AS (SELECT c_custkey AS k, {_TIER} AS tier FROM customer), "
      "e AS (SELECT o_custkey AS k, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'O') AS a, count(*) FILTER (WHERE o_orderstatus = 'P') AS d FROM orders GROUP BY 1) "
      "SELECT st.tenant_id, st.name, st.step AS onboarding_step, CAST(coalesce(lv, 0) AS INTEGER) AS autonomy_level, coalesce(tier, 'free') AS tier, coalesce(n, 0) AS entries, coalesce(a, 0) AS active, coalesce(d, 0) AS deprecated "
      "FROM st LEFT JOIN g ON 'c_' || g.k = st.tenant_id LEFT JOIN t ON 'c_' || t.k = st.tenant_id LEFT JOIN e ON 'c_' || e.k = st.tenant_id")
@@ -252,12 +270,34 @@ def _x1(spark, sf_dir):
 
 _D = "event_id % 20"
 _add("X1_ingest_stream", _x1, oracle(
-    f"SELECT tenant_id, CASE WHEN coalesce(tn % 2 = 0 AND tn < 5, false) THEN 'eu' ELSE 'us' END AS store, CASE WHEN {_D} = 5 THEN 'checkout_done' ELSE event END AS event, count(*) AS n, "
-    f"count(*) FILTER (WHERE {_D} = 9 AND tn <> 2) AS redacted, CAST(max(CASE WHEN tn < 5 THEN tn * 100 + 30 ELSE 365 END) AS INTEGER) AS retention_days "
+    f"SELECT tenant_id, CASE WHEN tn % 4 = 0 THEN 'eu' ELSE 'us' END AS store, CASE WHEN {_D} = 5 THEN 'checkout_done' ELSE event END AS event, count(*) AS n, "
+    f"count(*) FILTER (WHERE {_D} = 9 AND tn <> 4) AS redacted, CAST(max(CASE WHEN tn % 2 = 0 THEN tn * 50 + 30 ELSE 365 END) AS INTEGER) AS retention_days "
     f"FROM (SELECT *, CAST(substr(tenant_id, 3) AS INTEGER) AS tn, {CLASS} AS rc FROM agent_events) WHERE rc IS NULL GROUP BY 1, 2, 3 "
     f"UNION ALL SELECT tenant_id, 'rejected', {CLASS}, count(*), 0, 0 FROM agent_events WHERE {CLASS} IS NOT NULL GROUP BY 1, 3"))
 
 
+def _x1_spans(spark, sf_dir):
+    """Every event as a trace payload through the ingest job, then all of them again under another batch id."""
+    out = fresh_dir(spark, "x1s")
+    st, made = settings(spark, sf_dir), payloads(spark, sf_dir, events_stream(spark, sf_dir)).select("tenant_id", "payload")
+    K.run_available(made, lambda df, i: J.ingest_spans_batch(spark, df, i, st, out), f"{out}/cp")
+    J.ingest_spans_batch(spark, payloads(spark, sf_dir).select("tenant_id", "payload"), 99, st, out)
+    rows = K.read_batches(spark, f"{out}/events").groupBy("tenant_id", "store", "event").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"), r6(F.sum("tokens_in")).alias("tokens_in"), F.max("retention_days").alias("retention_days"))
+    bad = K.read_batches(spark, f"{out}/rejections").where("batch_id = 0").groupBy("tenant_id", "reason_class").agg(F.sum("rejected").alias("n"))
+    none = F.lit(0).cast("long")
+    return rows.unionByName(bad.select("tenant_id", F.lit("rejected").alias("store"), F.col("reason_class").alias("event"), "n", none.alias("ids"), F.lit(0.0).alias("tokens_in"), F.lit(0).alias("retention_days")))
+
+
+_ENDS = "('task_completed', 'task_failed', 'task_abandoned')"
+_SPAN_TENANT = ("CASE WHEN tn % 4 = 0 THEN 'eu' ELSE 'us' END AS store", "CAST(max(CASE WHEN tn % 2 = 0 THEN tn * 50 + 30 ELSE 365 END) AS INTEGER) AS retention_days")
+_add("X1_ingest_spans", _x1_spans, oracle(
+    f"SELECT tenant_id, {_SPAN_TENANT[0]}, out_event AS event, count(*) AS n, count(*) AS ids, round(sum(CASE WHEN out_event = 'step_executed' THEN tokens_in ELSE 0 END), 6) AS tokens_in, {_SPAN_TENANT[1]} "
+    f"FROM (SELECT *, CAST(substr(tenant_id, 3) AS INTEGER) AS tn, unnest(CASE WHEN event IN {_ENDS} THEN ['task_started', event] ELSE [event] END) AS out_event FROM agent_events "
+    f"WHERE event = 'step_executed' OR event IN {_ENDS}) GROUP BY 1, 2, 3 "
+    f"UNION ALL SELECT tenant_id, 'rejected', 'unmapped_span', count(*), 0, 0.0, 0 FROM agent_events WHERE event <> 'step_executed' AND event NOT IN {_ENDS} GROUP BY 1"))
+
+
 def _agent_stream(spark, sf_dir):
     return _stream_of(agent_events(spark, sf_dir, events_stream(spark, sf_dir)))
 

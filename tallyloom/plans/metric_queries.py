@@ -192,7 +192,7 @@ def _m27(spark, sf_dir):
 
 
 ROLLUP_SQL = (f"SELECT tenant_id, task_type, CAST(timestamp AS DATE) AS day, {_c(DONE)} AS completed, {_c(ENDED)} AS ended, "
-              + _c("event = 'task_abandoned'") + " AS abandoned, sum(cost_usd) AS cost_usd, count(*) AS events "
+              + _c("event = 'task_abandoned'") + " AS abandoned, CAST(sum(CAST(cost_usd AS DECIMAL(28,12))) AS DOUBLE) AS cost_usd, count(*) AS events "
               "FROM agent_events GROUP BY 1, 2, 3")
 _add("M27_daily_rollup_build", _m27,
      oracle("SELECT tenant_id, task_type, day, completed, ended, abandoned, round(cost_usd, 6) AS cost_usd, events FROM r",
@@ -208,9 +208,9 @@ def _m28(spark, sf_dir):
 
 _add("M28_daily_rollup_read", _m28,
      oracle("SELECT tenant_id, day, CAST(sum(completed) AS BIGINT) AS completed_tasks, CAST(sum(ended) AS BIGINT) AS ended_tasks, "
-            "CAST(sum(abandoned) AS BIGINT) AS abandoned_tasks, round(sum(cost_usd), 6) AS total_cost_usd, "
+            "CAST(sum(abandoned) AS BIGINT) AS abandoned_tasks, round(CAST(sum(CAST(cost_usd AS DECIMAL(28,12))) AS DOUBLE), 6) AS total_cost_usd, "
             + _r("sum(completed) / greatest(sum(ended), 1)", "task_success_rate") + ", "
-            + _r("sum(cost_usd) / greatest(sum(completed), 1)", "cost_per_completed_task")
+            + _r("CAST(sum(CAST(cost_usd AS DECIMAL(28,12))) AS DOUBLE) / greatest(sum(completed), 1)", "cost_per_completed_task")
             + " FROM r WHERE day >= DATE '2024-01-05' AND day <= DATE '2024-01-20' GROUP BY 1, 2", f"r AS ({ROLLUP_SQL})"))
 
 USAGE_SQL = (f"SELECT tenant_id, count(*) AS events_ingested, count(DISTINCT task_id) AS tasks_tracked, "
@@ -233,10 +233,9 @@ _add("M30_resolve_tier", lambda s, d: BL.resolve_tier(usage(s, d)).select("tenan
 
 
 def _m31(spark, sf_dir):
-    """Accounts come from the customers: tenant = nation number, tier by market segment."""
+    """Accounts come from all customers: tenant = twice the nation number, so odd tenants have none; tier by market segment."""
     cust = table(spark, sf_dir, "customer")
-    accounts = (cust.where(F.col("c_nationkey") < 8)
-                .groupBy(F.concat(F.lit("t_"), F.col("c_nationkey").cast("string")).alias("tenant_id"))
+    accounts = (cust.groupBy(F.concat(F.lit("t_"), (F.col("c_nationkey") * 2).cast("string")).alias("tenant_id"))
                 .agg(F.min("c_mktsegment").alias("seg"), F.count(F.lit(1)).alias("n"))
                 .select("tenant_id", F.when(F.col("n") % 3 == 0, "starter").when(F.col("n") % 3 == 1, "free").otherwise(F.col("seg")).alias("tier")))
     return BL.plan_status(usage(spark, sf_dir), accounts).select(
@@ -249,8 +248,8 @@ _add("M31_plan_status", _m31, oracle(
     "(events_ingested > t.e OR tasks_tracked > t.k OR agent_runs > t.r) AS over_limit FROM u LEFT JOIN a ON a.tenant_id = u.tenant_id "
     "JOIN t ON t.name = CASE WHEN a.tier IN ('free', 'starter', 'growth') THEN a.tier ELSE 'free' END",
     f"u AS ({USAGE_SQL})",
-    "a AS (SELECT 't_' || CAST(c_nationkey AS STRING) AS tenant_id, CASE WHEN count(*) % 3 = 0 THEN 'starter' WHEN count(*) % 3 = 1 "
-    "THEN 'free' ELSE min(c_mktsegment) END AS tier FROM customer WHERE c_nationkey < 8 GROUP BY c_nationkey)",
+    "a AS (SELECT 't_' || CAST(c_nationkey * 2 AS STRING) AS tenant_id, CASE WHEN count(*) % 3 = 0 THEN 'starter' WHEN count(*) % 3 = 1 "
+    "THEN 'free' ELSE min(c_mktsegment) END AS tier FROM customer GROUP BY c_nationkey)",
     "t(name, price, e, k, r) AS (VALUES ('free', 0, 50000, 10000, 500), ('starter', 200, 1000000, 50000, 1000), "
     "('growth', 800, 10000000, 500000, 10000))"))
 

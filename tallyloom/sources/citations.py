@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,16 @@ def citation(spark: SparkSession, name: str, args: MetricArgs) -> DataFrame:
         F.lit(params).alias("params"), F.current_timestamp().alias("executed_at"))
 
 
+def log_citations(spark: SparkSession, path: str, cited: Iterable[tuple[str, MetricArgs]]) -> list[str]:
+    """Append the citations of many metrics as one file; an explicit call, so that a lazy metric has no side effect."""
+    cited = list(cited)
+    rows = reduce(DataFrame.unionByName, [citation(spark, name, args) for name, args in cited])
+    rows.coalesce(1).write.mode("append").parquet(path)
+    return [query_id(name, args) for name, args in cited]
+
+
 def log_citation(spark: SparkSession, path: str, name: str, args: MetricArgs) -> str:
-    """Append the citation; an explicit call, so that a lazy metric has no side effect."""
-    citation(spark, name, args).write.mode("append").parquet(path)
-    return query_id(name, args)
+    return log_citations(spark, path, [(name, args)])[0]
 
 
 def resolve_citation(spark: SparkSession, path: str, qid: str) -> DataFrame:

@@ -78,20 +78,19 @@ def with_month(events: DataFrame) -> DataFrame:
     return events.withColumn("month", F.date_format("timestamp", "yyyy-MM"))
 
 
-def write_event_table(events: DataFrame, path: str, mode: str = "overwrite", spread: int = 16) -> None:
+LAYOUT = ("month", "tenant_id", "task_type", "event", "timestamp", "event_id")
+
+
+def write_event_table(events: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 5_000_000) -> None:
     """Query-aligned layout: month partitions, rows sorted by tenant, task type, event, time.
 
-    A tenant that owns a large share of a month is spread over ``spread``
-    writers by event id; small tenants still give few, well-sorted files.
+    Writers take ranges of the sort order. Their number comes from the bytes
+    that the exchange measures (adaptive execution joins small ranges), so a
+    month or a tenant of any size gets as many writers as it needs and a file
+    holds few tenants. ``rows_per_file`` bounds a file.
     """
-    (
-        with_month(events)
-        .withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(spread)))
-        .repartition("month", "_salt")
-        .drop("_salt")
-        .sortWithinPartitions("month", "tenant_id", "task_type", "event", "timestamp", "event_id")
-        .write.mode(mode).option("compression", "zstd").partitionBy("month").parquet(path)
-    )
+    rows = with_month(events).repartitionByRange(*LAYOUT).sortWithinPartitions(*LAYOUT)
+    rows.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("month").parquet(path)
 
 
 def read_event_table(spark: SparkSession, path: str) -> DataFrame:

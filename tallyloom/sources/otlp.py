@@ -141,5 +141,20 @@ def otlp_to_events(df: DataFrame, payload: str = "payload", keep: tuple[str, ...
     return m.select(*base, F.explode("events").alias("e")).select(*base, "e.*")
 
 
+def span_messages(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (), namespace: str = "agent") -> DataFrame:
+    """The events of all mapped spans as the JSON messages that clients send, ready for validation and ingest.
+
+    Ids are those of ``map_spans``, so an export that is sent again gives the same messages.
+    """
+    e = otlp_to_events(df, payload, keep, namespace)
+    whole = ("tokens_in", "tokens_out", "latency_ms", "duration_ms")
+    plain = ("event_id", "schema_version", "event", "timestamp", "task_id", "run_id", "task_type", "step_id", "step_index", "step_type", "model", "tool_name",
+             "status", "otel_attributes", "initiator", "verification", "steps_total", "retryable", "abandoned_by")
+    body = F.struct(
+        *plain, F.struct(F.col("agent_name").alias("name")).alias("agent"), F.when(F.col("error_type").isNotNull(), F.struct(F.col("error_type").alias("type"))).alias("error"),
+        *[F.greatest(F.col(c).cast("long"), F.lit(0)).alias(c) for c in whole])
+    return e.select(*keep, F.to_json(body).alias("payload"))
+
+
 def unmapped_spans(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (), namespace: str = "agent") -> DataFrame:
     return map_spans(df, payload, keep, namespace).where(F.col("reason").isNotNull()).select(*keep, "span", "reason")

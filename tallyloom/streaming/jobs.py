@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from tallyloom.functions.jsonrules import quoted, with_fields
 from tallyloom.operators import anomaly, cohorts, funnels
+from tallyloom.operators.metrics import exact_sum
 from tallyloom.operators.redact import redact_json
 from tallyloom.operators.validate import enrich_with_settings, validate_events
 from tallyloom.schema import IDENTITY, ended, is_event
-from tallyloom.sources.events import new_rows
+from tallyloom.sources.events import content_token, dedupe_events, new_rows, with_month
+from tallyloom.sources.otlp import span_messages, unmapped_spans
 from tallyloom.sources.rows import map_messages
 from tallyloom.streaming.sink import read_batches, write_batch
 
@@ -47,31 +49,59 @@ def prepare_messages(batch: DataFrame, settings: DataFrame, payload: str = "payl
     return map_messages(v, "value")
 
 
-def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, settings: DataFrame, out: str, payload: str = "payload") -> None:
+def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, settings: DataFrame, out: str, payload: str = "payload",
+                 unmapped: DataFrame | None = None) -> None:
     """One micro-batch: accepted rows, dead letters and rejection counts, each in its batch folder.
 
-    Accepted rows are split by the residency store of their tenant. Rows are
-    unique within the batch; copies over batches fold at read.
+    Accepted rows are split by the residency store of their tenant. Of copies
+    within the batch the last one wins; a batch that comes again under a new id
+    adds no rows. ``unmapped`` spans (tenant_id) count as rejections.
     """
-    prepared = prepare_messages(batch, settings, payload).persist()
+    prepared = prepare_messages(batch, settings, payload).withColumn("_at", F.monotonically_increasing_id()).persist()
     try:
         accepted = prepared.where(F.col("reason_class").isNull())
-        rows = accepted.where(F.col("row").isNotNull()).select("row.*", F.when(F.col("residency") == "eu", "eu").otherwise("us").alias("store"))
-        write_batch(rows.dropDuplicates(list(IDENTITY)), f"{out}/events", batch_id)
+        rows = accepted.where(F.col("row").isNotNull()).select("row.*", F.when(F.col("residency") == "eu", "eu").otherwise("us").alias("store"), "_at")
+        write_events_idempotent(spark, dedupe_events(rows, "_at").drop("_at"), f"{out}/events", batch_id)
         write_batch(accepted.where(F.col("row").isNull()).select(F.col("dead_reason").alias("reason"), F.col("value").alias("original")), f"{out}/dead", batch_id)
-        write_batch(prepared.where(F.col("reason_class").isNotNull()).groupBy("tenant_id", "reason_class").agg(F.count(F.lit(1)).alias("rejected")), f"{out}/rejections", batch_id)
+        bad = prepared.where(F.col("reason_class").isNotNull()).select("tenant_id", "reason_class")
+        if unmapped is not None:
+            bad = bad.unionByName(unmapped.select("tenant_id", F.lit("unmapped_span").alias("reason_class")))
+        write_batch(bad.groupBy("tenant_id", "reason_class").agg(F.count(F.lit(1)).alias("rejected")), f"{out}/rejections", batch_id)
     finally:
         prepared.unpersist()
 
 
-def write_events_idempotent(spark: SparkSession, batch: DataFrame, path: str, batch_id: int, table: DataFrame | None = None) -> None:
-    """Write a batch so that a replay changes nothing, under its own id or another one.
+def ingest_spans_batch(spark: SparkSession, batch: DataFrame, batch_id: int, settings: DataFrame, out: str, payload: str = "payload", namespace: str = "agent") -> None:
+    """A batch of trace payloads (tenant_id, payload) on the path of all messages: mapped, validated, redacted, mapped to rows."""
+    keep = ("tenant_id",)
+    ingest_batch(spark, span_messages(batch, payload, keep, namespace), batch_id, settings, out, "payload", unmapped_spans(batch, payload, keep, namespace))
 
-    The same batch id overwrites its folder. Against a replay under a new id,
-    pass the table: rows it holds already are left out.
+
+def write_events_idempotent(spark: SparkSession, batch: DataFrame, path: str, batch_id: int) -> bool:
+    """Write a batch so that a replay changes nothing, under its own id or another one; False if nothing was written.
+
+    The token of a batch is a hash of its whole content. It is looked up first:
+    a batch that another id has brought already is left out without reading any
+    row of the table. A new batch is compared with the rows of its own months
+    only. The same id overwrites its folder. The token is logged after the rows,
+    so a batch cut off in between is written again.
     """
-    fresh = batch.dropDuplicates(list(IDENTITY)) if table is None else new_rows(batch, table)
-    write_batch(fresh, path, batch_id)
+    log, rows = f"{path}-tokens", with_month(batch).persist()
+    try:
+        token = content_token(batch).first()["token"]
+        if _there(spark, log) and not spark.read.parquet(log).where((F.col("token") == token) & (F.col("by_batch") != batch_id)).isEmpty():
+            return False
+        fresh = rows.dropDuplicates(list(IDENTITY))
+        if _there(spark, path):
+            months = [r["month"] for r in rows.select("month").distinct().collect()]  # one row per month of the batch
+            known = T.StructType([rows.schema[c] for c in (*IDENTITY, "month")] + [T.StructField("batch_id", T.LongType())])
+            table = spark.read.schema(known).parquet(path).where(F.col("month").isin(months) & (F.col("batch_id") != batch_id))
+            fresh = new_rows(rows, table)
+        write_batch(fresh, path, batch_id, ["month"])
+        write_batch(spark.range(1).select(F.lit(token).alias("token"), F.lit(batch_id).alias("by_batch")), log, batch_id)
+        return True
+    finally:
+        rows.unpersist()
 
 
 def dedupe_stream(events: DataFrame, delay: str = "10 minutes", keys: Sequence[str] = IDENTITY, ts: str = "timestamp") -> DataFrame:
@@ -83,7 +113,7 @@ def rollup_stream(events: DataFrame, delay: str = "1 day", ts: str = "timestamp"
     """Incremental daily rollup, for update mode: each batch emits the days it changed."""
     return events.withWatermark(ts, delay).groupBy("tenant_id", "task_type", F.window(ts, "1 day").alias("w")).agg(
         F.count_if(is_event("task_completed")).alias("completed"), F.count_if(ended()).alias("ended"),
-        F.count_if(is_event("task_abandoned")).alias("abandoned"), F.sum("cost_usd").alias("cost_usd"), F.count(F.lit(1)).alias("events"),
+        F.count_if(is_event("task_abandoned")).alias("abandoned"), exact_sum("cost_usd").alias("cost_usd"), F.count(F.lit(1)).alias("events"),
     ).select("tenant_id", "task_type", F.to_date("w.start").alias("day"), "completed", "ended", "abandoned", "cost_usd", "events")
 
 
@@ -105,7 +135,7 @@ def baseline_batch(spark: SparkSession, windows: DataFrame, batch_id: int, name:
     result. Within the batch the recurrence is blocked, not folded per metric.
     """
     initial = None
-    if batch_id > 0 and _has_state(spark, f"{out}/state"):
+    if batch_id > 0 and _there(spark, f"{out}/state"):
         past = spark.read.parquet(f"{out}/state").where(F.col("batch_id") < batch_id)
         initial = past.groupBy(name).agg(F.max_by(F.struct("points", "mean", "std_dev"), "batch_id").alias("s")).select(name, "s.*")
     rows = anomaly.update_baseline(windows, name, "at", F.to_date("at"), initial).persist()
@@ -116,7 +146,7 @@ def baseline_batch(spark: SparkSession, windows: DataFrame, batch_id: int, name:
         rows.unpersist()
 
 
-def _has_state(spark: SparkSession, path: str) -> bool:
+def _there(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -137,6 +167,6 @@ def cohort_stream(events: DataFrame, cohort: DataFrame, user: str = "user_id", t
 
 
 __all__ = [
-    "baseline_batch", "cohort_stream", "dedupe_stream", "event_stream", "funnel_stream", "ingest_batch", "prepare_messages",
+    "baseline_batch", "cohort_stream", "dedupe_stream", "event_stream", "funnel_stream", "ingest_batch", "ingest_spans_batch", "prepare_messages",
     "read_batches", "rolling_metrics_stream", "rollup_stream", "write_events_idempotent",
 ]

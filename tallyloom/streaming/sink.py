@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch(batch: DataFrame, path: str, batch_id: int, by: Sequence[str] = ()) -> None:
+    """Overwrite the batch's folder, whatever an earlier attempt left there."""
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

@@ -249,3 +249,71 @@ def test_keys_with_dots_are_seen(spark):
 
     row = docs(spark, {"a.b": 1, "a": {"b": 2, "c.d": 3}}).select(flatten_json(F.try_parse_json("payload")).alias("f")).collect()[0]["f"]
     assert {k: v["n"] for k, v in row.items() if v["n"] is not None} == {r"a\.b": 1.0, "a.b": 2.0, r"a.c\.d": 3.0}
+
+
+SETTINGS = "tenant_id string, retention_days int, redact boolean, residency string"
+
+
+def test_replayed_batch_reads_no_rows_and_writes_none(spark, make_events, tmp_path):
+    """The same rows in another order under a new id are recognised by their token; other months are not read."""
+    d = str(tmp_path / "t")
+    jan, feb = make_events([{"timestamp": "2024-01-05 00:00:00"}] * 3), make_events([{"event_id": f"f{i}", "timestamp": "2024-02-05 00:00:00"} for i in range(3)])
+    assert J.write_events_idempotent(spark, jan, d, 0) and J.write_events_idempotent(spark, jan, d, 0)
+    assert J.write_events_idempotent(spark, feb, d, 1)
+    assert not J.write_events_idempotent(spark, jan.orderBy(F.desc("event_id")), d, 2)
+    spoilt = next(p for p in (tmp_path / "t" / "batch_id=0" / "month=2024-01").glob("part-*"))
+    spoilt.write_bytes(b"no table")  # a batch of February never looks at January
+    assert J.write_events_idempotent(spark, feb.unionByName(make_events([{"event_id": "g", "timestamp": "2024-02-06 00:00:00"}])), d, 3)
+    assert [r["event_id"] for r in spark.read.parquet(f"{d}/batch_id=3").collect()] == ["g"]
+
+
+def test_last_copy_in_a_batch_wins(spark, tmp_path):
+    msgs = [json.dumps({**GOOD, "note": n}) for n in ("first", "second", "third")]
+    batch = spark.createDataFrame([("t", m) for m in msgs], "tenant_id string, payload string").coalesce(1)
+    J.ingest_batch(spark, batch, 0, spark.createDataFrame([], SETTINGS), str(tmp_path))
+    rows = K.read_batches(spark, f"{tmp_path}/events").collect()
+    assert len(rows) == 1 and "third" in rows[0]["payload"]
+
+
+def test_spans_land_as_rows_and_come_again_without_copies(spark, tmp_path):
+    attr = lambda k, v: {"key": k, "value": {"stringValue": v} if isinstance(v, str) else {"intValue": str(v)}}
+    span = lambda sid, parent, attrs: {"traceId": "tr", "spanId": sid, "parentSpanId": parent, "name": "call", "startTimeUnixNano": "1704067200000000000", "endTimeUnixNano": "1704067201500000000", "attributes": attrs}
+    p = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [
+        span("root", "", [attr("agent.outcome", "failed")]), span("llm", "root", [attr("gen_ai.request.model", "m"), attr("gen_ai.usage.input_tokens", 12), attr("gen_ai.prompt", "ask a.b@c.io")]),
+        span("odd", "root", [])]}]}]})
+    batch = spark.createDataFrame([("t", p), ("u", p)], "tenant_id string, payload string")
+    settings = spark.createDataFrame([("t", 30, True, "eu")], SETTINGS)
+    for i in (0, 1):
+        J.ingest_spans_batch(spark, batch.orderBy(F.desc("tenant_id")) if i else batch, i, settings, str(tmp_path))
+    rows = K.read_batches(spark, f"{tmp_path}/events").collect()
+    assert len(rows) == 6 and {(r["tenant_id"], r["event"], r["store"]) for r in rows} == {(t, e, s) for t, s in (("t", "eu"), ("u", "us")) for e in ("task_started", "task_failed", "step_executed")}
+    step = next(r for r in rows if r["event"] == "step_executed" and r["tenant_id"] == "t")
+    assert step["tokens_in"] == 12 and step["model"] == "m" and "a.b@c.io" not in step["payload"] and "[REDACTED:email]" in step["payload"]
+    bad = K.read_batches(spark, f"{tmp_path}/rejections").where("batch_id = 0").collect()
+    assert sorted((r["tenant_id"], r["reason_class"], r["rejected"]) for r in bad) == [("t", "unmapped_span", 1), ("u", "unmapped_span", 1)]
+
+
+def test_rewrite_cut_off_is_completed(spark, make_events, tmp_path, monkeypatch):
+    """Before its plan a rewrite leaves the table alone; after it the next call completes it, also between a delete and a rename."""
+    d = str(tmp_path / "t")
+    S.write_event_table(make_events([{"timestamp": f"2024-0{m}-15 00:00:00", "session_id": s} for m in (1, 2, 3) for s in "ab" if (m, s) != (2, "b")]), d)
+    keep = F.col("session_id") != "a"
+    ids = lambda: sorted(r["session_id"] for r in spark.read.parquet(d).collect())
+    with monkeypatch.context() as m:
+        m.setattr(L, "_swap", lambda spark, path: (_ for _ in ()).throw(RuntimeError("lost")) if (tmp_path / "t-rewrite" / "plan").exists() else [])
+        with pytest.raises(RuntimeError):
+            L.rewrite_table(spark, d, keep)
+    assert ids() == ["a", "a", "a", "b", "b"]
+    for f in (tmp_path / "t" / "month=2024-01").iterdir():  # cut off after the first delete
+        f.unlink()
+    (tmp_path / "t" / "month=2024-01").rmdir()
+    assert L.recover(spark, d) == ["2024-01", "2024-02", "2024-03"] and L.recover(spark, d) == []
+    assert ids() == ["b", "b"]
+    (tmp_path / "t-rewrite" / "rows").mkdir(parents=True)  # cut off before the plan
+    assert L.rewrite_table(spark, d, keep) == [] and ids() == ["b", "b"] and not (tmp_path / "t-rewrite").exists()
+
+
+def test_metadata_of_an_event_stays(spark):
+    df = spark.sql("SELECT 'i' AS id, 1L AS timestamp_ms, named_struct('channel', 'web', 'processed', true, 'tags', array('x')) AS metadata")
+    got = V.enrich_web_events(df, F.lit(0)).first()["metadata"]
+    assert got["channel"] == "web" and got["processed"] is False and got["tags"] == ["x"] and got["flags"] == [] and got["quality"] == 1.0

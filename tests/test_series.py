@@ -189,3 +189,31 @@ def test_baseline_continues_from_state(spark):
         n += 1
         std = math.sqrt((std**2 * (n - 1) + (v - mean) ** 2) / n)
         assert whole[i] == pytest.approx((n, mean, std))
+
+
+def test_one_run_day_spans_blocks(spark, make_events):
+    """Runs of any density: positions, completion and steps of a runaway run cut into small blocks."""
+    from tallyloom.operators import runs as R
+
+    rnd = random.Random(4)
+    rows = [{"run_id": "hot" if rnd.random() < 0.8 else f"r{rnd.randrange(3)}", "task_id": "k", "event": rnd.choice(["step_executed"] * 6 + ["human_edited", "task_failed", "task_completed"]),
+             "latency_ms": rnd.randrange(1, 90), "timestamp": f"2024-01-01 00:{rnd.randrange(60):02d}:00"} for _ in range(300)]
+    ev = make_events(rows)
+    want = {}
+    for r in sorted(ev.collect(), key=lambda r: (r["timestamp"], r["event_id"])):
+        want.setdefault(r["run_id"], []).append(r)
+    got = R.trajectories(ev, rows_per_block=16).collect()
+    assert len(got) == 300
+    for r in got:
+        own = want[r["run_id"]]
+        assert own[r["pos"] - 1]["event_id"] == r["event_id"]
+        assert r["completed"] == ([x["event"] for x in own if x["event"].startswith("task_")][-1:] == ["task_completed"])
+    shown = R.waterfall(ev, rows_per_block=16).collect()
+    for run, own in want.items():
+        listed = [x for x in own if not x["event"].startswith("task_")]
+        top = max(x["latency_ms"] for x in listed if x["event"] == "step_executed")
+        mine = sorted((r for r in shown if r["run_id"] == run), key=lambda r: r["pos"])
+        assert [r["pos"] for r in mine] == list(range(1, len(listed) + 1))
+        assert [r["share"] for r in mine] == [pytest.approx(x["latency_ms"] / top) if x["event"] == "step_executed" else 0.0 for x in listed]
+        steps = sorted((r["pos"], r["event_id"]) for r in R.run_steps(ev, rows_per_block=16).collect() if r["run_id"] == run and r["kind"] == "human")
+        assert steps == [(i + 1, x["event_id"]) for i, x in enumerate(x for x in own if x["event"] == "human_edited")]
