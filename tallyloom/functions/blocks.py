@@ -142,6 +142,18 @@ def side_moments(df: DataFrame, keys: Sequence[str], order: str, value: str, pre
     )
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], block: Column | None = None) -> DataFrame:
+    """Add ``sum_<value>``: the sum of each value up to and with the row, missing ones as zero. All values share one pass."""
+    keys = list(keys)
+    rows = written(df.withColumn("_block", block if block is not None else block_of(df, order)), "running")
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    carry = per.select(*keys, "_block", *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values])
+    local = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = _carry_join(rows.withColumns({f"_l_{v}": F.coalesce(F.sum(v).over(local), F.lit(0)) for v in values}), carry, keys)
+    return both.select(*df.columns, *[(F.col(f"_b_{v}") + F.col(f"_l_{v}")).alias(f"sum_{v}") for v in values])
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], block: Column) -> DataFrame:
     """Add ``prev_<col>`` of the preceding row of the group (NULL on its first row)."""
     keys, order = list(keys), list(order)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.blocks import block_of
+from tallyloom.functions.blocks import block_of, numbered
 from tallyloom.plans.session import written
 
 MIN_POINTS = 10
@@ -147,44 +147,136 @@ def detect(baselined: DataFrame, name: str, order: str, methods: Sequence[str] =
                       text.alias("description"), alert_severity(sev).alias("alert_severity"))
 
 
+#: Metrics a cell of the correlation grid holds, and readings of each that meet at a time.
+METRICS_PER_CELL, READINGS_PER_CHUNK = 512, 4096
+
+
+def _aligned(df: DataFrame, name: str, ts: str, value: str, min_points: int, chunk: int) -> DataFrame:
+    """Chunks of the centred readings of each metric: metric, chunk, x (at most ``chunk`` values), n and norm of the whole vector.
+
+    Positions come from blocks cut by counts, so a busy metric spans tasks. Two
+    vectors meet as far as the shorter one goes, so nothing beyond the second
+    longest can matter.
+    """
+    rows = df.select(F.col(name).alias("metric"), F.col(ts).alias("_ts"), F.col(value).cast("double").alias("_v"))
+    rows = numbered(rows, ["metric"], ["_ts"])
+    stats = rows.groupBy("metric").agg(F.avg("_v").alias("_mean"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points)
+    stats = written(stats, "metrics")
+    longest = [r["n"] for r in stats.orderBy(F.desc("n")).limit(2).collect()]
+    placed = rows.where(F.col("pos") <= (longest[1] if len(longest) == 2 else 0)).join(stats, "metric")
+    x = F.struct("pos", (F.col("_v") - F.col("_mean")).alias("x"))
+    chunks = placed.groupBy("metric", "n", F.floor((F.col("pos") - 1) / chunk).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(x)), lambda s: s["x"]).alias("x"))
+    return written(chunks, "chunks")
+
+
+class _Cell:
+    """Products of two cells of metrics, chunk by chunk, until no pair can reach the threshold any more."""
+
+    def __init__(self, key, norms, threshold: float):
+        self.key, self.threshold = key, threshold
+        self.names = [sorted(n) for n in norms]
+        self.norms = [np.array([d[m] for m in names]) for d, names in zip(norms, self.names)]
+        shape = len(self.names[0]), len(self.names[1])
+        self.dot, self.nx, self.ny = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        self.alive = np.ones(shape, bool)
+        if key[0] == key[1]:
+            self.alive &= np.arange(shape[0])[:, None] < np.arange(shape[1])[None, :]
+        self.multiplied = 0
+
+    def add(self, sides) -> None:
+        """One chunk: per side a dict of metric to its values there; a metric that has ended is not in it."""
+        rows = [np.array([i for i, m in enumerate(names) if m in have and self.alive.any(axis=1 - side)[i]], dtype=int) for side, (names, have) in enumerate(zip(self.names, sides))]
+        if not len(rows[0]) or not len(rows[1]):
+            return
+        values = [[have[self.names[side][i]] for i in rows[side]] for side, have in enumerate(sides)]
+        sizes = [np.array([len(v) for v in part]) for part in values]
+        width = int(max(sizes[0].max(), sizes[1].max()))
+        x, y = (np.stack([np.pad(v, (0, width - len(v))) for v in part]) for part in values)
+        at = np.ix_(*rows)
+        self.multiplied += x.shape[0] * y.shape[0]
+        self.dot[at] += x @ y.T
+        upto = [np.pad(np.cumsum(m * m, axis=1), ((0, 0), (1, 0))) for m in (x, y)]
+        self.nx[at] += upto[0][:, sizes[1]]
+        self.ny[at] += upto[1][:, sizes[0]].T
+        # what is still to come adds at most the product of the norms that are left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            so_far = np.abs(self.dot) / np.sqrt(self.nx * self.ny)
+            left = [np.sqrt(np.maximum(1 - n / whole, 0)) for n, whole in ((self.nx, self.norms[0][:, None]), (self.ny, self.norms[1][None, :]))]
+            self.alive &= ~(so_far + left[0] * left[1] < self.threshold - 1e-9)
+
+    def found(self) -> list[tuple]:
+        den = np.sqrt(self.nx * self.ny)
+        r = np.divide(self.dot, den, out=np.zeros_like(den), where=den > 0)
+        i, j = np.nonzero(self.alive & (np.abs(r) >= self.threshold))
+        pairs = [(self.names[0][a], self.names[1][b], float(r[a, b])) for a, b in zip(i, j)]
+        return [(min(m, n), max(m, n), c) for m, n, c in pairs]
+
+
 def correlated_metrics(df: DataFrame, name: str, ts: str, value: str, threshold: float = 0.7, min_points: int = 10,
-                       grid: int = 16) -> DataFrame:
+                       per_cell: int = METRICS_PER_CELL, chunk: int = READINGS_PER_CHUNK) -> DataFrame:
     """Pairs of metrics whose recent readings correlate with |r| >= threshold.
 
-    ``df`` holds the readings of the look-back window, all of which count: a
-    metric is one vector as long as that window allows. Vectors meet on a grid of hash cells and only
-    the pairs that pass leave a task; no pair is formed per reading.
-    Readings are aligned by position and centred on each metric's own mean.
+    ``df`` holds the readings of the look-back window, all of which count.
+    Readings are aligned by position, as far as the shorter metric goes, and
+    centred on each metric's own mean. The pairs are a blocked matrix product:
+    metrics are dealt to as many cells as their number asks for, and a task
+    multiplies two cells chunk by chunk, holding one chunk of each. Pairs whose
+    remaining norms can't lift them over the threshold are left out of the
+    following products. Metrics without a name are left out.
     """
-    vectors = (
-        df.select(F.col(name).alias("metric"), F.col(ts).alias("_ts"), F.col(value).cast("double").alias("_v"))
-        .groupBy("metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("_ts", "_v"))), lambda s: s["_v"]).alias("vec"))
-        .where(F.size("vec") >= min_points)
-        .withColumn("cell", F.pmod(F.xxhash64("metric"), F.lit(grid)).cast("int"))
-    )
-    placed = vectors.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).select(
-        "metric", "vec", "cell", F.least("cell", "_o").alias("a"), F.greatest("cell", "_o").alias("b"))
-
-    def pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(key[0]), int(key[1])
-        items = [(m, np.asarray(x, dtype="float64"), int(c)) for m, x, c in zip(pdf["metric"], pdf["vec"], pdf["cell"])]
-        centred = {m: x - x.mean() for m, x, _ in items}
-        left = sorted(m for m, _, c in items if c == a)
-        right = sorted(m for m, _, c in items if c == b)
-        found = []
-        for m1 in left:
-            for m2 in right:
-                if a == b and m1 >= m2:
-                    continue
-                n = min(len(centred[m1]), len(centred[m2]))
-                x, y = centred[m1][:n], centred[m2][:n]
-                den = float(np.sqrt(float(x @ x) * float(y @ y)))
-                r = 0.0 if den == 0 else float(x @ y) / den
-                if abs(r) >= threshold:
-                    found.append((min(m1, m2), max(m1, m2), r))
-        return pd.DataFrame(found, columns=["metric1", "metric2", "correlation"])
-
-    return placed.groupBy("a", "b").applyInPandas(pairs, "metric1 string, metric2 string, correlation double")
+    chunks = _aligned(df.where(F.col(name).isNotNull()), name, ts, value, min_points, chunk)
+    norms = chunks.groupBy("metric").agg(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("norm"))
+    cells = max(1, -(-norms.count() // per_cell))
+    dealt = written(norms.withColumn("cell", F.pmod(F.xxhash64("metric"), F.lit(cells)).cast("int")), "norms")
+
+    def to_pairs(rows: DataFrame) -> DataFrame:
+        """Each row to all pairs of cells that its own takes part in."""
+        other = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+        return other.select("*", F.least("cell", "o").alias("a"), F.greatest("cell", "o").alias("b")).drop("o")
+
+    # a pair of cells gets its metrics' norms first (chunk -1), then their chunks in order
+    head = dealt.select("cell", "metric", F.lit(-1).cast("long").alias("chunk"), F.array("norm").alias("x"))
+    body = chunks.join(dealt.select("metric", "cell"), "metric").select("cell", "metric", "chunk", "x")
+    sent = to_pairs(head.unionByName(body)).repartition("a", "b").sortWithinPartitions("a", "b", "chunk")
+
+    def run(batches):
+        cell, at, sides = None, None, ({}, {})
+        done: list[tuple] = []
+
+        def close():
+            nonlocal cell
+            if at is None:
+                return
+            if at[2] == -1:
+                cell = _Cell(at[:2], [{m: v[0] for m, v in side.items()} for side in sides], threshold)
+            else:
+                cell.add(sides)
+
+        for batch in batches:
+            a, b, c, own, metric = (batch.column(k).to_pylist() for k in ("a", "b", "chunk", "cell", "metric"))
+            lists = batch.column("x")
+            starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i in range(batch.num_rows):
+                key = (a[i], b[i], c[i])
+                if key != at:
+                    close()
+                    if at is not None and key[:2] != at[:2]:
+                        done += cell.found()
+                    at, sides = key, ({}, {})
+                values = flat[starts[i] : starts[i + 1]].copy()
+                for side in (0, 1):
+                    if own[i] == key[side]:
+                        sides[side][metric[i]] = values
+            if done:
+                yield pa.RecordBatch.from_pydict(dict(zip(("metric1", "metric2", "correlation"), map(list, zip(*done)))))
+                done = []
+        close()
+        if cell is not None:
+            done += cell.found()
+        if done:
+            yield pa.RecordBatch.from_pydict(dict(zip(("metric1", "metric2", "correlation"), map(list, zip(*done)))))
+
+    return sent.mapInArrow(run, "metric1 string, metric2 string, correlation double")
 
 
 def correlation_breaks(pairs: DataFrame, current: DataFrame, name: str = "metric", limit: float = 0.3) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.blocks import positions, side_moments
+from tallyloom.functions.blocks import numbered, running_sums
 from tallyloom.functions.scalars import div, hash31_abs, probit
 
 INF = float("inf")
@@ -60,22 +60,21 @@ def sequential_evaluate(obs: DataFrame, keys: Sequence[str], arm: str = "arm", v
     return agg.select(*keys, *[c.alias(n) for n, c in e.items()], "n_control", "n_variant")
 
 
-def sequential_path(obs: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, arm: str = "arm",
+def sequential_path(obs: DataFrame, keys: Sequence[str], order: Sequence[str], arm: str = "arm",
                     value: str = "value", alpha: float = 0.05, rho: float = 1.0) -> DataFrame:
     """The same after every paired observation: the i-th of each arm, in order.
 
     Positions and running sums are taken in blocks, so one huge experiment does
-    not sit in one task.
+    not sit in one task; both arms' sums come from one pass.
     """
     keys = list(keys)
-    pos = positions(obs.where(F.col(arm).isin("control", "variant")).select(*keys, arm, *order, F.col(value).cast("double").alias("_v")),
-                    [*keys, arm], order, block, "i")
+    pos = numbered(obs.where(F.col(arm).isin("control", "variant")).select(*keys, arm, *order, F.col(value).cast("double").alias("_v")),
+                   [*keys, arm], order, "i")
     pairs = pos.groupBy(*keys, "i").agg(
         F.max(F.when(F.col(arm) == "control", F.col("_v"))).alias("_c"), F.max(F.when(F.col(arm) == "variant", F.col("_v"))).alias("_t"))
     pairs = pairs.where(F.col("_c").isNotNull() & F.col("_t").isNotNull())
-    run = side_moments(side_moments(pairs, keys, "i", "_c", "c"), keys, "i", "_t", "t")
-    total = lambda p, v: F.coalesce(F.col(f"{p}_n") * F.col(f"{p}_mean"), F.lit(0.0)) + F.col(v)
-    e = _evaluated(F.col("i"), total("c", "_c"), F.col("i"), total("t", "_t"), alpha, rho)
+    run = running_sums(pairs, keys, "i", ["_c", "_t"])
+    e = _evaluated(F.col("i"), F.col("sum__c"), F.col("i"), F.col("sum__t"), alpha, rho)
     return run.select(*keys, "i", *[c.alias(n) for n, c in e.items()])
 
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.quantiles import grouped_quantiles
 from tallyloom.functions.scalars import any_of, count_if, div, guarded_div, sunday_week
+from tallyloom.plans.session import written
 from tallyloom.schema import IDENTITY, ended, human_touch, is_event
 from tallyloom.sources.events import ALL_TENANTS, Scope, fold_copies, insert_order, scan_events
 
@@ -232,6 +234,11 @@ def metric(name: str, events: DataFrame, args: MetricArgs, deduped: bool = False
     rows = rows.select(*dict.fromkeys([*IDENTITY, *m.reads, *seg, *insert_order(events)]))
     if not deduped:
         rows = fold_copies(rows)
+    return _measured(m, rows, args, seg)
+
+
+def _measured(m: Metric, rows: DataFrame, args: MetricArgs, seg: list[str]) -> DataFrame:
+    """A metric of rows that its first filter let through, by tenant and the columns ``seg``."""
     if m.late is not None:
         rows = rows.where(m.late())
     if m.per:
@@ -250,6 +257,28 @@ def metric(name: str, events: DataFrame, args: MetricArgs, deduped: bool = False
     return rows.groupBy(*by).agg(*m.aggs(args))
 
 
+def segment_metrics(events: DataFrame, names: Sequence[str], args: MetricArgs, segments: Sequence[str] | None = None, deduped: bool = False) -> DataFrame:
+    """Metrics of one value by many segment dimensions: metric, segment, tenant, segment value, value.
+
+    The events are scanned and folded once. A row counts in each of its
+    segments, so one grouping serves all dimensions of a metric.
+    """
+    segments = list(segments or SEGMENTS)
+    for name in names:
+        for s in segments:
+            check_args(name, replace(args, segment_by=s))
+    kinds = [METRICS[n] for n in names]
+    rows = scan_events(events, args.scope).select(*dict.fromkeys([*IDENTITY, *(c for m in kinds for c in m.reads), *segments, *insert_order(events)]))
+    rows = written(rows if deduped else fold_copies(rows), "segmented")
+    dims = F.inline(F.array(*[F.struct(F.lit(s).alias("segment"), F.col(s).cast("string").alias("segment_value")) for s in segments]))
+    parts = []
+    for name, m in zip(names, kinds):
+        own = rows if m.where is None else rows.where(m.where())
+        part = _measured(m, own.select(*rows.columns, dims), args, ["segment", "segment_value"])
+        parts.append(part.select(F.lit(name).alias("metric"), "segment", "tenant_id", "segment_value", "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Metrics of one value per tenant that the panel serves from one task rollup.
 PANEL = (
     "task_success_rate", "abandonment_rate", "overclaim_rate", "first_run_resolution", "cost_per_completed_task",
@@ -366,20 +395,30 @@ def daily_rollup_read(rollup: DataFrame, args: MetricArgs) -> DataFrame:
 ARM_METRICS = ("task_success_rate", "cost_per_completed_task", "override_rate")
 
 
-def per_arm_metric(events: DataFrame, exposures: DataFrame, name: str, args: MetricArgs, deduped: bool = False) -> DataFrame:
-    """A guardrail metric per exposure arm; ``exposures`` holds (subject, arm), subject = task id.
+def per_arm_metrics(events: DataFrame, exposures: DataFrame, names: Sequence[str], args: MetricArgs, deduped: bool = False) -> DataFrame:
+    """Guardrail metrics per exposure arm: tenant, arm, value, metric; ``exposures`` holds (subject, arm), subject = task id.
 
-    No broadcast hint: Spark broadcasts the exposures only when their size is
-    known to be small, else it joins by shuffle and splits skewed tasks.
+    Events and exposures are joined once for all metrics. No broadcast hint:
+    Spark broadcasts the exposures only when their size is known to be small,
+    else it joins by shuffle and splits skewed tasks.
     """
-    if name not in ARM_METRICS:
-        raise ValueError(f"metric {name} is not a supported experiment guardrail")
-    m = check_args(name, args)
-    rows = scan_events(events, args.scope).select(*dict.fromkeys([*IDENTITY, "task_id", *m.reads, *insert_order(events)]))
+    unknown = [n for n in names if n not in ARM_METRICS]
+    if unknown:
+        raise ValueError(f"no experiment guardrails: {unknown}")
+    kinds = {n: check_args(n, args) for n in names}
+    rows = scan_events(events, args.scope).select(*dict.fromkeys([*IDENTITY, "task_id", *(c for m in kinds.values() for c in m.reads), *insert_order(events)]))
     if not deduped:
         rows = fold_copies(rows)
-    joined = rows.join(exposures, rows["task_id"] == exposures["subject"])
-    for keep in (m.where, m.late):
-        if keep is not None:
-            joined = joined.where(keep())
-    return joined.groupBy("tenant_id", "arm").agg(*m.aggs(args)).select("tenant_id", "arm", "value")
+    joined = written(rows.join(exposures, rows["task_id"] == exposures["subject"]), "exposed")
+    parts = []
+    for name, m in kinds.items():
+        own = joined
+        for keep in (m.where, m.late):
+            own = own if keep is None else own.where(keep())
+        parts.append(own.groupBy("tenant_id", "arm").agg(*m.aggs(args)).select("tenant_id", "arm", "value", F.lit(name).alias("metric")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def per_arm_metric(events: DataFrame, exposures: DataFrame, name: str, args: MetricArgs, deduped: bool = False) -> DataFrame:
+    """One guardrail metric per exposure arm."""
+    return per_arm_metrics(events, exposures, [name], args, deduped).drop("metric")

@@ -8,6 +8,7 @@ from tallyloom.functions.scalars import r6
 from tallyloom.operators import evals as G
 from tallyloom.operators import experiments as X
 from tallyloom.plans.fixtures import agent_events, oracle, table
+from tallyloom.plans.session import written
 from tallyloom.plans.run_queries import RUNS_CTE
 
 QUERIES = {}
@@ -52,12 +53,8 @@ def _seq(keys, nc="count(*) FILTER (WHERE arm = 0)", nv="count(*) FILTER (WHERE
 
 _add("E1_sequential_evaluate", lambda s, d: _rounded(X.sequential_evaluate(_obs(s, d), ["event_type"])),
      f"WITH {_OBS} SELECT event_type, round(eff, 6) AS effect, round(eff - rad, 6) AS lower, round(eff + rad, 6) AS upper, {_DEC} AS decision, nc AS n_control, nv AS n_variant FROM ({_seq('event_type')})")
-def _block():
-    return F.floor(F.col("event_id") / 4096)
-
-
 def _path(spark, sf_dir):
-    return X.sequential_path(_obs(spark, sf_dir), ["event_type"], ["event_id"], _block())
+    return X.sequential_path(_obs(spark, sf_dir), ["event_type"], ["event_id"])
 
 
 _PATH = ("ps AS (SELECT event_type, arm, value, row_number() OVER (PARTITION BY event_type, arm ORDER BY event_id) AS i FROM ob), "
@@ -67,7 +64,7 @@ _PATH = ("ps AS (SELECT event_type, arm, value, row_number() OVER (PARTITION BY
 
 
 def _e2(spark, sf_dir):
-    path = _path(spark, sf_dir)
+    path = written(_path(spark, sf_dir), "path")
     both = path.join(X.first_stop(path, ["event_type"]).select("event_type", "stopped_at"), "event_type")
     return _rounded(both.withColumn("sum_difference", F.col("effect") * F.col("i"))).select(
         "event_type", F.col("i").cast("long").alias("i"), "sum_difference", "lower", "upper", "decision", F.col("stopped_at").cast("long").alias("stopped_at"))
@@ -181,12 +178,12 @@ _CMP = ("cm AS (SELECT t.experiment_id, t.variant_id, t.rate - c.rate AS al, coa
         "coalesce((t.rate - c.rate) / nullif(sqrt(t.std_error * t.std_error + c.std_error * c.std_error), 0), 0) AS z, t.sample_size + c.sample_size - 2 AS df "
         "FROM vr t JOIN vr c ON c.experiment_id = t.experiment_id AND c.is_control WHERE NOT t.is_control), "
         "cp AS (SELECT *, CASE WHEN abs(z) > 2.58 THEN 0.01::DOUBLE WHEN abs(z) > 1.96 THEN 0.05::DOUBLE WHEN abs(z) > 1.645 THEN 0.1::DOUBLE WHEN abs(z) > 1.28 THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END AS p FROM cm)")
-_add("E10_compare_to_control", lambda s, d: _rounded(X.compare_to_control(_results(s, d))),
+_add("E10_compare_to_control", lambda s, d: _rounded(X.compare_to_control(written(_results(s, d), "results"))),
      f"WITH {_VR}, {_CMP} SELECT experiment_id, variant_id, round(al, 6) AS absolute_lift, round(rl, 6) AS relative_lift, round(z, 6) AS z, p AS p_bucket, df AS degrees_of_freedom, p < 0.05 AS reject_null FROM cp")
 
 
 def _facts(spark, sf_dir):
-    res = _results(spark, sf_dir)
+    res = written(_results(spark, sf_dir), "results")
     days = F.regexp_extract("experiment_id", "[0-9]+", 0).cast("int") * 6.0
     return X.experiment_power(X.experiment_facts(res, X.compare_to_control(res)), 60).withColumn("days", days)
 

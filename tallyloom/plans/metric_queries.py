@@ -126,21 +126,10 @@ _add("M22_net_task_growth", _metric("net_task_growth", PIVOTED),
      .replace("AS current", 'AS "current"'))
 
 
-def _segmented(seg):
-    return M.MetricArgs(ALL_TENANTS, START, END, segment_by=seg, pivot=PIVOT)
-
-
 def _m23(spark, sf_dir):
     """One flat and one per-task metric under each allowed segment."""
-    ev = agent_events(spark, sf_dir)
-    out = None
-    for seg in M.SEGMENTS:
-        for name in ("task_success_rate", "autonomy_rate"):
-            part = M.metric(name, ev, _segmented(seg)).select(
-                F.lit(name).alias("metric"), F.lit(seg).alias("segment"), "tenant_id",
-                F.col(seg).alias("segment_value"), r6(F.col("value")).alias("value"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    args = M.MetricArgs(ALL_TENANTS, START, END, pivot=PIVOT)
+    return M.segment_metrics(agent_events(spark, sf_dir), ("task_success_rate", "autonomy_rate"), args).withColumn("value", r6(F.col("value")))
 
 
 _SEG_SQL = " UNION ALL ".join(
@@ -276,11 +265,7 @@ def exposures(ev):
 
 def _m33(spark, sf_dir):
     ev = agent_events(spark, sf_dir)
-    out = None
-    for name in M.ARM_METRICS:
-        part = M.per_arm_metric(ev, exposures(ev), name, ARGS).withColumn("metric", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("value", r6(F.col("value")))
+    return M.per_arm_metrics(ev, exposures(ev), M.ARM_METRICS, ARGS).withColumn("value", r6(F.col("value")))
 
 
 _ARM = "CASE WHEN CAST(split_part(task_id, '_', 2) AS INTEGER) % 2 = 0 THEN 'control' ELSE 'variant' END"

@@ -10,6 +10,7 @@ from tallyloom.operators import cohorts as C
 from tallyloom.operators import funnels as N
 from tallyloom.operators import rolling as W
 from tallyloom.plans.fixtures import table
+from tallyloom.plans.session import written
 
 QUERIES = {}
 ORACLE = {}
@@ -217,7 +218,7 @@ CP = CW.rstrip() + f", {_PERF} "
 
 
 def _performance(spark, sf_dir):
-    return C.cohort_performance(_cohort(spark, sf_dir), _activity(spark, sf_dir), PERIODS)
+    return C.cohort_performance(written(_cohort(spark, sf_dir), "cohort"), written(_activity(spark, sf_dir), "activity"), PERIODS)
 
 
 _add("C8_cohort_performance", lambda s, d: _rounded(_performance(s, d)),
@@ -229,7 +230,7 @@ _add("C9_acquisition_top5", lambda s, d: _rounded(C.acquisition_top(_cohort(s, d
 
 
 def _c10(spark, sf_dir):
-    co, ac = _cohort(spark, sf_dir), _activity(spark, sf_dir)
+    co, ac = written(_cohort(spark, sf_dir), "cohort"), written(_activity(spark, sf_dir), "activity")
     return _rounded(C.engagement_histogram(co, ac).join(C.cohort_engagement(co, ac), "cohort"))
 
 
@@ -243,10 +244,10 @@ def _c11(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     sets = None
     for name, kind in (("any", None), ("buyers", "purchase")):
-        co = C.cohort_users(ev, "day", kind)
-        perf = C.cohort_performance(co, C.period_activity(ev, co, "day"), PERIODS).withColumn("set_id", F.lit(name))
+        co = written(C.cohort_users(ev, "day", kind), "cohort")
+        perf = C.cohort_performance(co, written(C.period_activity(ev, co, "day"), "activity"), PERIODS).withColumn("set_id", F.lit(name))
         sets = perf if sets is None else sets.unionByName(perf)
-    out = None
+    out, sets = None, written(sets, "performance")
     for m in ("retention", "revenue", "engagement"):
         part = C.compare_cohorts(sets, "set_id", m)
         out = part if out is None else out.unionByName(part)

@@ -11,6 +11,7 @@ from tallyloom.operators import runs as R
 from tallyloom.operators import series as P
 from tallyloom.plans.fixtures import END, IN_WINDOW, PIVOT, START, agent_events, oracle, table
 from tallyloom.plans.metric_queries import ARGS, PANEL_SQL, PER_TASK, PIVOTED
+from tallyloom.plans.session import written
 from tallyloom.sources import events as S
 
 QUERIES = {}
@@ -375,9 +376,11 @@ _add("A5_eval_regression_alerts", _a5,
 def _a6(spark, sf_dir):
     """Three recorded evaluation rounds of the threshold alerts; the newest two per alert."""
     ev = agent_events(spark, sf_dir)
+    # the events are folded once; what the rounds differ in is the window
+    ev = written(S.fold_copies(S.scan_events(ev, S.Scope(S.ALL_TENANTS, START, END))), "folded")
     rounds = None
     for i, end in enumerate(("2024-01-11 00:00:00", "2024-01-21 00:00:00", END)):
-        panel = M.metric_panel(ev, M.MetricArgs(S.ALL_TENANTS, START, end), [n for n in M.PANEL if not M.METRICS[n].needs_pivot])
+        panel = M.metric_panel(ev, M.MetricArgs(S.ALL_TENANTS, START, end), [n for n in M.PANEL if not M.METRICS[n].needs_pivot], deduped=True)
         part = A.threshold_alerts(panel, _alerts(spark, sf_dir)).withColumn("evaluated_at", F.lit(i))
         rounds = part if rounds is None else rounds.unionByName(part)
     return A.alert_history(rounds, 2).select("alert_id", "evaluated_at", "fired", r6(F.col("value")).alias("value"))

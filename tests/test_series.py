@@ -217,3 +217,48 @@ def test_one_run_day_spans_blocks(spark, make_events):
         assert [r["share"] for r in mine] == [pytest.approx(x["latency_ms"] / top) if x["event"] == "step_executed" else 0.0 for x in listed]
         steps = sorted((r["pos"], r["event_id"]) for r in R.run_steps(ev, rows_per_block=16).collect() if r["run_id"] == run and r["kind"] == "human")
         assert steps == [(i + 1, x["event_id"]) for i, x in enumerate(x for x in own if x["event"] == "human_edited")]
+
+
+def test_correlations_of_many_metrics_against_brute_force(spark):
+    """2,000 metrics in many cells, vectors over chunk borders and of differing lengths; pairs that can't pass are dropped early."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    base = rnd.normal(size=(40, 24))
+    vectors = {}
+    for i in range(2000):
+        n = int(rnd.choice([24, 24, 24, 17, 11, 9]))
+        vectors[f"m{i}"] = (base[i % 40, :n] * rnd.choice([-1, 1]) + rnd.normal(size=n) * rnd.choice([0.01, 2.0])) if i % 7 else np.full(n, 3.0)
+    rows = [(m, j, float(v)) for m, x in vectors.items() for j, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "m string, t int, v double").repartition(6)
+    got = {(r["metric1"], r["metric2"]): r["correlation"] for r in Q.correlated_metrics(df, "m", "t", "v", 0.97, 10, per_cell=300, chunk=7).collect()}
+    names = sorted(m for m, x in vectors.items() if len(x) >= 10)
+    centred = {m: vectors[m] - vectors[m].mean() for m in names}
+    want = {}
+    for n in sorted({len(centred[m]) for m in names}):  # all pairs whose shorter vector has n values
+        own = [m for m in names if len(centred[m]) >= n]
+        x = np.stack([centred[m][:n] for m in own])
+        norm = np.sqrt((x * x).sum(axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = (x @ x.T) / np.outer(norm, norm)
+        for i, j in zip(*np.nonzero(np.abs(r) >= 0.97)):
+            if own[i] < own[j] and min(len(centred[own[i]]), len(centred[own[j]])) == n:
+                want[own[i], own[j]] = r[i, j]
+    sure = {p for p, r in want.items() if abs(r) > 0.97 + 1e-9}
+    assert len(sure) > 1000 and sure <= set(got) <= set(want) | sure
+    assert all(got[p] == pytest.approx(want[p]) for p in got)
+
+
+def test_hopeless_pairs_are_not_multiplied():
+    """What matters comes first: after a chunk or two only the one pair that is left is multiplied."""
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    x, y = (rnd.normal(size=(50, 100)) * np.r_[np.ones(10), np.full(90, 1e-3)] for _ in "xy")
+    y[3] = x[7] * 2
+    sides = [{f"{s}{i}": v for i, v in enumerate(m)} for s, m in (("a", x), ("b", y))]
+    cell = Q._Cell((0, 1), [{m: float((v * v).sum()) for m, v in side.items()} for side in sides], 0.99)
+    for c in range(10):
+        cell.add([{m: v[10 * c : 10 * c + 10] for m, v in side.items()} for side in sides])
+    assert cell.multiplied < 3 * 50 * 50
+    assert cell.found() == [("a7", "b3", pytest.approx(1.0))]
