@@ -90,7 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text, words_of)
                 if len(s):
                     low, high = min_max(s)
-                    sketch = ((np.concatenate((low, high)) * _M1) >> np.uint64(56)).astype(np.uint8).tobytes()
+                    sketch = ((np.concatenate((low, high)) * _M1) >> np.uint64(56)).astype(np.uint8).view(np.int64)
                     rows.append((row, doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), _bands(low, high), sketch))
                 else:
                     rows.append((row, doc_id, 0, None, None, None))
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("row", "doc_id", "text").mapInPandas(run, f"row long, doc_id {kind}, n long, node binary, bands array<long>, sketch binary")
+    return docs.select("row", "doc_id", "text").mapInPandas(run, f"row long, doc_id {kind}, n long, node binary, bands array<long>, sketch array<long>")
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -135,12 +135,12 @@ def _sizes_allow(x: str, y: str):
 
 
 def _mixed_rows(buckets: DataFrame, known: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components, without the hub, with what each has in common with the hub (null: not compared)."""
+    """Rows of buckets that hold several components, without the hub, with the number of shingles in which each differs from the hub (null: not compared)."""
     rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    common = known.select(F.col("b").alias("hub"), F.col("a").alias("node"), "common")
-    rows = rows.where("node <> hub").join(mixed, "key", "left_semi").join(common, ["hub", "node"], "left")
-    return rows.join(reps.select("node", "sketch"), "node").select("key", "hub", "node", "n", "label", "common", "sketch")
+    apart = known.select(F.col("b").alias("hub"), F.col("a").alias("node"), (F.col("joint") - F.col("common")).alias("apart"))
+    rows = rows.where("node <> hub").join(mixed, "key", "left_semi").join(apart, ["hub", "node"], "left")
+    return rows.join(reps.select("node", "sketch"), "node").select("key", "hub", "node", "n", "label", "apart", "sketch")
 
 
 def _pairs_on(rows: DataFrame, on: list[str], condition) -> DataFrame:
@@ -148,57 +148,77 @@ def _pairs_on(rows: DataFrame, on: list[str], condition) -> DataFrame:
     rest = [c for c in rows.columns if c not in on]
     a, b = (rows.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in rest]) for s in "ab")
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _sizes_allow("n_a", "n_b")
-    return a.join(b, on).where(apart & condition).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", *[f"{c}_{s}" for c in rest if c == "sketch" for s in "ab"])
+    return a.join(b, on).where(apart & condition).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _alike():
     """Whether the sketches of a pair agree in places enough; sets of few shingles pass, as their samples repeat.
 
     Of a pair at the limit 120 of 160 places agree, give or take 5.5; 86 leaves
-    six deviations.
+    six deviations. A place is a byte; folding its bits onto the lowest one tells
+    which bytes differ.
     """
 
-    def same(ka: pd.Series, kb: pd.Series) -> pd.Series:
-        return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(ka, kb, strict=True)], dtype="int32")
+    def differing(x, y):
+        bits = x.bitwiseXOR(y)
+        for shift in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
 
-    return (F.least("n_a", "n_b") < 100) | (F.pandas_udf(same, "int")("sketch_a", "sketch_b") >= 86)
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", differing), F.lit(0), lambda n, d: n + d)
+    return (F.least("n_a", "n_b") < 100) | (apart <= 2 * PERMUTATIONS - 86)
 
 
 def _further_pairs(buckets: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of a bucket in different components that what is known of the hub allows to be linked.
 
-    A link needs 7 c >= 3 (n_a + n_b) for c shingles in common, and c is at most
-    the smaller share in the hub plus what both have beside the hub. Pairs that may
-    do without the latter are found in their bucket; the others share shingles that
-    the hub lacks, and are found by these.
+    Write d for the shingles in which a set differs from the hub, missing ones and
+    added ones. A pair differs in d_a + d_b - 2 o shingles, o being the differences
+    it shares, and is linked if these are no more than (n_a + n_b) / 7. Pairs that
+    need no shared difference, or have not been compared with the hub, are found in
+    their bucket. The others share at least o = (7 d_a - n_a + 7 d_b - n_b) / 14
+    differences and are found by these. Differences that no other set has can't be
+    shared and don't count, so copies with edits of their own drop out.
     """
     rows = stored(_mixed_rows(buckets, known, labels, reps), "mixed-buckets")
-    free = F.col("common_a").isNull() | F.col("common_b").isNull() | (7 * F.least("common_a", "common_b") >= 3 * (F.col("n_a") + F.col("n_b")))
-    by_hub = _pairs_on(rows, ["key"], free).where(_alike()).select("a", "b")
-
-    family = rows.where("common IS NOT NULL").select("hub", "node", "n", "label", "common").distinct()
+    free = F.col("apart_a").isNull() | F.col("apart_b").isNull() | (7 * (F.col("apart_a") + F.col("apart_b")) <= F.col("n_a") + F.col("n_b"))
+    by_hub = _pairs_on(rows, ["key"], free & _alike())
+
+    hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    family = rows.where("apart IS NOT NULL").select("hub", "node", "n", "label", (7 * F.col("apart") - F.col("n")).alias("turns")).distinct()
+    family = stored(family.join(hub_label, "hub", "left").withColumn("near", F.coalesce(F.col("label") == F.col("hub_label"), F.lit(False))).drop("hub_label"), "families")
+    # the partner that asks for least; those of the hub's component look for others only
+    least = family.groupBy("hub").agg(F.min("turns").alias("any"), F.min(F.when(~F.col("near"), F.col("turns"))).alias("far"))
+    need = F.greatest(F.ceil((F.col("turns") + F.when(F.col("near"), F.col("far")).otherwise(F.col("any"))) / 14), F.lit(1))
+    family = stored(family.join(least, "hub").where("NOT near OR far IS NOT NULL").select("hub", "node", "n", "label", "turns", need.alias("need")), "needs")
     of_hub, of_node = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("hub", "node"))
-    beside = family.join(of_node, "node").join(of_hub, "hub").withColumn("shingle", F.explode(F.array_except("_node", "_hub"))).drop("_node", "_hub")
-    beside = stored(beside, "beside-hubs")
-    shared = beside.groupBy("hub", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    beside = stored(beside.join(shared, ["hub", "shingle"]), "shared-beside")
-    # If two sets share c shingles or more, they share one among all but the last c - 1 of each, in any one order.
-    # The order is from rare to frequent, and c what the best partner would need; who holds less than that drops out.
-    least = family.groupBy("hub").agg(F.min("n").alias("least"))
-    need = F.ceil((3 * (F.col("n") + F.greatest(F.col("least"), NEAR / 100 * F.col("n"))) - 7 * F.col("common")) / 7)
+    differing = F.explode(F.concat(F.array_except("_node", "_hub"), F.array_except("_hub", "_node")))
+    differing = family.join(of_node, "node").join(of_hub, "hub").select(*family.columns, differing.alias("shingle"))
+    differing = stored(differing, "differences")
+    shared = differing.groupBy("hub", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    differing = stored(differing.join(shared, ["hub", "shingle"]), "shared-differences")
+    # If two sets share o or more, they share one among all but the last o - 1 of each, in any one order, and the
+    # first that they share has o - 1 after it in both. The order is from rare to frequent.
     own = W.partitionBy("hub", "node")
-    beside = beside.join(least, "hub").withColumn("held", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("holders", "shingle")))
-    leading = beside.where(F.col("turn") <= F.col("held") - F.greatest(need, F.lit(1)) + 1).select("hub", "shingle", "node", "n", "label", "common")
-    apart = 7 * F.least("common_a", "common_b") < 3 * (F.col("n_a") + F.col("n_b"))
-    by_rest = _pairs_on(leading, ["hub", "shingle"], apart).select("a", "b")
+    differing = differing.withColumn("held", F.count("*").over(own)).withColumn("turn", F.row_number().over(own.orderBy("holders", "shingle")))
+    leading = differing.where(F.col("turn") <= F.col("held") - F.col("need") + 1)
+    leading = leading.select("hub", "shingle", "node", "n", "label", "turns", (F.col("held") - F.col("turn")).alias("after"))
+    wanted = F.col("turns_a") + F.col("turns_b")
+    by_rest = _pairs_on(leading, ["hub", "shingle"], (wanted > 0) & (14 * (1 + F.least("after_a", "after_b")) >= wanted))
     return by_hub.union(by_rest).distinct()
 
 
+def _first(doc_id: str, row: str):
+    """Orders rows by id, missing ids last."""
+    return F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Components of documents linked by near-equal shingle sets.
 
     One row per row of ``docs``: row (hash of id and text), doc_id, n_shingles,
-    component_id (smallest id reachable), kept (doc_id equals component_id).
+    component_id (smallest id reachable), kept (doc_id equals component_id) and
+    first_row (hash of one row of the component, of those with the smallest id).
     Documents without words are linked with nothing. A null id takes part in
     links but never is a component's smallest, unless there is no other; such a
     row is kept only then. Repeated rows get equal results. Other columns are
@@ -207,8 +227,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     found = stored(signatures(base), "signatures")
     # documents with equal sets are one node
-    reps = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = stored(reps, "nodes")
+    reps = found.where("node IS NOT NULL").groupBy("node").agg(F.min(_first("doc_id", "row")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = stored(reps.select("*", F.col("first.id").alias("rep"), F.col("first.row").alias("row")).drop("first"), "nodes")
     keys = reps.select(F.explode("bands").alias("key"), "node", "n", F.struct(-F.col("copies"), "rep", "node", "n").alias("turn"))
     # what has most copies, and then what came first, is likely what the others derive from
     hubs = keys.groupBy("key").agg(F.min("turn").alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
@@ -226,17 +246,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         further = stored(_linked(_confirmed(more, sets)), "further-links")
         if not further.isEmpty():
             labels = connected_components(links.union(further))
-    smallest = reps.select("node", "rep").join(labels, "node").groupBy("label").agg(F.min("rep").alias("least"))
-    of_node = reps.select("node", "rep").join(labels, "node", "left").join(smallest, "label", "left").select("node", F.coalesce("least", "rep").alias("smallest"))
+    ends = reps.select("node", _first("rep", "row").alias("own"))
+    smallest = ends.join(labels, "node").groupBy("label").agg(F.min("own").alias("least"))
+    of_node = ends.join(labels, "node", "left").join(smallest, "label", "left").select("node", F.coalesce("least", "own").alias("least"))
     return (
         found.select("row", "doc_id", "n", "node").join(of_node, "node", "left")
-        .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("smallest")))
-        .select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.id")))
+        .select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("least.row", "row").alias("first_row"))
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are their component's smallest id, with all their columns."""
-    gone = stored(near_duplicates(docs).where("NOT kept").select(F.col("row").alias("_nd_row")).distinct(), "near-duplicates")
+    """One row of each component, of those with the smallest id, with all its columns.
+
+    Rows repeated with equal id and text are one row, also those without words;
+    so are rows without ids in one component. Documents without words stay, once
+    per id and text. Only texts of repeated rows are moved. An empty table gives
+    no rows.
+    """
+    found = stored(near_duplicates(docs).select("row", "doc_id", "first_row"), "near-duplicates")
+    key = [F.col("row").alias("_nd_gone"), F.col("doc_id").alias("_nd_id")]
+    gone = stored(found.where("row <> first_row").select(*key).distinct(), "gone")
+    repeats = stored(found.groupBy("row", "doc_id").count().where("count > 1").select(*key), "repeated-rows")
     keyed = docs.withColumn("_nd_row", F.xxhash64("doc_id", "text"))
-    return keyed.join(small_side(gone, gone.count()), "_nd_row", "left_anti").drop("_nd_row")
+
+    def among(rows: DataFrame, how: str, others: DataFrame) -> DataFrame:
+        return rows.join(small_side(others, others.count()), (F.col("_nd_row") == F.col("_nd_gone")) & F.col("doc_id").eqNullSafe(F.col("_nd_id")), how)
+
+    left = among(keyed, "left_anti", gone)
+    if not repeats.isEmpty():
+        left = among(left, "left_anti", repeats).unionByName(among(left, "left_semi", repeats).dropDuplicates(["_nd_row", "doc_id"]))
+    return left.drop("_nd_row")

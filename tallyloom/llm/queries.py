@@ -44,7 +44,7 @@ def equal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("row")
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("row", "first_row")
 
 
 def documents_without_recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,45 @@ def test_near_duplicates_of_odd_rows(odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
     kept = near_dedup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.where(F.col("doc_id") == 2).count() == 0
+
+
+def test_stage_keeps_one_row_of_each_component(docs_of):
+    """Repeated rows, rows without ids, near copies and documents without words."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    rows = [(2, text), (2, text), (2, text), (3, near), (None, text), (None, near), (4, None), (4, None), (5, None), (None, ""), (None, ""),
+            (None, "only here and without an id at all"), (None, "only here and without an id at all"), (None, "only here and without an id at all ever")]
+    got = near_dedup.drop_near_duplicates(docs_of(rows)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got if r.doc_id is not None) == [("2", text), ("4", ""), ("5", "")]
+    alone = sorted(r.text for r in got if r.doc_id is None)
+    assert alone[0] == "" and len([t for t in alone if t.startswith("only")]) in (1, 2) and len(alone) == len(set(alone))
+    assert set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "size", "row"}
+    assert near_dedup.drop_near_duplicates(docs_of([])).count() == 0
+
+
+def test_far_copies_of_one_text_need_few_comparisons(docs_of, monkeypatch):
+    """Copies with many edits of their own differ from the hub and from each other; no pair of them is compared but with the hub."""
+    import random
+
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(base if i == 0 else [f"x{i}_{j}" if rnd.random() < 0.045 else w for j, w in enumerate(base)])) for i in range(120)]
+    compared = []
+    confirmed = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, sets: compared.append(pairs.count()) or confirmed(pairs, sets))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(rows)).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(146)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert got == {i: root(i) for i in sets} and len(set(got.values())) > 10
+    assert compared[1:] == [] or compared[1] < 120 * 119 / 2 / 10
