@@ -112,7 +112,7 @@ def test_benchmark_suppression(spark):
 
 
 def test_entry_module_needs_no_session():
-    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); own = [n for n in q if n != \"pipeline\" and not n.startswith(\"op\")]; assert len(own) == 159 and set(o) <= set(q), len(own)"
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); own = [n for n in q if n != \"pipeline\" and not n.startswith(\"op\")]; assert len(own) == 162 and set(o) <= set(q), len(own)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
 
 
