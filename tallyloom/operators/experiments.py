@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.blocks import numbered, running_sums
+from tallyloom.functions.blocks import numbered, positions, running_sums
 from tallyloom.functions.scalars import div, hash31_abs, probit
 
 INF = float("inf")
@@ -60,16 +60,17 @@ def sequential_evaluate(obs: DataFrame, keys: Sequence[str], arm: str = "arm", v
     return agg.select(*keys, *[c.alias(n) for n, c in e.items()], "n_control", "n_variant")
 
 
-def sequential_path(obs: DataFrame, keys: Sequence[str], order: Sequence[str], arm: str = "arm",
+def sequential_path(obs: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None, arm: str = "arm",
                     value: str = "value", alpha: float = 0.05, rho: float = 1.0) -> DataFrame:
     """The same after every paired observation: the i-th of each arm, in order.
 
     Positions and running sums are taken in blocks, so one huge experiment does
-    not sit in one task; both arms' sums come from one pass.
+    not sit in one task; both arms' sums come from one pass. Blocks are cut by
+    counts, or by ``block``, a monotone function of the order.
     """
     keys = list(keys)
-    pos = numbered(obs.where(F.col(arm).isin("control", "variant")).select(*keys, arm, *order, F.col(value).cast("double").alias("_v")),
-                   [*keys, arm], order, "i")
+    rows = obs.where(F.col(arm).isin("control", "variant")).select(*keys, arm, *order, F.col(value).cast("double").alias("_v"))
+    pos = numbered(rows, [*keys, arm], order, "i") if block is None else positions(rows, [*keys, arm], order, block, "i")
     pairs = pos.groupBy(*keys, "i").agg(
         F.max(F.when(F.col(arm) == "control", F.col("_v"))).alias("_c"), F.max(F.when(F.col(arm) == "variant", F.col("_v"))).alias("_t"))
     pairs = pairs.where(F.col("_c").isNotNull() & F.col("_t").isNotNull())
