@@ -21,13 +21,17 @@ def value_range(v: Column) -> Column:
     return F.coalesce(F.floor(F.signum(v) * (F.log2(F.abs(v)) + F.lit(1075.0)) * F.lit(128.0)), F.lit(0))
 
 
-def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per group with one linearly interpolated quantile per entry of ``probs``."""
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], times: str | None = None, nearest: bool = False) -> DataFrame:
+    """One row per group with one quantile per entry of ``probs``: linearly interpolated, or the ``nearest`` rank.
+
+    A row counts once, or as often as its column ``times`` says.
+    """
     by = list(by)
+    first = lambda p: F.greatest(F.ceil(F.col("_n") * F.lit(float(p))) - 1, F.lit(0)).cast("double") if nearest else (F.col("_n") - 1) * F.lit(float(p))
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c"))
         .withColumn("_b", value_range(F.col("_v")))
     )
     w = Window.partitionBy(*by).orderBy("_b")
@@ -38,8 +42,7 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
     )
     wanted = F.array(*[
         F.struct(F.lit(name).alias("q"), F.lit(i).alias("side"),
-                 (F.floor if i == 0 else F.ceil)((F.col("_n") - 1) * F.lit(float(p))).cast("long").alias("rank"),
-                 ((F.col("_n") - 1) * F.lit(float(p))).alias("pos"))
+                 (F.floor if i == 0 else F.ceil)(first(p)).cast("long").alias("rank"), first(p).alias("pos"))
         for name, p in probs.items() for i in (0, 1)
     ])
     targets = (

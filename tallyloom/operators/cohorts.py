@@ -43,9 +43,11 @@ def cohort_users(events: DataFrame, unit: str = "week", event_type: str | None =
 
 
 def period_activity(events: DataFrame, cohort: DataFrame, unit: str = "week", user: str = "user_id", ts: str = "ts",
-                    type_col: str = "event_type", amount: str = "value", extra: Sequence[Column] = ()) -> DataFrame:
+                    type_col: str = "event_type", amount: str = "value", extra: Sequence[Column] = (), parts: Sequence[Column] = ()) -> DataFrame:
     """Per cohort user and period since joining: events, purchase revenue, engagement score.
 
+    ``parts`` are further keys; ``whole_periods`` adds such rows up again.
+
     The events are never gathered per user: one equi-join against one row per
     user (a skewed user is split by adaptive skew join), then partial sums.
     """
@@ -53,10 +55,19 @@ def period_activity(events: DataFrame, cohort: DataFrame, unit: str = "week", us
     joined = events.join(c, F.col(user) == F.col("_u")).where(F.col(ts) >= F.col("cohort_date"))
     period = F.floor((_us(ts) - _us("cohort_date")) / F.lit(UNIT_US[unit])).cast("int")
     revenue = F.sum(F.when((F.col(type_col) == "purchase"), F.col(amount)).otherwise(0.0))
-    out = joined.groupBy(user, "cohort", period.alias("period")).agg(
+    out = joined.groupBy(user, "cohort", period.alias("period"), *parts).agg(
         F.count(F.lit(1)).alias("events"), revenue.alias("revenue"), *extra)
-    score = F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("events") / 10.0) + F.when(F.col("revenue") > 0, 0.2).otherwise(0.0))
-    return out.withColumn("engagement", score)
+    return out.withColumn("engagement", _engagement())
+
+
+def _engagement() -> Column:
+    return F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("events") / 10.0) + F.when(F.col("revenue") > 0, 0.2).otherwise(0.0))
+
+
+def whole_periods(activity: DataFrame, user: str = "user_id") -> DataFrame:
+    """Activity by period from rows that are cut further, each of them the last version of its part."""
+    out = activity.groupBy(user, "cohort", "period").agg(F.sum("events").alias("events"), F.sum("revenue").alias("revenue"))
+    return out.withColumn("engagement", _engagement())
 
 
 def _dense(sizes: DataFrame, by: Sequence[str], activity: DataFrame, periods: int) -> DataFrame:

@@ -322,12 +322,16 @@ def _x3(spark, sf_dir):
 _add("X3_rollup_stream", _x3, oracle("SELECT tenant_id, task_type, day, completed, ended, abandoned, round(cost_usd, 6) AS cost_usd, events FROM r", f"r AS ({ROLLUP_SQL})"))
 
 
+def _timed(df):
+    """Event time has to be an instant for a watermark."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _x4(spark, sf_dir):
     """Daily windows per event type with the baselines carried along; the last open day is not emitted."""
     out = fresh_dir(spark, "x4")
-    readings = events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    wins = J.rolling_metrics_stream(readings, "event_type", "ts", "value", "1 day", "1 day")
-    K.run_available(wins, lambda df, i: J.baseline_batch(spark, df, i, "event_type", out), f"{out}/cp")
+    closed = J.closed_readings_stream(_timed(events_stream(spark, sf_dir)), "event_type", "ts", "value", "1 day", "1 day")
+    K.run_available(closed, lambda df, i: J.baseline_batch(spark, J.window_metrics(df, "event_type"), i, "event_type", out), f"{out}/cp")
     b = K.read_batches(spark, f"{out}/baselines")
     return _rounded(b.select("event_type", F.to_date("at").alias("day"), "min", "max", "value", "count", "p50", "p90", "points", "std_dev"))
 
@@ -342,8 +346,8 @@ _add("X4_rolling_metrics_stream", _x4,
 
 def _x5(spark, sf_dir):
     out = fresh_dir(spark, "x5")
-    K.run_to_table(J.funnel_stream(events_stream(spark, sf_dir), STEPS), f"{out}/t", f"{out}/cp", "update")
-    return K.latest_per_key(K.read_batches(spark, f"{out}/t"), ["user_id", "step_id"])
+    K.run_to_table(J.funnel_stream(_timed(events_stream(spark, sf_dir)), STEPS), f"{out}/t", f"{out}/cp", "update")
+    return J.funnel_latest(K.read_latest(spark, f"{out}/t", ["user_id", "step_id", "day"])).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
 
 
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
@@ -354,8 +358,8 @@ _add("X5_funnel_stream", _x5,
 def _x6(spark, sf_dir):
     out = fresh_dir(spark, "x6")
     cohort = C.cohort_users(table(spark, sf_dir, "events"), "day")
-    K.run_to_table(J.cohort_stream(events_stream(spark, sf_dir), cohort), f"{out}/t", f"{out}/cp", "update")
-    return _rounded(K.latest_per_key(K.read_batches(spark, f"{out}/t"), ["user_id", "cohort", "period"]))
+    K.run_to_table(J.cohort_stream(_timed(events_stream(spark, sf_dir)), cohort), f"{out}/t", f"{out}/cp", "update")
+    return _rounded(C.whole_periods(K.read_latest(spark, f"{out}/t", ["user_id", "cohort", "period", "day"])))
 
 
 _add("X6_cohort_stream", _x6,

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.jsonrules import quoted, with_fields
+from tallyloom.functions.quantiles import grouped_quantiles
 from tallyloom.operators import anomaly, cohorts, funnels
 from tallyloom.operators.metrics import exact_sum
 from tallyloom.operators.redact import redact_json
 from tallyloom.operators.validate import enrich_with_settings, validate_events
+from tallyloom.operators.rolling import PERCENTILES, metric_trend
 from tallyloom.schema import IDENTITY, ended, is_event
 from tallyloom.sources.events import content_token, dedupe_events, new_rows, with_month
 from tallyloom.sources.otlp import span_messages, unmapped_spans
@@ -117,14 +121,55 @@ def rollup_stream(events: DataFrame, delay: str = "1 day", ts: str = "timestamp"
     ).select("tenant_id", "task_type", F.to_date("w.start").alias("day"), "completed", "ended", "abandoned", "cost_usd", "events")
 
 
-def rolling_metrics_stream(readings: DataFrame, name: str, ts: str, value: str, width: str = "60 seconds", slide: str = "60 seconds",
+def closed_readings_stream(readings: DataFrame, name: str, ts: str, value: str, width: str = "60 seconds", slide: str = "60 seconds",
                            delay: str = "1 minute") -> DataFrame:
-    """Sliding aggregates per metric, for append mode: a window is emitted once, when it is closed."""
-    return readings.withWatermark(ts, delay).groupBy(F.col(name), F.window(ts, width, slide).alias("w")).agg(
-        F.max_by(value, ts).alias("last"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("value"),
-        F.sum(value).alias("sum"), F.count(F.lit(1)).alias("count"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY {value})").alias("p90"),
-    ).select(name, F.col("w.start").alias("at"), "last", "min", "max", "value", "sum", "count", "p50", "p90")
+    """Readings (name, at, ts, value, times) of each window, for append mode: all at once when it is closed.
+
+    Equal readings are one row. The state is one small row per different reading
+    of the open windows, hashed over all tasks: a busy metric has no state of its
+    own that grows, and the state store may keep the rows on disk. Windows go
+    from the state with the watermark. ``window_metrics`` takes the batches.
+    """
+    return readings.withWatermark(ts, delay).groupBy(F.col(name).alias(name), F.window(ts, width, slide).alias("w"), F.unix_micros(ts).alias("_us"), F.col(value).cast("double").alias("value")).agg(
+        F.count(F.lit(1)).alias("times")).select(name, F.col("w.start").alias("at"), F.timestamp_micros("_us").alias("ts"), "value", "times")
+
+
+def window_metrics(closed: DataFrame, name: str) -> DataFrame:
+    """Per metric and closed window: last, min, max, value (mean), sum, count, nearest-rank p50 to p99, rate and trend.
+
+    ``rate`` is the change per second between the last two readings, 0 if there
+    is one or both have the same time; ``trend`` looks at the last ten. Readings
+    of equal time are in order of value. Null values count as readings, only in
+    ``count``. No window is gathered: percentiles come from counts by value
+    range, and each task passes on its ten last readings of a window.
+    """
+    keys = [name, "at"]
+    given = F.col("value").isNotNull()
+    total = closed.groupBy(*keys).agg(
+        F.min("value").alias("min"), F.max("value").alias("max"), F.sum(F.col("value") * F.col("times")).alias("sum"), F.sum("times").alias("count"),
+        F.sum(F.when(given, F.col("times"))).alias("_given"))
+    ranks = grouped_quantiles(closed, keys, "value", PERCENTILES, "times", nearest=True)
+    newest = Window.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("value").desc())
+    # ten different readings hold the ten last ones; a reading that came more than ten times needs no more than ten places
+    tail = closed.where(given).withColumn("_i", F.row_number().over(newest)).where("_i <= 10").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("ts", "value", F.least("times", F.lit(10)).cast("int").alias("n")))).alias("_tail"))
+    tail = tail.withColumn("_tail", F.flatten(F.transform(
+        "_tail", lambda r: F.array_repeat(F.struct(r["ts"].alias("ts"), r["value"].alias("value")), r["n"]))))
+    tail = tail.withColumn("_tail", F.when(F.size("_tail") > 10, F.slice("_tail", -10, 10)).otherwise(F.col("_tail")))
+    out = _beside(_beside(total, ranks, keys), tail, keys)
+    now, before = F.try_element_at("_tail", F.lit(-1)), F.try_element_at("_tail", F.lit(-2))
+    seconds = (F.unix_micros(now["ts"]) - F.unix_micros(before["ts"])) / 1_000_000.0
+    return out.select(
+        *keys, now["value"].alias("last"), "min", "max", F.try_divide("sum", F.col("_given").cast("double")).alias("value"), "sum", "count", *PERCENTILES,
+        F.when(seconds > 0, F.try_divide(now["value"] - before["value"], seconds)).otherwise(0.0).alias("rate"),
+        metric_trend(F.coalesce(F.transform("_tail", lambda r: r["value"]), F.array().cast("array<double>"))).alias("trend"))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(r, match, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def baseline_batch(spark: SparkSession, windows: DataFrame, batch_id: int, name: str, out: str) -> None:
@@ -152,21 +197,37 @@ def _there(spark: SparkSession, path: str) -> bool:
 
 
 def funnel_stream(events: DataFrame, steps: Sequence[funnels.Step], user: str = "user_id", ts: str = "ts", type_col: str = "event_type",
-                  properties: str = "props") -> DataFrame:
-    """Latest time of every funnel step per user, for update mode. The first step an event matches counts."""
+                  properties: str = "props", delay: str = "1 day") -> DataFrame:
+    """Latest time and hits of every funnel step per user and day, for update mode. The first step an event matches counts.
+
+    Days leave the state with the watermark, so it holds the users of the open
+    days only; ``funnel_latest`` adds the days up.
+    """
     step = F.lit(None).cast("string")
     for s in reversed(list(steps)):
         step = F.when(funnels.step_match(s, type_col, properties), s.id).otherwise(step)
-    return events.select(user, ts, step.alias("step_id")).where(F.col("step_id").isNotNull()).groupBy(user, "step_id").agg(
-        F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("hits"))
+    hits = events.select(user, ts, step.alias("step_id")).where(F.col("step_id").isNotNull()).withWatermark(ts, delay)
+    return hits.groupBy(user, "step_id", F.window(ts, "1 day").alias("w")).agg(F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("hits")).select(
+        user, "step_id", F.to_date("w.start").alias("day"), "last_at", "hits")
+
 
+def funnel_latest(days: DataFrame, user: str = "user_id") -> DataFrame:
+    """Latest time and hits of every step per user from the last version of each day."""
+    return days.groupBy(user, "step_id").agg(F.max("last_at").alias("last_at"), F.sum("hits").alias("hits"))
 
-def cohort_stream(events: DataFrame, cohort: DataFrame, user: str = "user_id", ts: str = "ts", type_col: str = "event_type", amount: str = "value") -> DataFrame:
-    """Weekly activity of known cohort users, for update mode: stream-static join, then counters."""
-    return cohorts.period_activity(events, cohort, "week", user, ts, type_col, amount)
+
+def cohort_stream(events: DataFrame, cohort: DataFrame, user: str = "user_id", ts: str = "ts", type_col: str = "event_type", amount: str = "value",
+                  delay: str = "1 day") -> DataFrame:
+    """Weekly activity of known cohort users, for update mode: stream-static join, then counters per calendar day.
+
+    A period starts at a user's own time, so its counters are kept by day and
+    leave the state with the watermark; ``cohorts.whole_periods`` adds them up.
+    """
+    got = cohorts.period_activity(events.withWatermark(ts, delay), cohort, "week", user, ts, type_col, amount, parts=[F.window(ts, "1 day").alias("w")])
+    return got.withColumn("day", F.to_date("w.start")).drop("w", "engagement")
 
 
 __all__ = [
-    "baseline_batch", "cohort_stream", "dedupe_stream", "event_stream", "funnel_stream", "ingest_batch", "ingest_spans_batch", "prepare_messages",
-    "read_batches", "rolling_metrics_stream", "rollup_stream", "write_events_idempotent",
+    "baseline_batch", "closed_readings_stream", "cohort_stream", "dedupe_stream", "event_stream", "funnel_latest", "funnel_stream", "ingest_batch",
+    "ingest_spans_batch", "prepare_messages", "read_batches", "rollup_stream", "window_metrics", "write_events_idempotent",
 ]

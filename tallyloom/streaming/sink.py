@@ -28,6 +28,44 @@ def latest_per_key(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v")).select(*keys, "_v.*")
 
 
+def _folders(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    """Finished folders ``prefix=N`` of a path by number; a folder is finished when its job marked it so."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return {}
+    named = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith(f"{prefix}=")]
+    done = [f for f in named if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return {int(f.getName().split("=")[1]): f.toString() for f in done}
+
+
+def _versions(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """Versions of all keys: the newest compacted folder and the batches after it, up to a batch."""
+    base = max((n for n in _folders(spark, f"{path}-compact", "upto") if upto is None or n <= upto), default=None)
+    later = [(n, f) for n, f in _folders(spark, path, "batch_id").items() if (base is None or n > base) and (upto is None or n <= upto)]
+    tables = [spark.read.parquet(f"{path}-compact/upto={base}").withColumn("batch_id", F.lit(base).cast("long"))] if base is not None else []
+    if later:
+        tables.append(spark.read.option("basePath", path).parquet(*[f for _, f in sorted(later)]).withColumn("batch_id", F.col("batch_id").cast("long")))
+    if not tables:
+        raise FileNotFoundError(path)
+    return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Last version of each key of an update-mode stream, from the compacted folder and later batches."""
+    return latest_per_key(_versions(spark, path), keys)
+
+
+def compact_batches(spark: SparkSession, path: str, keys: Sequence[str], upto: int) -> None:
+    """Fold the batches up to a committed one into one folder that readers start from.
+
+    The folder counts from the moment its job has finished; one that was cut off
+    is written again, and readers meanwhile take the older one with all batches.
+    Batches that come later, or again, are read beside it.
+    """
+    latest_per_key(_versions(spark, path, upto), keys).write.mode("overwrite").parquet(f"{path}-compact/upto={upto}")
+
+
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: float | None = None) -> None:
     """Process everything that is there and stop; the checkpoint moves only after ``each`` returned.
 

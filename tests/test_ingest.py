@@ -1,10 +1,13 @@
 import json
+import math
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.redaction import redact_text, redacted
+from tallyloom.operators import funnels
 from tallyloom.operators import lifecycle as L
 from tallyloom.operators import metrics as M
 from tallyloom.operators import validate as V
@@ -317,3 +320,61 @@ def test_metadata_of_an_event_stays(spark):
     df = spark.sql("SELECT 'i' AS id, 1L AS timestamp_ms, named_struct('channel', 'web', 'processed', true, 'tags', array('x')) AS metadata")
     got = V.enrich_web_events(df, F.lit(0)).first()["metadata"]
     assert got["channel"] == "web" and got["processed"] is False and got["tags"] == ["x"] and got["flags"] == [] and got["quality"] == 1.0
+
+
+def test_windows_of_a_stream_in_small_batches(spark):
+    """Several micro-batches, equal readings, ties in time, a null; the closed windows equal brute force and the state shrinks."""
+    import random
+    from datetime import datetime, timedelta
+
+    rnd, t0, d = random.Random(3), datetime(2024, 1, 1), tempfile.mkdtemp()
+    rows = [("m" if rnd.random() < 0.8 else "n", t0 + timedelta(seconds=rnd.randrange(i * 100, i * 100 + 100)), float(rnd.randrange(9))) for i in range(6) for _ in range(150)]
+    rows += [("m", t0, None), ("one", t0, 4.0)]
+    for i in range(6):
+        part = [r for r in rows if (r[1] - t0).total_seconds() // 100 == i]
+        spark.createDataFrame(part, "k string, at timestamp_ntz, v double").coalesce(1).write.mode("append").parquet(f"{d}/in")
+        time.sleep(0.05)
+    src = J.event_stream(spark, f"{d}/in", "k string, at timestamp_ntz, v double", "parquet", maxFilesPerTrigger="1", latestFirst="false").withColumn("at", F.col("at").cast("timestamp"))
+    closed = J.closed_readings_stream(src, "k", "at", "v", "60 seconds", "60 seconds", "200 seconds")
+    K.run_available(closed, lambda df, i: K.write_batch(J.window_metrics(df, "k"), f"{d}/w", i), f"{d}/cp")
+    got = {(r["k"], r["at"]): r for r in K.read_batches(spark, f"{d}/w").collect()}
+    assert len(got) == K.read_batches(spark, f"{d}/w").count() >= 6
+    for (k, at), r in got.items():
+        mine = sorted(((t, v) for n, t, v in rows if n == k and 0 <= (t - at).total_seconds() < 60 and v is not None))
+        values = [v for _, v in mine]
+        ordered = sorted(values)
+        assert r["count"] == len(values) + (k == "m" and at == t0) and r["sum"] == sum(values) and r["last"] == values[-1]
+        for name, p in {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}.items():
+            assert r[name] == ordered[max(0, math.ceil(len(ordered) * p) - 1)]
+        last = values[-10:]
+        half = len(last) // 2
+        if len(values) < 3 or not half or sum(last[:half]) == 0:
+            assert r["trend"] == "stable"
+        else:
+            a, b = sum(last[:half]) / half, sum(last[half:]) / (len(last) - half)
+            assert r["trend"] == ("up" if (b - a) / a > 0.05 else "down" if (b - a) / a < -0.05 else "stable")
+        gap = (mine[-1][0] - mine[-2][0]).total_seconds() if len(mine) > 1 else 0
+        assert r["rate"] == ((mine[-1][1] - mine[-2][1]) / gap if gap else 0.0)
+
+
+def test_days_of_a_funnel_stream_leave_the_state_and_batches_compact(spark):
+    d = tempfile.mkdtemp()
+    schema = "user_id string, ts timestamp, event_type string, props string"
+    for day in range(1, 6):
+        part = [(f"u{i}", f"2024-01-0{day} 0{i}:00:00", "view", "{}") for i in range(3)]
+        spark.createDataFrame(part, "user_id string, ts string, event_type string, props string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{d}/in")
+        time.sleep(0.05)
+    src = J.event_stream(spark, f"{d}/in", schema, "parquet", maxFilesPerTrigger="1")
+    stream = J.funnel_stream(src, [funnels.Step("view", "view")])
+    query = (stream.writeStream.foreachBatch(lambda df, i: K.write_batch(df, f"{d}/out", i)).outputMode("update").option("checkpointLocation", f"{d}/cp")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 9
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 15
+    keys = ["user_id", "step_id", "day"]
+    before = sorted(map(tuple, K.read_latest(spark, f"{d}/out", keys).collect()))
+    assert len(before) == 15
+    K.compact_batches(spark, f"{d}/out", keys, 1)
+    K.compact_batches(spark, f"{d}/out", keys, 3)
+    assert sorted(map(tuple, K.read_latest(spark, f"{d}/out", keys).collect())) == before
+    assert {tuple(r) for r in J.funnel_latest(K.read_latest(spark, f"{d}/out", keys)).select("user_id", "hits").collect()} == {(f"u{i}", 5) for i in range(3)}
