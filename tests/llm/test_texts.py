@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ def test_license_scan_separators(docs_of):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == _scan(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_license_scan_of_very_long_texts_takes_linear_time(docs_of):
+    """A megabyte of notices; hits nested in others at every place, over the borders of pieces of the fold."""
+    one, more = "cc by " * 170_000, "Licensed under the MIT License or the Apache License, Version 2.0; CC BY-NC 4.0. " * 700
+    began = time.time()
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_of([(0, one), (1, more)])).collect()}
+    assert time.time() - began < 90
+    assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word) == (340_000, 170_000, 0, 339_998)
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].labels) == _scan(more)
+
+
 def test_mixing_reaches_targets(docs_of, odd):
     rows = [(i, "w " * (1 + i % 7), "en", s) for s, n in (("a", 300), ("b", 900), ("c", 40), (None, 200)) for i in range(n)]
     rows = [(k, *r[1:]) for k, r in enumerate(rows)]
