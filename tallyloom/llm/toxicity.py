@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import stored
+
 SAMPLE_PER_CLASS = 12_000  # labelled documents read for each label, about
-CANDIDATES = 40_000  # word forms counted for the lexicon
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 
@@ -185,45 +186,43 @@ def _forms(text: str | None) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k}
 
 
-def _form_counts(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """In how many documents of the sample each form occurs."""
+def _form_counts(sample: DataFrame) -> DataFrame:
+    """In how many toxic (``pos``) and other (``neg``) documents of the sample each form occurs."""
 
     def run(batches):
         for batch in batches:
-            seen: Counter[str] = Counter()
-            for text in batch["text"]:
-                seen.update(_forms(text) if wanted is None else _forms(text) & wanted)
-            yield pd.DataFrame({"form": list(seen), "n": list(seen.values())})
-
-    return sample.select("text").mapInPandas(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+            seen = (Counter(), Counter())
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                seen[int(toxic == 1)].update(_forms(text))
+            forms = list(seen[0].keys() | seen[1].keys())
+            yield pd.DataFrame({"form": forms, "pos": [seen[1][f] for f in forms], "neg": [seen[0][f] for f in forms]})
 
+    return sample.where("toxic IN (0, 1)").select("text", "toxic").mapInPandas(run, "form string, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
-def _tail(k: int, n: int, p: float) -> float:
-    """Chance of k or more of n, by the Chernoff bound."""
-    if k <= n * p:
-        return 1.0
-    q = k / n
-    kl = q * math.log(q / p) + (0 if q == 1 else (1 - q) * math.log((1 - q) / (1 - p)))
-    return math.exp(-n * kl)
 
+def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
+    """Forms that occur in toxic documents far more often than chance allows, beside the grammar's own insults.
 
-def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, candidates: int = CANDIDATES) -> Lexicon:
-    """Forms that occur in toxic documents far more often than chance allows, beside the grammar's own insults."""
+    Every form of the sample (text, toxic) in three or more toxic documents is
+    judged, in Spark; only those that pass come to the driver. Chance is bounded
+    after Chernoff and holds for all judged forms together.
+    """
     words, beginnings = dict(INSULTS), {}
     if not n_toxic:
         return Lexicon(words, beginnings)
-    found = _form_counts(toxic, None).where("n >= 3").orderBy(F.col("n").desc(), "form").limit(candidates).collect()
-    inside = {r.form: r.n for r in found}
-    outside = {r.form: r.n for r in _form_counts(clean, frozenset(inside)).collect()} if inside else {}
-    share = n_toxic / (n_toxic + n_clean) if n_clean else 0.5
-    for form, pos in inside.items():
-        neg = outside.get(form, 0)
-        weight = math.log((pos + 0.5) / (n_toxic + 1)) - math.log((neg + 0.5) / (n_clean + 1))
-        if weight >= 2.5 and pos >= 9 * neg and _tail(pos, pos + neg, share) * len(inside) < 1:
-            if form.endswith("*"):
-                beginnings[form[:-1]] = weight
-            else:
-                words[form] = weight
+    judged = stored(_form_counts(sample).where("pos >= 3"), "forms")
+    share = F.lit(n_toxic / (n_toxic + n_clean) if n_clean else 0.5)
+    n = F.col("pos") + F.col("neg")
+    q = F.col("pos") / n
+    distance = q * F.log(q / share) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    chance = F.when(F.col("pos") <= n * share, 1.0).otherwise(F.exp(-n * distance))
+    weight = F.log((F.col("pos") + 0.5) / (n_toxic + 1)) - F.log((F.col("neg") + 0.5) / (n_clean + 1))
+    passed = judged.withColumn("weight", weight).where((F.col("weight") >= 2.5) & (F.col("pos") >= 9 * F.col("neg")) & (chance * judged.count() < 1))
+    for r in passed.select("form", "weight").collect():
+        if r.form.endswith("*"):
+            beginnings[r.form[:-1]] = r.weight
+        else:
+            words[r.form] = r.weight
     return Lexicon(words, beginnings)
 
 
@@ -253,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     chosen = marks.where(unit < share)  # so many rows at most, by expectation: safe to broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    lexicon = learn_lexicon(sample.where("toxic = 1"), sample.where("toxic = 0"), n.get(1, 0), n.get(0, 0))
+    lexicon = learn_lexicon(sample, n.get(1, 0), n.get(0, 0))
     scorer = Scorer(lexicon)
     if not n.get(1) or not n.get(0):
         return scorer

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +193,39 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == whole.columns and docs.dtypes == whole.dtypes
+
+
+def _lexicon(rows):
+    """The learned weights by the definition: every form, one by one."""
+    toxic = [toxicity._forms(t) for t, y in rows if y == 1]
+    clean = [toxicity._forms(t) for t, y in rows if y == 0]
+    inside, outside = Counter(f for s in toxic for f in s), Counter(f for s in clean for f in s)
+    judged = {f: n for f, n in inside.items() if n >= 3}
+    share, made = len(toxic) / len(rows), {}
+    for form, pos in judged.items():
+        neg = outside[form]
+        n, weight = pos + neg, math.log((pos + 0.5) / (len(toxic) + 1)) - math.log((neg + 0.5) / (len(clean) + 1))
+        q = pos / n
+        kl = q * math.log(q / share) + (0 if q == 1 else (1 - q) * math.log((1 - q) / (1 - share)))
+        chance = 1.0 if pos <= n * share else math.exp(-n * kl)
+        if weight >= 2.5 and pos >= 9 * neg and chance * len(judged) < 1:
+            made[form] = weight
+    return made
+
+
+def test_lexicon_equals_brute_force(spark):
+    path = "/root/testdata/sf0.1"
+    sample = spark.read.parquet(f"{path}/documents.parquet").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("doc_id < 4000").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = [tuple(r) for r in sample.collect()]
+    got = toxicity.learn_lexicon(sample, sum(y == 1 for _, y in rows), sum(y == 0 for _, y in rows))
+    expected = _lexicon(rows)
+    assert expected
+    learned = {f: w for f, w in {**{f + "*": w for f, w in got.beginnings.items()}, **got.words}.items() if f in expected or f not in toxicity.INSULTS}
+    assert learned.keys() == expected.keys() and all(learned[f] == pytest.approx(w) for f, w in expected.items())
+
+
+def test_a_form_behind_very_many_more_frequent_ones_is_learned(spark):
+    common = " ".join(f"w{i}" for i in range(45_000))
+    rows = [(common + (" grobnik" if i < 28 else ""), 1) for i in range(30)] + [(common, 0)] * 30
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int").repartition(6), 30, 30)
+    assert "grobnik" in got.words and not any(w.startswith("w1") for w in got.words)
