@@ -154,18 +154,14 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: Sequenc
     return both.select(*df.columns, *[(F.col(f"_b_{v}") + F.col(f"_l_{v}")).alias(f"sum_{v}") for v in values])
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], block: Column) -> DataFrame:
-    """Add ``prev_<col>`` of the preceding row of the group (NULL on its first row)."""
-    keys, order = list(keys), list(order)
-    rows = df.withColumn("_block", block)
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Add ``prev_<col>`` of the preceding row of the group (NULL on its first row). Blocks are cut by counts."""
+    rows = cut(df, keys, order, rows_per_block)
     packed = F.struct(*cols)
-    over_blocks = Window.partitionBy(*keys).orderBy("_block")
-    carry = (
-        rows.groupBy(*keys, "_block").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-        .select(*keys, "_block", F.lag("_last").over(over_blocks).alias("_carried"))
-    )
-    local = Window.partitionBy(*keys, "_block").orderBy(*order)
-    out = _carry_join(rows.withColumn("_prev", F.lag(packed).over(local)), carry, keys)
+    carry = rows.groupBy("_key", "_block").agg(F.max_by(packed, "_pos").alias("_last")).select(
+        F.col("_key").alias("_of"), F.col("_block").alias("_in"), F.lag("_last").over(Window.partitionBy("_key").orderBy("_block")).alias("_carried"))
+    local = rows.withColumn("_prev", F.lag(packed).over(Window.partitionBy("_key", "_block").orderBy("_pos")))
+    out = local.join(carry, (F.col("_key") == F.col("_of")) & (F.col("_block") == F.col("_in")))
     prev = F.coalesce("_prev", "_carried")
     return out.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in cols])
 

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.blocks import ROWS_PER_BLOCK, cut
 from tallyloom.functions.scalars import div
 
+FOLDED = 1024  # block summaries folded at a time
 OPERATORS = ("equals", "not_equals", "contains", "not_contains", "greater_than", "less_than")
 
 
@@ -84,50 +86,51 @@ def funnel_events(events: DataFrame, steps: Sequence[Step], start: str, end: str
 
 def funnel_journeys(events: DataFrame, steps: Sequence[Step], user: str = "user_id", ts: str = "ts",
                     type_col: str = "event_type", properties: str = "props", keep: Sequence[str] = (),
-                    block_days: int = 1) -> DataFrame:
+                    rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """One row per user: when each step was reached, in order and strictly one after the other.
 
-    Events are first summarised per (user, time block): for every step a user
-    could be at when the block begins, which later steps the block completes
-    and when. The raw rows are shuffled once, on (user, block), so a user with
-    a huge history is spread over its blocks; only the block summaries meet per
-    user, where they are folded in time order. ``keep`` carries properties of
+    Events of the same user and moment are one row first, so that a moment lies
+    in one block. The moments are cut in blocks by counts; a block says, for
+    every step a user could be at when it begins, when it completes which
+    steps. Such summaries compose, so they are folded by groups of blocks
+    before they meet per user: no array grows with a user's history but the
+    last, by one entry for FOLDED full blocks. ``keep`` carries properties of
     the user's first event.
     """
     check_funnel(steps)
     k = len(steps)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    marks = [f"_m{i}" for i in range(k)]
     marked = events.select(
-        F.col(user), us.alias("_t"), F.floor(us / F.lit(86_400_000_000 * block_days)).alias("_block"),
-        *[step_match(s, type_col, properties).alias(f"_m{i}") for i, s in enumerate(steps)], *keep)
-    w = Window.partitionBy(user, "_block")
-    # _a{j}_{i}: time of step i within this block for a user who enters it with steps < j done
-    rows = marked
-    for depth in range(k):
-        new = {}
-        for j in range(k - depth):
-            i = j + depth
-            ok = F.col(f"_m{i}")
-            if depth:
-                ok = ok & (F.col("_t") > F.col(f"_a{j}_{i - 1}"))
-            new[f"_a{j}_{i}"] = F.min(F.when(ok, F.col("_t"))).over(w)
-        rows = rows.withColumns(new)
-    paths = F.array(*[
-        F.array(*[F.max(f"_a{j}_{i}") for i in range(j, k)]) for j in range(k)])
-    summary = rows.groupBy(user, "_block").agg(
-        F.min("_t").alias("_first"), paths.alias("_paths"),
-        *[F.min_by(c, "_t").alias(c) for c in keep])
+        F.col(user), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"),
+        *[F.coalesce(step_match(s, type_col, properties) & F.col(ts).isNotNull(), F.lit(False)).alias(m) for s, m in zip(steps, marks, strict=True)], *keep)
+    moments = marked.groupBy(user, "_t").agg(F.array(*[F.max(m) for m in marks]).alias("_m"), *[F.first(c).alias(c) for c in keep])
+    rows = cut(moments, [user], ["_t"], rows_per_block)
     none = F.array().cast("array<bigint>")
 
-    def advance(done: Column, blk: Column) -> Column:
-        reached = F.coalesce(F.try_element_at(blk["_paths"], F.size(done) + 1), none)
-        return F.concat(done, F.filter(reached, lambda t: t.isNotNull()))
-
-    users = summary.groupBy(user).agg(
-        F.min("_first").alias("start_us"),
-        F.array_sort(F.collect_list(F.struct("_block", "_paths"))).alias("_blocks"),
-        *[F.min_by(c, "_first").alias(c) for c in keep])
-    times = F.aggregate("_blocks", none, advance)
+    def walk(seen: Column, j: int) -> Column:
+        """Times of the steps from ``j`` on, one moment after the other; a moment completes one step."""
+        return F.aggregate(seen, none, lambda done, x: F.when(
+            F.try_element_at(x["_m"], F.size(done) + j + 1), F.concat(done, F.array(x["_t"]))).otherwise(done))
+
+    def advance(done: Column, paths: Column) -> Column:
+        return F.concat(done, F.coalesce(F.try_element_at(paths, F.size(done) + 1), none))
+
+    def composed(blocks: Column) -> Column:
+        """The summary of consecutive blocks: for each step at entry, the steps completed from it on."""
+        return F.array(*[
+            F.slice(F.aggregate(blocks, F.array_repeat(F.lit(0), j).cast("array<bigint>"), lambda done, blk: advance(done, blk["_paths"])), j + 1, k)
+            for j in range(k)])
+
+    opening = [F.min_by(c, "_t").alias(c) for c in keep]
+    matching = F.array_sort(F.collect_list(F.when(F.exists("_m", lambda m: m), F.struct("_t", "_m"))))
+    per_block = rows.groupBy("_key", "_block").agg(F.min("_t").alias("_t"), matching.alias("_seen"), *opening)
+    per_block = per_block.withColumn("_paths", F.array(*[walk(F.col("_seen"), j) for j in range(k)])).drop("_seen")
+    listed = F.array_sort(F.collect_list(F.struct("_block", "_paths"))).alias("_blocks")
+    groups = per_block.groupBy("_key", F.floor(F.col("_block") / FOLDED).alias("_group")).agg(F.min("_t").alias("_t"), listed, *opening)
+    groups = groups.select("_key", F.col("_group").alias("_block"), "_t", composed(F.col("_blocks")).alias("_paths"), *keep)
+    users = groups.groupBy("_key").agg(F.min("_t").alias("start_us"), listed, *opening)
+    users = users.withColumn(user, F.col("_key")[user]).drop("_key")
+    times = F.aggregate("_blocks", none, lambda done, blk: advance(done, blk["_paths"]))
     out = users.withColumn("step_us", times).drop("_blocks")
     n = F.size("step_us")
     return out.select(

@@ -45,10 +45,10 @@ def metric_trend(values: Column) -> Column:
     return F.when(F.size(values) < 3, "stable").when(change > 5, "up").when(change < -5, "down").otherwise("stable")
 
 
-def metric_rate(df: DataFrame, name: str, ts: str, value: str, tie: str | None = None, block: Column | None = None) -> DataFrame:
+def metric_rate(df: DataFrame, name: str, ts: str, value: str, tie: str | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Change per second since the previous reading; 0 on the first one and between equal times."""
     order = [ts] + ([tie] if tie else [])
-    prev = with_previous(df.select(name, *order, value), [name], order, [ts, value], block if block is not None else F.to_date(ts))
+    prev = with_previous(df.select(name, *order, value), [name], order, [ts, value], rows_per_block)
     seconds = (_us(ts) - _us(f"prev_{ts}")) / 1_000_000.0
     rate = F.when(seconds > 0, F.try_divide(F.col(value) - F.col(f"prev_{value}"), seconds)).otherwise(0.0)
     return prev.select(name, *order, value, rate.alias("rate"))

@@ -107,3 +107,22 @@ def test_judge_agreement_takes_the_last(spark):
     rows = [("x", "judge", 1, 0.9), ("x", "human", 1, 0.1), ("x", "human", 2, 0.8), ("y", "judge", 1, 0.2), ("y", "human", 1, 0.9), ("z", "judge", 1, 0.5)]
     r = G.judge_agreement(spark.createDataFrame(rows, "k string, kind string, seq int, value double"), ["k"], "seq").collect()[0]
     assert (r["pairs"], r["agreement"]) == (2, 0.5)
+
+
+def test_journeys_of_one_hot_user_over_blocks_cut_by_counts(spark, monkeypatch):
+    """A user with most of the events, equal times at block borders, blocks of three moments folded two at a time."""
+    monkeypatch.setattr(N, "FOLDED", 2)
+    rnd, steps = random.Random(11), [N.Step(c, c) for c in "abcd"]
+    for most, span in ((40, 25), (60, 200), (7, 3)):
+        rows = [("hot" if rnd.random() < 0.8 else rnd.choice("xyz"), rnd.randrange(span), rnd.choice("aabbcde")) for _ in range(most)] + [(None, 1, "a"), (None, 2, "b"), ("late", None, "a")]
+        df = spark.createDataFrame(rows, "user_id string, s int, event_type string").select("user_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_type", F.lit("{}").alias("props"))
+        got = {r["user_id"]: ([t // 1_000_000 for t in r["step_us"]], r["start_us"]) for r in N.funnel_journeys(df, steps, rows_per_block=3).collect()}
+        assert got.keys() == {u for u, _, _ in rows}
+        for u, (times, start) in got.items():
+            mine, expected = [(t, e) for v, t, e in rows if v == u and t is not None], []
+            for s in steps:
+                later = [t for t, e in mine if e == s.event_type and (not expected or t > expected[-1])]
+                if not later:
+                    break
+                expected.append(min(later))
+            assert times == expected and start == (min(t for t, _ in mine) * 1_000_000 if mine else None)

@@ -79,7 +79,7 @@ def test_blocked_windows_equal_plain_ones(spark):
     pos = positions(df, ["k"], ["i"], F.floor(F.col("i") / 37))
     got = {(r["k"], r["i"]): r["pos"] for r in pos.collect()}
     sides = {(r["k"], r["i"]): r for r in side_moments(df, ["k"], "i", "v", "h", block=F.floor(F.col("i") / 37)).collect()}
-    prev = {(r["k"], r["i"]): r["prev_v"] for r in with_previous(df, ["k"], ["i"], ["v"], F.floor(F.col("i") / 37)).collect()}
+    prev = {(r["k"], r["i"]): r["prev_v"] for r in with_previous(df, ["k"], ["i"], ["v"], 37).collect()}
     seen = {}
     for k, i, v in rows:
         h = seen.setdefault(k, [])
