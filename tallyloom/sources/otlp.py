@@ -141,19 +141,30 @@ def otlp_to_events(df: DataFrame, payload: str = "payload", keep: tuple[str, ...
     return m.select(*base, F.explode("events").alias("e")).select(*base, "e.*")
 
 
+_WHOLE = ("tokens_in", "tokens_out", "latency_ms", "duration_ms")
+_PLAIN = ("event_id", "schema_version", "event", "timestamp", "task_id", "run_id", "task_type", "step_id", "step_index", "step_type", "model", "tool_name",
+          "status", "otel_attributes", "initiator", "verification", "steps_total", "retryable", "abandoned_by")
+
+
+def _message() -> Column:
+    return F.to_json(F.struct(
+        *_PLAIN, F.struct(F.col("agent_name").alias("name")).alias("agent"), F.when(F.col("error_type").isNotNull(), F.struct(F.col("error_type").alias("type"))).alias("error"),
+        *[F.greatest(F.col(c).cast("long"), F.lit(0)).alias(c) for c in _WHOLE]))
+
+
 def span_messages(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (), namespace: str = "agent") -> DataFrame:
     """The events of all mapped spans as the JSON messages that clients send, ready for validation and ingest.
 
     Ids are those of ``map_spans``, so an export that is sent again gives the same messages.
     """
-    e = otlp_to_events(df, payload, keep, namespace)
-    whole = ("tokens_in", "tokens_out", "latency_ms", "duration_ms")
-    plain = ("event_id", "schema_version", "event", "timestamp", "task_id", "run_id", "task_type", "step_id", "step_index", "step_type", "model", "tool_name",
-             "status", "otel_attributes", "initiator", "verification", "steps_total", "retryable", "abandoned_by")
-    body = F.struct(
-        *plain, F.struct(F.col("agent_name").alias("name")).alias("agent"), F.when(F.col("error_type").isNotNull(), F.struct(F.col("error_type").alias("type"))).alias("error"),
-        *[F.greatest(F.col(c).cast("long"), F.lit(0)).alias(c) for c in whole])
-    return e.select(*keep, F.to_json(body).alias("payload"))
+    return otlp_to_events(df, payload, keep, namespace).select(*keep, _message().alias("payload"))
+
+
+def span_outcomes(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (), namespace: str = "agent") -> DataFrame:
+    """``span_messages`` and ``unmapped_spans`` in one reading of the payloads: a row has a payload or a reason."""
+    base = [*keep, "schema_version", "task_id", "run_id", "task_type", "agent_name", "reason"]
+    e = map_spans(df, payload, keep, namespace).select(*base, F.explode_outer("events").alias("e")).where(F.col("e").isNotNull() | F.col("reason").isNotNull())
+    return e.withColumn("_sent", F.col("e").isNotNull()).select(*base, "_sent", "e.*").select(*keep, F.when(F.col("_sent"), _message()).alias("payload"), "reason")
 
 
 def unmapped_spans(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (), namespace: str = "agent") -> DataFrame:

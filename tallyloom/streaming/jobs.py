@@ -19,7 +19,7 @@ from tallyloom.operators.validate import enrich_with_settings, validate_events
 from tallyloom.operators.rolling import PERCENTILES, metric_trend
 from tallyloom.schema import IDENTITY, ended, is_event
 from tallyloom.sources.events import content_token, dedupe_events, new_rows, with_month
-from tallyloom.sources.otlp import span_messages, unmapped_spans
+from tallyloom.sources.otlp import span_outcomes
 from tallyloom.sources.rows import map_messages
 from tallyloom.streaming.sink import read_batches, write_batch
 
@@ -61,13 +61,31 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, settings:
     within the batch the last one wins; a batch that comes again under a new id
     adds no rows. ``unmapped`` spans (tenant_id) count as rejections.
     """
-    prepared = prepare_messages(batch, settings, payload).withColumn("_at", F.monotonically_increasing_id()).persist()
+    _ingest(spark, _spread(batch.select("tenant_id", payload)), batch_id, settings, out, payload, unmapped)
+
+
+def _spread(batch: DataFrame) -> DataFrame:
+    """The batch with the order of its rows (``_at``), over all cores: a file with one row group would be one task."""
+    rows, cores = batch.withColumn("_at", F.monotonically_increasing_id()), batch.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(4 * cores, "_at")
+
+
+def _ingest(spark: SparkSession, rows: DataFrame, batch_id: int, settings: DataFrame, out: str, payload: str, unmapped: DataFrame | None = None) -> None:
+    """``ingest_batch`` of rows with their order; rows with a ``refused`` class of their own are rejections, too."""
+    prepared = prepare_messages(rows, settings, payload)
+    if "refused" in rows.columns:
+        prepared = prepared.withColumn("reason_class", F.coalesce("refused", "reason_class"))
+    valid = F.col("reason_class").isNull()
+    # the message is in its row already; only dead letters are kept beside
+    prepared = prepared.select(
+        "tenant_id", "reason_class", F.when(F.col("residency") == "eu", "eu").otherwise("us").alias("store"), F.when(valid, F.col("row")).alias("row"), "dead_reason",
+        F.when(valid & F.col("row").isNull(), F.col("value")).alias("original"), "_at").persist()
     try:
-        accepted = prepared.where(F.col("reason_class").isNull())
-        rows = accepted.where(F.col("row").isNotNull()).select("row.*", F.when(F.col("residency") == "eu", "eu").otherwise("us").alias("store"), "_at")
-        write_events_idempotent(spark, dedupe_events(rows, "_at").drop("_at"), f"{out}/events", batch_id)
-        write_batch(accepted.where(F.col("row").isNull()).select(F.col("dead_reason").alias("reason"), F.col("value").alias("original")), f"{out}/dead", batch_id)
-        bad = prepared.where(F.col("reason_class").isNotNull()).select("tenant_id", "reason_class")
+        accepted = prepared.where(valid)
+        events = accepted.where(F.col("row").isNotNull()).select("row.*", "store", "_at")
+        write_events_idempotent(spark, dedupe_events(events, "_at").drop("_at"), f"{out}/events", batch_id)
+        write_batch(accepted.where(F.col("row").isNull()).select(F.col("dead_reason").alias("reason"), "original"), f"{out}/dead", batch_id)
+        bad = prepared.where(~valid).select("tenant_id", "reason_class")
         if unmapped is not None:
             bad = bad.unionByName(unmapped.select("tenant_id", F.lit("unmapped_span").alias("reason_class")))
         write_batch(bad.groupBy("tenant_id", "reason_class").agg(F.count(F.lit(1)).alias("rejected")), f"{out}/rejections", batch_id)
@@ -77,8 +95,11 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, settings:
 
 def ingest_spans_batch(spark: SparkSession, batch: DataFrame, batch_id: int, settings: DataFrame, out: str, payload: str = "payload", namespace: str = "agent") -> None:
     """A batch of trace payloads (tenant_id, payload) on the path of all messages: mapped, validated, redacted, mapped to rows."""
-    keep = ("tenant_id",)
-    ingest_batch(spark, span_messages(batch, payload, keep, namespace), batch_id, settings, out, "payload", unmapped_spans(batch, payload, keep, namespace))
+    made = span_outcomes(_spread(batch.select("tenant_id", payload)), payload, ("tenant_id", "_at"), namespace)
+    # messages of one payload keep their order behind that of the payloads
+    made = made.select(
+        "tenant_id", "payload", F.struct("_at", F.monotonically_increasing_id().alias("i")).alias("_at"), F.when(F.col("reason").isNotNull(), "unmapped_span").alias("refused"))
+    _ingest(spark, made, batch_id, settings, out, "payload")
 
 
 def write_events_idempotent(spark: SparkSession, batch: DataFrame, path: str, batch_id: int) -> bool:
@@ -92,7 +113,7 @@ def write_events_idempotent(spark: SparkSession, batch: DataFrame, path: str, ba
     """
     log, rows = f"{path}-tokens", with_month(batch).persist()
     try:
-        token = content_token(batch).first()["token"]
+        token = content_token(rows.drop("month")).first()["token"]
         if _there(spark, log) and not spark.read.parquet(log).where((F.col("token") == token) & (F.col("by_batch") != batch_id)).isEmpty():
             return False
         fresh = rows.dropDuplicates(list(IDENTITY))
