@@ -65,14 +65,18 @@ def _literal(r: Rule) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
 
 
-def _leaf(path: Column, value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    base = F.regexp_extract(kind, "^[A-Z]+", 0)
-    scalar = ~base.isin("OBJECT", "ARRAY")
+def _typed(entries: Column, name) -> Column:
+    """Entries of an object as (path, value, type); the type of a value is looked up once."""
+    return F.transform(entries, lambda e: F.struct(
+        name(e["key"]).alias("path"), e["value"].alias("value"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("t")))
+
+
+def _leaf(x: Column) -> Column:
+    t, value = x["t"], x["value"]
     return F.struct(
-        path.alias("path"),
-        F.struct(base.alias("t"), F.when(scalar, F.try_variant_get(value, "$", "string")).alias("s"),
-                 F.when(base.isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(value, "$", "double")).alias("n")).alias("f"))
+        x["path"].alias("path"),
+        F.struct(t.alias("t"), F.when(~t.isin("OBJECT", "ARRAY"), F.try_variant_get(value, "$", "string")).alias("s"),
+                 F.when(t.isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(value, "$", "double")).alias("n")).alias("f"))
 
 
 def _name(key: Column) -> Column:
@@ -84,12 +88,16 @@ def flatten_json(doc: Column) -> Column:
 
     A dot inside a key is written with a backslash before it, so that it is no border between levels.
     """
-    top = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
-    inner = F.flatten(F.transform(
-        F.filter(top, lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT")),
-        lambda e: F.transform(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")),
-                              lambda c: _leaf(F.concat(_name(e["key"]), F.lit("."), _name(c["key"])), c["value"]))))
-    return F.map_from_entries(F.concat(F.transform(top, lambda e: _leaf(_name(e["key"]), e["value"])), inner))
+    members = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+
+    def whole(top: Column) -> Column:
+        inner = F.flatten(F.transform(
+            F.filter(top, lambda x: x["t"] == "OBJECT"),
+            lambda x: _typed(members(x["value"]), lambda key: F.concat(x["path"], F.lit("."), _name(key)))))
+        return F.map_from_entries(F.transform(F.concat(top, inner), _leaf))
+
+    # bound once: the document is parsed and read one time
+    return F.get(F.transform(F.array(_typed(members(doc), _name)), whole), F.lit(0))
 
 
 def field(flat: Column, path: str | Column) -> Column:
@@ -168,5 +176,4 @@ def with_fields(payload: Column, extras: dict[str, Column]) -> Column:
 
 def quoted(text: Column) -> Column:
     """A string as JSON text."""
-    arr = F.to_json(F.array(text))
-    return F.substring(arr, F.lit(2), F.length(arr) - 2)
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.jsonrules import quoted
-from tallyloom.functions.redaction import KINDS, RECOGNISERS, STRUCTURAL_KEYS, marks, redacted
+from tallyloom.functions.redaction import KINDS, RECOGNISERS, STRUCTURAL_KEYS, marks, may_match, redacted
 from tallyloom.functions.scalars import pinned
 
 
@@ -112,7 +112,8 @@ def redact_json(payload: Column) -> Column:
     array's key), and the pieces are put together again: keys, numbers and
     white space stay as they are and the result is JSON. The recognisers occur
     once in the plan, however deep an object is. Text that is no JSON object is
-    redacted as text.
+    redacted as text. A payload that holds nothing a recogniser could find is
+    not cut at all; without escapes its string leaves are parts of its text.
     """
     is_object = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>").isNotNull()
     marked = F.replace(F.replace(payload, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
@@ -120,7 +121,8 @@ def redact_json(payload: Column) -> Column:
     # bound once each: the tokens, then where arrays are spared
     pieces = F.transform(F.array(tokens), lambda ts: F.struct(ts.alias("ts"), _array_marks(ts).alias("marks")))
     nested = F.get(F.transform(pieces, lambda x: _rebuilt(x["ts"], x["marks"])), F.lit(0))
-    return F.when(is_object, nested).otherwise(redacted(payload))
+    touched = F.contains(payload, F.lit("\\")) | may_match(payload)
+    return F.when(~touched, payload).when(is_object, nested).otherwise(redacted(payload))
 
 
 def redact_payloads(df: DataFrame, col: str, counts: str | None = None) -> DataFrame:

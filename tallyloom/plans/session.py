@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # split a skewed join side even where that costs one more exchange above it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM leaves larger methods uncompiled; their operators then run one by one, in methods it does compile
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.jsonrules import UUID, field, flatten_json, number_of, text_of
+from tallyloom.functions.jsonrules import UUID, field, flatten_json
 from tallyloom.functions.scalars import pinned
 from tallyloom.schema import EVENT_ROW
 
@@ -18,6 +18,23 @@ _NUMBER = {
 DEFAULT_RETENTION, MIN_RETENTION, MAX_RETENTION = 365, 1, 3650
 
 
+_FIELDS = tuple(dict.fromkeys((*_REQUIRED, *_TEXT, *_NUMBER.values(), "event_id", "agent.name", "agent.version", "retention_days")))
+
+
+def _at(doc: Column, path: str) -> Column:
+    return F.get(doc, F.lit(_FIELDS.index(path)))
+
+
+def text_of(doc: Column, path: str) -> Column:
+    """The wanted field as string, only if it is a JSON string."""
+    return F.when(_at(doc, path)["t"] == "STRING", _at(doc, path)["s"])
+
+
+def number_of(doc: Column, path: str) -> Column:
+    """The wanted field as double, only if it is a JSON number."""
+    return _at(doc, path)["n"]
+
+
 def _filled(doc: Column, path: str) -> Column:
     return F.coalesce(text_of(doc, path) != "", F.lit(False))
 
@@ -28,9 +45,12 @@ def map_messages(df: DataFrame, value: str = "value") -> DataFrame:
     Required fields must be there and well formed; everything else coerces,
     missing or mistyped, to '' or 0. The message itself is kept whole.
     """
-    d = pinned(df, "_f", flatten_json(F.try_parse_json(value)))
+    # the wanted fields are looked up once each and then taken by place
+    wanted = F.array(*[F.lit(p) for p in _FIELDS])
+    found = F.transform(F.array(flatten_json(F.try_parse_json(value))), lambda doc: F.when(doc.isNotNull(), F.transform(wanted, lambda p: field(doc, p))))
+    d = pinned(df, "_f", F.get(found, F.lit(0)))
     doc = F.col("_f")
-    version = field(doc, "agent.version")["t"]
+    version = _at(doc, "agent.version")["t"]
     when = F.try_to_timestamp(text_of(doc, "timestamp"))
     unmappable = F.array_compact(F.array(
         *[F.when(~_filled(doc, p), p) for p in _REQUIRED],

@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions.redaction import redact_text, redacted
+from tallyloom.functions.jsonrules import flatten_json
+from tallyloom.functions.redaction import may_match, redact_text, redacted
 from tallyloom.operators import funnels
 from tallyloom.operators import lifecycle as L
 from tallyloom.operators import metrics as M
@@ -296,6 +297,54 @@ def test_spans_land_as_rows_and_come_again_without_copies(spark, tmp_path):
     assert sorted((r["tenant_id"], r["reason_class"], r["rejected"]) for r in bad) == [("t", "unmapped_span", 1), ("u", "unmapped_span", 1)]
 
 
+def test_a_batch_of_one_partition_is_spread_over_the_cores(spark):
+    batch = spark.range(100).select(F.lit("t").alias("tenant_id"), F.col("id").cast("string").alias("payload")).coalesce(1)
+    spread = J._spread(batch)
+    assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert [r["payload"] for r in spread.orderBy("_at").collect()] == [str(i) for i in range(100)]
+
+
+def test_spans_are_mapped_once_for_messages_and_reasons(spark, tmp_path, monkeypatch):
+    calls, plain = [], OT.map_spans
+    monkeypatch.setattr(OT, "map_spans", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    attr = lambda k, v: {"key": k, "value": {"stringValue": v}}
+    span = lambda sid, attrs, start="1704067200000000000": {"traceId": "tr", "spanId": sid, "name": "call", "startTimeUnixNano": start, "endTimeUnixNano": "1704067201500000000", "attributes": attrs}
+    spans = [span("a", [attr("agent.outcome", "completed")]), span("b", [attr("gen_ai.tool.name", "x")]), span("c", []), span("d", [attr("gen_ai.tool.name", "x")], "soon"), span("b", [attr("gen_ai.tool.name", "y")])]
+    p = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]})
+    batch = spark.createDataFrame([("t", p), (None, p), ("t", "no json"), ("t", None)], "tenant_id string, payload string")
+    out = OT.span_outcomes(batch, keep=("tenant_id",))
+    key = lambda rows: sorted(map(str, rows))
+    assert key(out.where("payload IS NOT NULL").select("tenant_id", "payload").collect()) == key(OT.span_messages(batch, keep=("tenant_id",)).collect())
+    assert key(out.where("payload IS NULL").select("tenant_id", "reason").collect()) == key(OT.unmapped_spans(batch, keep=("tenant_id",)).select("tenant_id", "reason").collect())
+    calls.clear()
+    J.ingest_spans_batch(spark, batch.where("tenant_id = 't'").limit(1), 0, spark.createDataFrame([], SETTINGS), str(tmp_path))
+    rows = K.read_batches(spark, f"{tmp_path}/events").collect()
+    assert len(calls) == 1 and sorted(r["event"] for r in rows) == ["step_executed", "task_completed", "task_started"]
+    assert next(r["tool_name"] for r in rows if r["event"] == "step_executed") == "y"  # of equal spans in a payload the last wins
+    assert [r["rejected"] for r in K.read_batches(spark, f"{tmp_path}/rejections").collect()] == [2]
+
+
+@pytest.mark.parametrize("leaf", [
+    "jo@example.org", "4111 1111 1111 1111", "(555) 123-4567", "123-45-6789", "10.0.0.255", "AKIA" + "A" * 16, "ghp_" + "a" * 36, "sk-ant-" + "a" * 12,
+    "sk-" + "a" * 20 + "T3BlbkFJ" + "a" * 20, "xoxb-" + "1" * 12, "-----BEGIN PRIVATE KEY-----x", "Bearer " + "a" * 24])
+def test_payloads_with_something_to_find_are_cut_and_others_left(spark, leaf):
+    escaped = '{"a":{"n":1.0},"note":"' + "".join(f"\\u{ord(c):04x}" for c in leaf) + '"}'
+    kept = '{"event_id" : "0b0e7a1c-2f3d-4c5b-8a9e-1f2d3c4b5a69", "timestamp":"2024-01-01T10:00:00.000Z","n":[1.50, 12345678901] }'
+    df = docs(spark, {"note": leaf}, escaped, kept)
+    got = [r["r"] for r in df.orderBy("i").select(redact_json(F.col("payload")).alias("r")).collect()]
+    assert "[REDACTED:" in got[0] and leaf not in got[0] and "[REDACTED:" in got[1] and got[2] == kept
+    assert [r["m"] for r in df.orderBy("i").select(may_match(F.col("payload")).alias("m")).collect()] == [True, False, False]
+
+
+def test_members_of_a_document_are_typed_once(spark):
+    one = spark.range(1).select(flatten_json(F.try_parse_json(F.lit('{"a.b":1,"c":{"d.e":"x","f":null,"g":[1]},"h":2.5,"i":true}'))).alias("f"))
+    flat = {k: tuple(v) for k, v in one.collect()[0]["f"].items()}
+    assert flat == {"a\\.b": ("BIGINT", "1", 1.0), "c": ("OBJECT", None, None), "h": ("DECIMAL", "2.5", 2.5), "i": ("BOOLEAN", "true", None),
+                    "c.d\\.e": ("STRING", "x", None), "c.f": flat["c.f"], "c.g": ("ARRAY", None, None)}
+    plan = one._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("schema_of_variant(") == 2  # one for each level
+
+
 def test_rewrite_cut_off_is_completed(spark, make_events, tmp_path, monkeypatch):
     """Before its plan a rewrite leaves the table alone; after it the next call completes it, also between a delete and a rename."""
     d = str(tmp_path / "t")
