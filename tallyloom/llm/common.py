@@ -29,6 +29,29 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
+class Cached(dict):
+    """What was made of a key, at most ``most`` new ones and as many of the time before, of which those in use move on."""
+
+    most = 200_000
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def made(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.made(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tallyloom-llm-")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from functools import cache
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import stored
+from tallyloom.llm.common import Cached, stored
 from tallyloom.llm.grouping_ga import evolve
 
 CAPACITY = 4096
@@ -39,7 +40,7 @@ _AS_CHARACTER = "".join(chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b
 _LATIN_WORD = re.compile("[a-zß-öø-ÿ]+")
 
 
-class WordIds(dict):
+class WordIds(Cached):
     """Token ids of a word (bytes between ASCII white space) as little-endian 32-bit numbers.
 
     White space separates words for the tokenizer too, and it lowers case itself,
@@ -53,18 +54,15 @@ class WordIds(dict):
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
 
-    def __missing__(self, word: bytes) -> bytes:
+    def made(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if len(text) > 1 and text[-1] in ".," and _LATIN_WORD.fullmatch(text[-2]):
-            ids = self[word[:-1]] + self[word[-1:]]  # letters and signs are tokens of their own
-        elif _LATIN_WORD.fullmatch(text):
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_AS_CHARACTER))], dtype="<u4").tobytes()
+            return self[word[:-1]] + self[word[-1:]]  # letters and signs are tokens of their own
+        if _LATIN_WORD.fullmatch(text):
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_AS_CHARACTER))]
         else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = ids
-        return ids
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def of(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")

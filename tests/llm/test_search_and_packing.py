@@ -84,3 +84,14 @@ def test_packing_round_trip(docs_of, odd):
         assert at <= 4096
     assert packing.pack(odd, tokenizer_path()).where("piece = 0").count() == odd.count()
     assert packing.pack(odd.limit(0), tokenizer_path()).count() == 0
+
+
+def test_words_in_use_outlive_a_full_cache(monkeypatch):
+    made, plain = Counter(), packing.WordIds.made
+    monkeypatch.setattr(packing.WordIds, "made", lambda self, word: made.update([word]) or plain(self, word))
+    ids, whole = packing.WordIds(tokenizer_path(), 50), packing.WordIds(tokenizer_path())
+    for n in range(40):
+        text = "common words " + " ".join(f"w{n}x{i}" for i in range(20)) + " stay, here."
+        assert ids.of(text) == whole.of(text)
+    assert made[b"common"] == 2 and made[b"stay"] == 2  # once in each cache
+    assert len(ids) <= 50 and len(ids.older) <= 50
