@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import stored
+from tallyloom.llm.common import Cached, stored
 
 GOOD, BAD, NONE = "g", "b", "-"
 BUCKETS = 1 << 14
@@ -37,7 +37,8 @@ class Facts(NamedTuple):
     ended: float  # lines that end a sentence
 
 
-_SYMBOL = re.compile(r"[^\w\s.,;:'\"()?!-]|[!?]{2,}")
+_SYMBOL = re.compile(r"[^\w\s.,;:'\"()?!-]")
+_MARKS = re.compile(r"[!?]{2,}")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SENTENCE_END = frozenset(".!?:")
 
@@ -48,7 +49,7 @@ def facts(text: str | None) -> Facts:
     n = max(1, len(words))
     size = max(1, len(text))
     return Facts(
-        len(words), len(set(words)) / n, sum(map(str.__eq__, words, words[1:])) / n, sum(map(len, _SYMBOL.findall(text))) / size,
+        len(words), len(set(words)) / n, sum(map(str.__eq__, words, words[1:])) / n, (len(_SYMBOL.findall(text)) + sum(map(len, _MARKS.findall(text)))) / size,
         len(_UPPER.findall(text)) / size, (size - n) / n, words.count("|") / n,
         len(set(lines)) / max(1, len(lines)), sum(x.rstrip()[-1] in _SENTENCE_END for x in lines) / max(1, len(lines)),
     )
@@ -110,25 +111,32 @@ class LabelModel:
             self.accuracy[name] = float(right / voted) if voted else float("nan")
 
 
-class _Features(dict):
-    """Hash buckets of a word: of its lower-case form and of its shape."""
+_PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+([.,]?)")
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        shape = re.sub(r"(.)\1+", r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in word))
-        found = xxhash.xxh32_intdigest(word.lower()) % BUCKETS, xxhash.xxh32_intdigest(f"shape {shape} {min(len(word), 16)}") % BUCKETS
-        if len(self) >= 150_000:
-            self.clear()
-        self[word] = found
-        return found
+
+class _Features(Cached):
+    """Hash buckets of a word, as one number: of its lower-case form and of its shape."""
+
+    most = 150_000
+
+    def made(self, word: str) -> int:
+        plain = _PLAIN_WORD.fullmatch(word)
+        if plain:
+            low, shape = word, "a" + plain[1]
+        else:
+            low = word.lower()
+            shape = re.sub(r"(.)\1+", r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in word))
+        return xxhash.xxh32_intdigest(low) % BUCKETS * BUCKETS + xxhash.xxh32_intdigest(f"shape {shape} {min(len(word), 16)}") % BUCKETS
 
 
 def features(text: str | None, f: Facts, cache: _Features) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of unit length: square roots of shares, and a few facts of the whole text in steps."""
     words = (text or "").split()
     if words:
-        pairs = np.array(list(map(cache.__getitem__, words)), dtype=np.int64).ravel()
-        buckets, counts = np.unique(pairs, return_counts=True)
-        values = np.sqrt(counts / len(words))
+        pairs = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
+        counts = np.bincount(pairs // BUCKETS, minlength=BUCKETS) + np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+        buckets = np.flatnonzero(counts)
+        values = np.sqrt(counts[buckets] / len(words))
     else:
         buckets, values = np.empty(0, dtype=np.int64), np.empty(0)
     steps = [f"{name} {int(np.log2(1 + value) if name == 'words' else value * 8)}" for name, value in f._asdict().items()]

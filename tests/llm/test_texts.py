@@ -229,3 +229,21 @@ def test_a_form_behind_very_many_more_frequent_ones_is_learned(spark):
     rows = [(common + (" grobnik" if i < 28 else ""), 1) for i in range(30)] + [(common, 0)] * 30
     got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int").repartition(6), 30, 30)
     assert "grobnik" in got.words and not any(w.startswith("w1") for w in got.words)
+
+
+def test_features_of_words_and_shapes():
+    """Buckets are those of the lower-case words and of their shapes, also when the cache runs full."""
+    import xxhash
+
+    bucket = lambda s: xxhash.xxh32_intdigest(s) % quality.BUCKETS
+    shape = lambda w: re.sub(r"(.)\1+", r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in w))
+    words = "plain word, stop. Éclair ÿes ß÷ x.. a1 ABC 99 é, . ,".split() * 3
+    cache = quality._Features()
+    cache.most, made = 4, quality.facts(" ".join(words))
+    got, values = quality.features(" ".join(words), made, cache)
+    want = Counter(b for w in words for b in (bucket(w.lower()), bucket(f"shape {shape(w)} {min(len(w), 16)}")))
+    n = len(got) - len(made)
+    assert dict(zip(got[:n].tolist(), values[:n] ** 2, strict=True)) == pytest.approx({b: values[0] ** 2 / want[got[0]] * c for b, c in want.items()})
+    assert all(isinstance(v, int) for v in cache.values()) and len(cache) <= 4 and len(cache.older) <= 4
+    odd = "a!? b!! ~~ c? #x \u2014 \u00e9_1"
+    assert quality.facts(odd).symbols == sum(map(len, re.findall(r"[^\w\s.,;:'\"()?!-]|[!?]{2,}", odd))) / len(odd)
