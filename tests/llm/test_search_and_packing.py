@@ -39,6 +39,43 @@ def test_search_equals_scoring_all(docs_of, monkeypatch, per_shard):
     assert np.allclose([a.score for a in sorted(got, key=lambda a: (a.query_id, a.rank))], [w[3] for w in want], atol=2e-6)
 
 
+def test_answers_of_shards_grow_with_queries_alone(docs_of, spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 5)
+    plain, made = bm25.answers_of_tasks, []
+    monkeypatch.setattr(bm25, "answers_of_tasks", lambda *a: made.append(plain(*a)) or made[-1])
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(50)], k=30))) for i in range(1200)]
+    got = bm25.search(docs_of(rows).repartition(16), docs_of(rows[:3]))
+    tasks = 2 * spark.sparkContext.defaultParallelism  # of some 240 shards
+    assert [m.count() <= 3 * 10 * tasks for m in made] == [True]
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in got.collect()) == [w[:3] for w in _brute(rows, rows[:3])]
+
+
+@pytest.mark.parametrize("limits", [{}, {"SCORE_CELLS": 700, "MATRIX_CELLS": 3000, "ADDED": 50}])
+def test_blocks_below_the_best_are_skipped(limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(bm25, name, value)
+    rng = random.Random(4)
+    short = [f"s{j}" for j in range(40)]
+    rows = [(i, " ".join(rng.choices(short, k=rng.randint(5, 12)))) for i in range(700)]
+    rows += [(i, " ".join(rng.choices([f"l{j}" for j in range(90)], k=rng.randint(60, 90)) + ["s1"])) for i in range(700, 1400)]
+    rows += [(1400, None), (1401, "")]
+    cache, asked_rows = bm25._TermHash(), rows[:2] + rows[-4:-2]
+    counts = [bm25.term_counts(t, cache) for _, t in rows]
+    row = bm25._packed([i for i, _ in rows], [int(c.sum()) for _, c in counts], [t for t, _ in counts], [c for _, c in counts]).iloc[0]
+    own = [bm25.term_counts(t, cache)[0] for _, t in asked_rows]
+    terms, at = np.unique(np.concatenate(own), return_inverse=True)
+    df = np.array([sum(x in t for t, _ in counts) for x in terms])
+    asked = bm25.Asked(np.array([i for i, _ in asked_rows]), np.cumsum([0, *map(len, own)]), at.astype(np.int32), terms, np.log(1 + (len(rows) - df + 0.5) / (df + 0.5)))
+    mean = sum(int(c.sum()) for _, c in counts) / len(rows)
+    best = [[] for _ in asked_rows]
+    bm25.Shard(row, mean, asked).search(asked, best, 10)
+    again = bm25.Shard(row, mean, asked)
+    again.search(asked, [list(b) for b in best], 10)
+    assert 0 < again.searched < len(asked_rows) * len(again.blocks)
+    assert sorted((int(q), r + 1, i) for q, b in zip(asked.ids, best, strict=True) for r, (_, i) in enumerate(b)) == [w[:3] for w in _brute(rows, asked_rows)]
+
+
 def test_search_of_odd_and_empty_tables(odd):
     got = bm25.search(odd, odd.where("doc_id = 2")).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: r.rank)] == [1, 2, 2, 7, None]
