@@ -38,6 +38,8 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _AS_CHARACTER = "".join(chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256))
 _LATIN_WORD = re.compile("[a-zß-öø-ÿ]+")
+# letters, then signs but no apostrophe, which may begin a token of letters
+_LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordIds(Cached):
@@ -53,17 +55,27 @@ class WordIds(Cached):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokens_of = self.tokenizer.model.tokenize
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
 
     def made(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():  # bytes: ASCII letters only
+            return self._letters(word.decode("ascii"))
         text = word.decode("utf-8", "replace")
+        if found := _LETTERS_SIGNS.fullmatch(text):
+            signs = len(found[2])
+            if signs:  # letters and signs are tokens of their own
+                return self[word[:-signs]] + self[word[-signs:]]
+            return self._letters(text.lower().encode("utf-8").decode("latin-1").translate(_AS_CHARACTER))
         if len(text) > 1 and text[-1] in ".," and _LATIN_WORD.fullmatch(text[-2]):
-            return self[word[:-1]] + self[word[-1:]]  # letters and signs are tokens of their own
-        if _LATIN_WORD.fullmatch(text):
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_AS_CHARACTER))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self[word[:-1]] + self[word[-1:]]
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _letters(self, characters: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokens_of(characters)])
+
     def of(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
         # names of special tokens keep their case

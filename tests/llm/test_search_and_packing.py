@@ -132,3 +132,24 @@ def test_words_in_use_outlive_a_full_cache(monkeypatch):
         assert ids.of(text) == whole.of(text)
     assert made[b"common"] == 2 and made[b"stay"] == 2  # once in each cache
     assert len(ids) <= 50 and len(ids.older) <= 50
+
+
+def test_letters_with_signs_are_not_encoded_whole(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, ids, whole = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path()), []
+
+    class Counting:
+        def encode(self, text, **named):
+            whole.append(text)
+            return tokenizer.encode(text, **named)
+
+    ids.tokenizer = Counting()
+    rng = random.Random(8)
+    plain = ["iesch!!", "Èaieneux", "Ére!!", "ofouheha&&&", "idée;", "ÀÖØÞßÿ?", "word...", "a<|", "sign|>"]
+    odd = ["it's", "x'll!", "'s", "l'été,", "e\u0301x!", "x!\u0338", "<|endoftext|>", "a<|endoftext|>b.", "WORD<|startoftext|>", "IT'S!", "ªb", "µ.", "×a", "a÷", "ab12.", "(x)", "ΑΣ.", "İx!", "ǅ,", "ſ!", "K.", "a\x01", "a\x7f!", "\u00ad!", "a\u200d!", "..,x.,"]
+    odd += ["".join(rng.choices("aBzÉéßÿ'!.,<|>;-&12_`[^~\u0301", k=rng.randint(1, 7))) for _ in range(4000)]
+    for word in plain + odd:
+        want = tokenizer.encode(word, add_special_tokens=False).ids
+        assert ids.of(word) == np.array(want, dtype="<u4").tobytes(), word
+    assert not {w.lower() for w in whole} & {w.lower() for w in plain}
