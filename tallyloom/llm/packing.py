@@ -49,7 +49,7 @@ class WordIds(Cached):
     so a text's ids are those of its lower-case words in order.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 120_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
