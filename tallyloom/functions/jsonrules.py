@@ -1,18 +1,21 @@
 """Field rules over parsed JSON, as data.
 
-A document is flattened once into a map of path to (type, text, number). The
-rules are a constant array; one higher-order function runs the rules that
-apply to a document. The expression does not grow with the number of rules.
+The fields that rules name are taken out of a document once, as (type, text,
+number). Each rule compiles to a predicate of its own over its field, so a
+document runs compiled code and only the rules of its type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import pinned
+
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 DATETIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 SNAKE = "^[a-z][a-z0-9_]*$"
@@ -43,28 +46,6 @@ class Rule:
     when: str | None = None
 
 
-def _sql(v, kind: str) -> str:
-    if v is None:
-        return f"CAST(NULL AS {kind})"
-    if kind == "STRING":
-        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"CAST({str(v).lower()} AS {kind})"
-
-
-def _literal(r: Rule) -> str:
-    """A rule as a constant SQL struct, which the optimizer folds into one literal."""
-    if r.kind not in KINDS:
-        raise ValueError(f"unknown kind: {r.kind}")
-    values = ", ".join(_sql(v, "STRING") for v in r.values)
-    parts = {
-        "path": _sql(r.path, "STRING"), "parent": _sql(r.path.rpartition(".")[0], "STRING"), "kind": _sql(r.kind, "STRING"),
-        "required": _sql(r.required, "BOOLEAN"), "nullable": _sql(r.nullable, "BOOLEAN"), "values": f"CAST(array({values}) AS ARRAY<STRING>)",
-        "low": _sql(r.low, "DOUBLE"), "high": _sql(r.high, "DOUBLE"), "above": _sql(r.above, "DOUBLE"), "length": _sql(r.length, "INT"),
-        "code": _sql(r.code, "STRING"),
-    }
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
-
-
 def _typed(entries: Column, name) -> Column:
     """Entries of an object as (path, value, type); the type of a value is looked up once."""
     return F.transform(entries, lambda e: F.struct(
@@ -100,6 +81,53 @@ def flatten_json(doc: Column) -> Column:
     return F.get(F.transform(F.array(_typed(members(doc), _name)), whole), F.lit(0))
 
 
+def paths_of(rules: Iterable[Rule]) -> tuple[str, ...]:
+    """The fields that rules read, parents of nested ones included."""
+    return tuple(dict.fromkeys(p for r in rules for p in (r.path.rpartition(".")[0], r.path) if p))
+
+
+@dataclass(frozen=True)
+class Picked:
+    """Fields of a JSON object as columns, read from the struct that ``pick_fields`` adds; all NULL for no object."""
+
+    struct: Column
+
+    def kind(self, path: str) -> Column:
+        """Type of the field as Spark names it (STRING, BIGINT, OBJECT<...>); NULL where it is missing."""
+        return self.struct["kinds"][path]
+
+    def is_a(self, path: str, kind: str) -> Column:
+        return self.kind(path) == kind if kind in ("STRING", "BOOLEAN", "VOID") else self.kind(path).startswith(kind)
+
+    def text(self, path: str) -> Column:
+        """The field as string, only if it is a JSON string."""
+        return F.when(self.is_a(path, "STRING"), _part(self.struct["tops"], path, "string"))
+
+    def number(self, path: str) -> Column:
+        """The field as double, only if it is a JSON number."""
+        k, tops = self.kind(path), self.struct["tops"]
+        # whole numbers are read as they are stored; a cast inside the document costs far more
+        return F.when(k == "BIGINT", _part(tops, path, "bigint").cast("double")).when((k == "DOUBLE") | k.startswith("DECIMAL"), _part(tops, path, "double"))
+
+
+def _part(tops: Column, path: str, kind: str) -> Column:
+    top, _, inner = path.partition(".")
+    return F.try_variant_get(tops[top], f"$.{inner}" if inner else "$", kind)
+
+
+def pick_fields(df: DataFrame, name: str, doc: Column, paths: Iterable[str]) -> DataFrame:
+    """Add a struct for ``Picked``: the fields at ``paths`` with their types; NULL for no object.
+
+    ``flatten_json`` for fields that are known: they are taken out in one reading of the object,
+    and no other field is looked at.
+    """
+    paths = list(dict.fromkeys(paths))
+    tops = dict.fromkeys(p.partition(".")[0] for p in paths)
+    d = pinned(df, "_tops", F.try_variant_get(doc, "$", "struct<" + ",".join(f"`{t}`:variant" for t in tops) + ">"))
+    kinds = F.struct(*[F.schema_of_variant(_part(F.col("_tops"), p, "variant") if "." in p else F.col("_tops")[p]).alias(p) for p in paths])
+    return pinned(d, name, F.when(F.col("_tops").isNotNull(), F.struct(F.col("_tops").alias("tops"), kinds.alias("kinds")))).drop("_tops")
+
+
 def field(flat: Column, path: str | Column) -> Column:
     return F.try_element_at(flat, F.lit(path) if isinstance(path, str) else path)
 
@@ -115,63 +143,68 @@ def number_of(flat: Column, path: str) -> Column:
     return field(flat, path)["n"]
 
 
-def _check(x: Column) -> Column:
-    """Reason of one rule ``x.r`` over the field ``x.f`` it names, or NULL when the field is fine."""
-    r, f = x["r"], x["f"]
-    t, s, n = f["t"], f["s"], f["n"]
-    want = (F.when(r["kind"].isin("int", "number"), n.isNotNull())
-            .when(r["kind"] == "bool", t == "BOOLEAN").when(r["kind"] == "object", t == "OBJECT").when(r["kind"] == "array", t == "ARRAY")
-            .otherwise(t == "STRING"))
-    kind = r["kind"]
-    listed = F.size(r["values"]) > 0
-    missing = F.when(t.isNull(), F.when(r["required"], "missing").otherwise(""))
-    code = (
-        F.when(r["nullable"] & (t == "VOID"), "")
-        .when(~want, "wrong type")
-        .when((kind == "string") & ~listed & (s == ""), "empty")
-        .when((kind == "uuid") & ~s.rlike(UUID), "not a uuid")
-        .when((kind == "datetime") & (~s.rlike(DATETIME) | F.try_to_timestamp(s).isNull()), "not a datetime with offset")
-        .when((kind == "snake") & ~s.rlike(SNAKE), "not snake_case")
-        .when((kind == "url") & ~s.rlike(URL), "not a url")
-        .when((kind == "int") & (n != F.floor(n)), "not an integer")
-        .when(listed & ~F.array_contains(r["values"], s), r["code"])
-        .when(F.length(s) != r["length"], "wrong length")
-        .when((n < r["low"]) | (n <= r["above"]), "too small")
-        .when(n > r["high"], "too large")
-        .otherwise("")
-    )
-    return F.concat(r["path"], F.lit(": "), F.nullif(F.coalesce(missing, code), F.lit("")))
-
-
-def reasons(flat: Column, rules: Iterable[Rule], type_path: str | None = None) -> Column:
-    """All reasons, in rule order; ``flat`` is NULL for text that is no JSON object, which is then the one reason.
-
-    Rules with ``when`` apply to documents whose ``type_path`` holds that value.
+def _check(doc: Picked, r: Rule) -> Column:
+    """Reason of one rule, or '' when its field is fine."""
+    if r.kind not in KINDS:
+        raise ValueError(f"unknown kind: {r.kind}")
+    s, n = doc.text(r.path), doc.number(r.path)
+    said = lambda code: F.lit(f"{r.path}: {code}")
+    json_type = {"bool": "BOOLEAN", "object": "OBJECT", "array": "ARRAY"}.get(r.kind, "STRING")
+    fits = n.isNotNull() if r.kind in ("int", "number") else doc.is_a(r.path, json_type)
+    steps = [(doc.kind(r.path).isNull(), said("missing") if r.required else F.lit(""))]
+    if r.nullable:
+        steps.append((doc.is_a(r.path, "VOID"), F.lit("")))
+    steps.append((~fits, said("wrong type")))
+    if r.kind == "string" and not r.values:
+        steps.append((s == "", said("empty")))
+    steps += {
+        "uuid": [(~s.rlike(UUID), said("not a uuid"))], "datetime": [(~s.rlike(DATETIME) | F.try_to_timestamp(s).isNull(), said("not a datetime with offset"))],
+        "snake": [(~s.rlike(SNAKE), said("not snake_case"))], "url": [(~s.rlike(URL), said("not a url"))], "int": [(n != F.floor(n), said("not an integer"))],
+    }.get(r.kind, [])
+    if r.values:
+        steps.append((~s.isin(*r.values), said(r.code)))
+    if r.length is not None:
+        steps.append((F.length(s) != r.length, said("wrong length")))
+    if r.low is not None:
+        steps.append((n < float(r.low), said("too small")))
+    if r.above is not None:
+        steps.append((n <= float(r.above), said("too small")))
+    if r.high is not None:
+        steps.append((n > float(r.high), said("too large")))
+    reason = reduce(lambda chain, step: chain.when(*step), steps[1:], F.when(*steps[0])).otherwise("")
+    parent = r.path.rpartition(".")[0]
+    # nested fields count only where their parent is an object
+    return F.when(doc.is_a(parent, "OBJECT"), reason).otherwise("") if parent else reason
+
+
+def reasons(doc: Picked, rules: Iterable[Rule], type_path: str | None = None, otherwise: Iterable[Rule] = ()) -> Column:
+    """All reasons; for text that is no JSON object that is the one reason.
+
+    ``doc`` holds the fields ``paths_of(rules)``. Rules with ``when`` apply, behind the common ones, to documents
+    whose ``type_path`` holds that value, the rules ``otherwise`` to documents of any other type.
     """
-    rules = list(rules)
-    common = [_literal(r) for r in rules if r.when is None]
-    by_type: dict[str, list[str]] = {"": common}
+    # fine fields are '' and not NULL: a filter by a function would read all checks expression by expression
+    rules, otherwise = list(rules), list(otherwise)
+    none = F.array(*[_check(doc, r) for r in otherwise]) if otherwise else F.expr("CAST(array() AS ARRAY<STRING>)")
+    by_type: dict[str, list[Column]] = {}
     for r in rules:
-        if r.when is not None:
-            by_type.setdefault(r.when, list(common)).append(_literal(r))
-    table = F.expr("map(" + ", ".join(f"{_sql(k, 'STRING')}, array({', '.join(v)})" for k, v in by_type.items()) + ")")
-    default = F.element_at(table, "")
-    chosen = default if type_path is None else F.coalesce(F.try_element_at(table, text_of(flat, type_path)), default)
-    # nested fields count only where their parent is an object; each field is looked up once
-    live = F.filter(chosen, lambda r: (r["parent"] == "") | F.coalesce(field(flat, r["parent"])["t"] == "OBJECT", F.lit(False)))
-    looked_up = F.transform(live, lambda r: F.struct(r.alias("r"), field(flat, r["path"]).alias("f")))
-    found = F.array_compact(F.transform(looked_up, _check))
-    return F.when(flat.isNull(), F.array(F.lit("(document): not an object"))).otherwise(found)
-
+        if r.when is not None and type_path is not None:
+            by_type.setdefault(r.when, []).append(_check(doc, r))
+    parts = [F.array(*[_check(doc, r) for r in rules if r.when is None])]
+    if by_type:
+        kind = doc.text(type_path)
+        parts.append(F.coalesce(*[F.when(kind == k, F.array(*checks)) for k, checks in by_type.items()], none))
+    return F.when(doc.struct.isNull(), F.array(F.lit("(document): not an object"))).otherwise(F.array_remove(F.concat(*parts), F.lit("")))
 
 
 def with_fields(payload: Column, extras: dict[str, Column]) -> Column:
     """The JSON object with the given top-level fields set (values as JSON text); other text is left as it is."""
-    entries = F.map_entries(F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>"))
-    kept = F.transform(F.filter(entries, lambda e: ~e["key"].isin(*extras)),
-                       lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"])))
-    added = F.array_compact(F.array(*[F.concat(F.lit(f'"{k}":'), v) for k, v in extras.items()]))
-    return F.coalesce(F.concat(F.lit("{"), F.array_join(F.concat(kept, added), ","), F.lit("}")), payload)
+    members = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    kept = F.to_json(F.map_filter(members, lambda k, v: ~k.isin(*extras)))
+    # what is between the brackets, as one element or none, so that nothing is computed twice
+    inner = F.regexp_extract_all(kept, F.lit(r"(?s)\A\{(.+)\}\z"), F.lit(1))
+    added = F.array(*[F.concat(F.lit(f'"{k}":'), v) for k, v in extras.items()])
+    return F.coalesce(F.concat(F.lit("{"), F.array_join(F.concat(inner, added), ","), F.lit("}")), payload)
 
 
 def quoted(text: Column) -> Column:

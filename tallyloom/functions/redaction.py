@@ -93,7 +93,8 @@ def redacted(text: Column) -> Column:
 
 # What some recogniser's match contains at the least: fixed words, or enough digits with their separators.
 _NEEDLES = ("@", "AKIA", "sk-", "xox", "PRIVATE KEY", "earer")
-_HINT = r"gh[pousr]_|\d{3}-\d{2}-\d{4}|\d{3}\)?[ .-]\d{3}[ .-]\d{4}|(?:\d[ -]?){13}|\d\.\d{1,3}\.\d{1,3}\.\d"
+# One branch for all that starts with a digit, so other characters are passed quickly.
+_HINT = r"gh[pousr]_|\d(?:\d\d(?:-\d\d-\d{4}|\)?[ .-]\d{3}[ .-]\d{4})|(?:[ -]?\d){12}|\.\d{1,3}\.\d{1,3}\.\d)"
 
 
 def may_match(text: Column) -> Column:

@@ -143,6 +143,9 @@ def pinned(df, name: str, value: Column):
 
     A plain column is a formula to the optimizer: a filter on it, or several
     uses of it, copy the formula. A one-row generator is a boundary for that,
-    which matters for values as dear as a parsed document.
+    which matters for values as dear as a parsed document. The value is made
+    before it: a generator in a stage too large to compile reads its argument
+    expression by expression, a projection is compiled in parts.
     """
-    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+    made = f"_{name}_made"
+    return df.select("*", value.alias(made)).select("*", F.explode_outer(F.array(made)).alias(name)).drop(made)

@@ -104,6 +104,9 @@ def _rebuilt(tokens: Column, marks_: Column) -> Column:
     return _unmarked(F.array_join(F.transform(tokens, one), ""))
 
 
+_SPARED = '"(?:' + "|".join(STRUCTURAL_KEYS) + r')"\s*:\s*"[^"]*"'
+
+
 def redact_json(payload: Column) -> Column:
     """Redact the string leaves of a JSON object of any shape and depth.
 
@@ -113,7 +116,8 @@ def redact_json(payload: Column) -> Column:
     white space stay as they are and the result is JSON. The recognisers occur
     once in the plan, however deep an object is. Text that is no JSON object is
     redacted as text. A payload that holds nothing a recogniser could find is
-    not cut at all; without escapes its string leaves are parts of its text.
+    not cut at all; without escapes its string leaves are parts of its text. Nor is
+    one where only strings under structural keys, such as ids, look like a find.
     """
     is_object = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>").isNotNull()
     marked = F.replace(F.replace(payload, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
@@ -121,8 +125,10 @@ def redact_json(payload: Column) -> Column:
     # bound once each: the tokens, then where arrays are spared
     pieces = F.transform(F.array(tokens), lambda ts: F.struct(ts.alias("ts"), _array_marks(ts).alias("marks")))
     nested = F.get(F.transform(pieces, lambda x: _rebuilt(x["ts"], x["marks"])), F.lit(0))
-    touched = F.contains(payload, F.lit("\\")) | may_match(payload)
-    return F.when(~touched, payload).when(is_object, nested).otherwise(redacted(payload))
+    escaped = F.contains(payload, F.lit("\\"))
+    beside = may_match(F.regexp_replace(payload, _SPARED, '"":""'))
+    return (F.when(~(escaped | may_match(payload)), payload)
+            .when(is_object, F.when(~escaped & ~beside, payload).otherwise(nested)).otherwise(redacted(payload)))
 
 
 def redact_payloads(df: DataFrame, col: str, counts: str | None = None) -> DataFrame:

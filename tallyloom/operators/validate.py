@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.jsonrules import Rule, field, flatten_json, number_of, reasons, text_of
+from tallyloom.functions.jsonrules import Picked, Rule, field, flatten_json, number_of, paths_of, pick_fields, reasons, text_of
 from tallyloom.functions.scalars import pinned, uuid_from
 from tallyloom.schema import CORE_EVENTS
 
@@ -64,10 +64,9 @@ def validate_events(df: DataFrame, payload: str = "payload") -> DataFrame:
     envelope and a snake_case name. A bad name is ``invalid_event_name``,
     anything else ``schema_validation``.
     """
-    out = pinned(df, "_f", flatten_json(F.try_parse_json(payload)))
-    flat = F.col("_f")
-    core = F.coalesce(text_of(flat, "event").isin(*CORE_EVENTS), F.lit(False))
-    why = F.when(core, reasons(flat, (*ENVELOPE, *CORE_RULES), "event")).otherwise(reasons(flat, (*ENVELOPE, PRODUCT_NAME)))
+    out = pick_fields(df, "_f", F.try_parse_json(payload), (*paths_of((*ENVELOPE, *CORE_RULES)), "event"))
+    doc = Picked(F.col("_f"))
+    why = reasons(doc, (*ENVELOPE, *CORE_RULES), "event", (PRODUCT_NAME,))
     out = pinned(out, "reasons", why).drop("_f")
     bad_name = F.exists("reasons", lambda r: r.startswith("event:"))
     return out.withColumn("reason_class", F.when(F.size("reasons") == 0, F.lit(None).cast("string")).when(bad_name, "invalid_event_name").otherwise("schema_validation"))
@@ -190,7 +189,8 @@ def rate_limit_flags(df: DataFrame, user: str, session: str, ts: str, tie: str,
 def check_web_schema(df: DataFrame, payload: str = "payload", out: str = "schema_errors", feedback: bool = False) -> DataFrame:
     """Base schema plus the schema of five event types; feedback has its own."""
     rules = (FEEDBACK_RULES, None) if feedback else (WEB_RULES, "type")
-    return pinned(_flat(df, payload), out, reasons(F.col("_f"), *rules)).drop("_f")
+    read = pick_fields(df, "_f", F.try_parse_json(payload), (*paths_of(rules[0]), "type"))
+    return pinned(read, out, reasons(Picked(F.col("_f")), *rules)).drop("_f")
 
 
 def check_business_rules(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -302,7 +302,8 @@ SCORE_RULES = (
 
 def validate_scores(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Reasons an evaluation score document is refused for."""
-    return pinned(_flat(df, payload), "reasons", reasons(F.col("_f"), SCORE_RULES)).drop("_f")
+    read = pick_fields(df, "_f", F.try_parse_json(payload), paths_of(SCORE_RULES))
+    return pinned(read, "reasons", reasons(Picked(F.col("_f")), SCORE_RULES)).drop("_f")
 
 
 def settings_table(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.jsonrules import UUID, field, flatten_json
+from tallyloom.functions.jsonrules import UUID, Picked, pick_fields
 from tallyloom.functions.scalars import pinned
 from tallyloom.schema import EVENT_ROW
 
@@ -21,22 +21,8 @@ DEFAULT_RETENTION, MIN_RETENTION, MAX_RETENTION = 365, 1, 3650
 _FIELDS = tuple(dict.fromkeys((*_REQUIRED, *_TEXT, *_NUMBER.values(), "event_id", "agent.name", "agent.version", "retention_days")))
 
 
-def _at(doc: Column, path: str) -> Column:
-    return F.get(doc, F.lit(_FIELDS.index(path)))
-
-
-def text_of(doc: Column, path: str) -> Column:
-    """The wanted field as string, only if it is a JSON string."""
-    return F.when(_at(doc, path)["t"] == "STRING", _at(doc, path)["s"])
-
-
-def number_of(doc: Column, path: str) -> Column:
-    """The wanted field as double, only if it is a JSON number."""
-    return _at(doc, path)["n"]
-
-
-def _filled(doc: Column, path: str) -> Column:
-    return F.coalesce(text_of(doc, path) != "", F.lit(False))
+def _filled(doc: Picked, path: str) -> Column:
+    return F.coalesce(doc.text(path) != "", F.lit(False))
 
 
 def map_messages(df: DataFrame, value: str = "value") -> DataFrame:
@@ -45,28 +31,25 @@ def map_messages(df: DataFrame, value: str = "value") -> DataFrame:
     Required fields must be there and well formed; everything else coerces,
     missing or mistyped, to '' or 0. The message itself is kept whole.
     """
-    # the wanted fields are looked up once each and then taken by place
-    wanted = F.array(*[F.lit(p) for p in _FIELDS])
-    found = F.transform(F.array(flatten_json(F.try_parse_json(value))), lambda doc: F.when(doc.isNotNull(), F.transform(wanted, lambda p: field(doc, p))))
-    d = pinned(df, "_f", F.get(found, F.lit(0)))
-    doc = F.col("_f")
-    version = _at(doc, "agent.version")["t"]
-    when = F.try_to_timestamp(text_of(doc, "timestamp"))
-    unmappable = F.array_compact(F.array(
-        *[F.when(~_filled(doc, p), p) for p in _REQUIRED],
-        F.when(~F.coalesce(text_of(doc, "event_id").rlike(UUID), F.lit(False)), "event_id"),
+    d = pick_fields(df, "_f", F.try_parse_json(value), _FIELDS)
+    doc = Picked(F.col("_f"))
+    version = doc.kind("agent.version")
+    when = F.try_to_timestamp(doc.text("timestamp"))
+    unmappable = F.concat_ws(
+        ",", *[F.when(~_filled(doc, p), p) for p in _REQUIRED],
+        F.when(~F.coalesce(doc.text("event_id").rlike(UUID), F.lit(False)), "event_id"),
         F.when(~_filled(doc, "agent.name"), "agent.name"),
         F.when(version.isNotNull() & (version != "STRING"), "agent.version"),
-        F.when(_filled(doc, "timestamp") & when.isNull(), "timestamp")))
-    reason = F.when(doc.isNull(), "unparsable").when(F.size("_bad") > 0, F.concat(F.lit("unmappable: "), F.array_join("_bad", ",")))
-    retention = number_of(doc, "retention_days")
+        F.when(_filled(doc, "timestamp") & when.isNull(), "timestamp"))
+    reason = F.when(doc.struct.isNull(), "unparsable").when(F.col("_bad") != "", F.concat(F.lit("unmappable: "), F.col("_bad")))
+    retention = doc.number("retention_days")
     built = {
-        **{p: text_of(doc, p) for p in (*_REQUIRED[:-1], "event_id")},
+        **{p: doc.text(p) for p in (*_REQUIRED[:-1], "event_id")},
         "timestamp": when,
-        **{p: F.coalesce(text_of(doc, p), F.lit("")) for p in _TEXT},
-        "agent_name": text_of(doc, "agent.name"),
-        "agent_version": F.coalesce(text_of(doc, "agent.version"), F.lit("")),
-        **{c: F.coalesce(number_of(doc, p), F.lit(0.0)) for c, p in _NUMBER.items()},
+        **{p: F.coalesce(doc.text(p), F.lit("")) for p in _TEXT},
+        "agent_name": doc.text("agent.name"),
+        "agent_version": F.coalesce(doc.text("agent.version"), F.lit("")),
+        **{c: F.coalesce(doc.number(p), F.lit(0.0)) for c, p in _NUMBER.items()},
         "retention_days": F.when(retention.isNull(), DEFAULT_RETENTION).otherwise(
             # clamped as it comes, so a number beyond an int cannot stop the job
             F.floor(F.least(F.lit(float(MAX_RETENTION)), F.greatest(F.lit(float(MIN_RETENTION)), retention)) + 0.5).cast("int")),

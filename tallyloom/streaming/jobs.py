@@ -65,9 +65,14 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, settings:
 
 
 def _spread(batch: DataFrame) -> DataFrame:
-    """The batch with the order of its rows (``_at``), over all cores: a file with one row group would be one task."""
-    rows, cores = batch.withColumn("_at", F.monotonically_increasing_id()), batch.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(4 * cores, "_at")
+    """The batch with the order of its rows (``_at``), dealt over all cores.
+
+    The number of partitions does not tell where the rows are: a file is cut by
+    bytes, but its rows are read by row group, so most of the parts may be empty.
+    Dealing the texts costs little beside reading them.
+    """
+    rows = batch.withColumn("_at", F.monotonically_increasing_id())
+    return rows.repartition(4 * max(rows.rdd.getNumPartitions(), batch.sparkSession.sparkContext.defaultParallelism), "_at")
 
 
 def _ingest(spark: SparkSession, rows: DataFrame, batch_id: int, settings: DataFrame, out: str, payload: str, unmapped: DataFrame | None = None) -> None:

@@ -304,6 +304,53 @@ def test_a_batch_of_one_partition_is_spread_over_the_cores(spark):
     assert [r["payload"] for r in spread.orderBy("_at").collect()] == [str(i) for i in range(100)]
 
 
+def test_a_batch_with_empty_parts_is_spread_over_the_cores(spark, tmp_path):
+    spark.range(4000).select(F.lit("t").alias("tenant_id"), F.sha2(F.col("id").cast("string"), 256).alias("payload")).coalesce(1).write.parquet(str(tmp_path / "b"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        # the one row group is cut in many parts by bytes, and one of them holds the rows
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        batch = spark.read.parquet(str(tmp_path / "b"))
+        filled = lambda df: df.select(F.spark_partition_id()).distinct().count()
+        assert batch.rdd.getNumPartitions() >= 4 and filled(batch) < 4
+        assert filled(J._spread(batch)) >= 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_rules_and_message_fields_are_compiled(spark):
+    """Filters and transforms by a function read the expressions in them one by one, for every message."""
+    d = docs(spark, GOOD)
+    for df in (V.validate_events(d).select("reasons"), RW.map_messages(d, "payload").select("row")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction" not in plan
+
+
+def test_picked_fields_are_those_of_the_flattened_document(spark):
+    from tallyloom.functions.jsonrules import Picked, pick_fields
+
+    values = ["x", "", 0, -1.5, 1e300, 10**25, True, None, [], [1], {}, {"b": "y"}, {"b": None, "a.b": 1}]
+    raw = [{"a": v} for v in values] + [{"a.b": "z"}, {"a": {"b": 2, "c.d": 3}, "a.b": 1}, {}, "[]", "x", '{"a":1,"a":2}', '{"a":1']
+    d = pick_fields(docs(spark, *raw), "p", F.try_parse_json("payload"), ("a", "a.b"))
+    doc, flat = Picked(F.col("p")), flatten_json(F.try_parse_json("payload"))
+    for path in ("a", "a.b"):
+        f = F.try_element_at(flat, F.lit(path))
+        rows = d.select(
+            F.struct(F.col("p").isNull(), F.regexp_extract(doc.kind(path), "^[A-Z]+", 0), doc.text(path), doc.number(path)).alias("new"),
+            F.struct(flat.isNull(), f["t"], F.when(f["t"] == "STRING", f["s"]), f["n"]).alias("old")).collect()
+        assert len(rows) == len(raw) and [tuple(r["new"]) for r in rows] == [tuple(r["old"]) for r in rows]
+
+
+def test_ids_that_look_like_finds_spare_the_cutting_and_texts_beside_them_do_not(spark):
+    number = "4111111111111111"
+    cases = ['{"run_id":"%s","x":"y"}', '{"run_id":"%s","x":"mail a.b@c.io"}', '{"x":"%s"}', '{"a":{"name" : "%s"}}', '{"a":["run_id","%s"]}', '{"run_id":["%s"]}',
+             '{"run_id":{"x":"%s"}}', '{"x":"run_id","y":"%s"}', '{"x":"\\"run_id\\":\\"%s"}', '{"run_id":"%s"']
+    got = [r[0] for r in docs(spark, *[c % number for c in cases]).select("i", redact_json(F.col("payload")).alias("r")).orderBy("i").select("r").collect()]
+    spared = (0, 1, 3, 5)
+    mark = "[REDACTED:credit_card]"
+    assert got == [(c % (number if i in spared else mark)).replace("a.b@c.io", "[REDACTED:email]") for i, c in enumerate(cases)]
+
+
 def test_spans_are_mapped_once_for_messages_and_reasons(spark, tmp_path, monkeypatch):
     calls, plain = [], OT.map_spans
     monkeypatch.setattr(OT, "map_spans", lambda *a, **k: calls.append(1) or plain(*a, **k))
